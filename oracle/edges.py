@@ -1,6 +1,82 @@
 """Result-edge casts: which columns leave as DOUBLE and which as BIGINT."""
 
 EDGES = {
+    "analysis_basket_category": (
+        "panel_net_spend",
+        "buying_household_week_records category_baskets",
+    ),
+    "analysis_campaign_denominators": (
+        "",
+        "campaign_id",
+    ),
+    "analysis_campaign_funnel": (
+        "",
+        "campaign_id",
+    ),
+    "analysis_campaign_segment": (
+        "",
+        "campaign_id",
+    ),
+    "analysis_category_decomposition": (
+        "early_spend late_spend spend_change",
+        "",
+    ),
+    "analysis_category_materiality": (
+        "early_spend late_spend spend_change",
+        "early_category_baskets late_category_baskets basket_change",
+    ),
+    "analysis_category_penetration": (
+        "panel_net_spend",
+        "category_baskets household_category_active_weeks",
+    ),
+    "analysis_coupon_campaign": (
+        "",
+        "campaign_id",
+    ),
+    "analysis_coupon_category": (
+        "",
+        "campaign_id",
+    ),
+    "analysis_coupon_segment": (
+        "",
+        "campaign_id",
+    ),
+    "analysis_customer_engagement": (
+        "observed_lifetime_spend",
+        "frequency_baskets",
+    ),
+    "analysis_demographic_summary": (
+        "observed_lifetime_spend",
+        "",
+    ),
+    "analysis_first_observed_cohort": (
+        "",
+        "first_observed_week",
+    ),
+    "analysis_household_engagement_sequence": (
+        "net_spend prior_week_spend next_week_spend cumulative_household_spend",
+        "week_number",
+    ),
+    "analysis_panel_driver_tree": (
+        "panel_net_spend cumulative_panel_spend prior_panel_net_spend",
+        "week_number",
+    ),
+    "analysis_private_label": (
+        "private_label_spend category_spend",
+        "private_label_buying_households",
+    ),
+    "analysis_private_label_anomalies": (
+        "private_label_spend category_spend",
+        "",
+    ),
+    "analysis_promotion_association": (
+        "panel_sales",
+        "product_store_weeks panel_buying_households panel_baskets",
+    ),
+    "analysis_promotion_dependency": (
+        "total_panel_sales promoted_panel_sales",
+        "total_product_store_weeks promoted_product_store_weeks",
+    ),
     "bridge_coupon_product_campaign": (
         "",
         "campaign_id",
@@ -81,6 +157,30 @@ EDGES = {
         "panel_net_spend",
         "week_number",
     ),
+    "private_label_category_audit": (
+        "private_label_spend category_spend",
+        "",
+    ),
+    "qa_campaign_observability": (
+        "",
+        "campaign_id start_day end_day",
+    ),
+    "qa_discount_audit": (
+        "retail_discount_value coupon_discount_value coupon_match_discount_value",
+        "",
+    ),
+    "qa_layer_reconciliation": (
+        "upstream_sales downstream_sales sales_difference",
+        "",
+    ),
+    "quality_gate": (
+        "",
+        "checked_tables",
+    ),
+    "root_cause_periods": (
+        "panel_net_spend",
+        "",
+    ),
     "stg_campaign": (
         "",
         "campaign_id start_day end_day",

@@ -16,9 +16,10 @@ from panelspark.sources.order_tables import OrderTables
 @dataclass(frozen=True)
 class Query:
     table: str
-    #: DOUBLE columns built from sums of ratios: shown to six decimals, since the last bits of
-    #: such a sum depend on row order in any engine.
+    #: DOUBLE columns shown to ``places`` decimals, since the last bits of a logarithm differ
+    #: between math libraries.
     rounded: tuple[str, ...] = ()
+    places: int = 6
     #: surrogate ids, which differ from run to run
     drop: tuple[str, ...] = ()
     #: False where no SQL counterpart exists
@@ -29,6 +30,30 @@ class Query:
 _DETAILS = {
     "fct_transaction_line": Query("fct_transaction_line", drop=("transaction_line_id",)),
     "fct_coupon_redemption": Query("fct_coupon_redemption", drop=("redemption_event_id",)),
+    "analysis_root_cause_lmdi": Query(
+        "analysis_root_cause_lmdi",
+        rounded=(
+            "contribution",
+            "total_spend_change",
+            "summed_driver_contribution",
+            "reconciliation_delta",
+        ),
+        places=2,
+    ),
+    "analysis_category_lmdi": Query(
+        "analysis_category_lmdi",
+        rounded=(
+            "buying_households_contribution",
+            "frequency_contribution",
+            "basket_value_contribution",
+            "contribution_sum",
+            "reconciliation_delta",
+        ),
+        places=2,
+    ),
+    "root_cause_drivers": Query(
+        "root_cause_drivers", rounded=("spend_change_contribution", "contribution_share"), places=4
+    ),
 }
 #: A fixed seven-row list; it is used by other queries but reads no input itself.
 _NOT_QUERIES = {"dim_segment"}
@@ -61,7 +86,7 @@ def _runner(spec: Query) -> Callable[[SparkSession, str], DataFrame]:
         out = presented(warehouse(spark, folder)[spec.table])
         out = out.drop(*spec.drop)
         for c in spec.rounded:
-            out = out.withColumn(c, F.round(F.col(c).cast("double"), 6))
+            out = out.withColumn(c, F.round(F.col(c).cast("double"), spec.places) + F.lit(0.0))
         return out
 
     return run

@@ -1,4 +1,4 @@
-"""Print the result-edge casts every oracle query needs (input for oracle/edges.py)."""
+"""Write oracle/edges.py: the result-edge casts every oracle query needs."""
 
 import os
 import sys
@@ -18,7 +18,11 @@ for name, spec in catalog.QUERIES.items():
     if spec.table not in oracle.BODIES or not spec.checked:
         continue
     sql = oracle.sql_for(spec.table, plain=True)
-    types = con.sql(sql)
+    try:
+        types = con.sql(sql)
+    except Exception as e:  # noqa: BLE001
+        print(name, e, file=sys.stderr)
+        continue
     double = [c for c, t in zip(types.columns, types.types) if str(t).startswith("DECIMAL") or str(t) == "FLOAT"]
     whole = [
         c for c, t in zip(types.columns, types.types)
@@ -27,7 +31,9 @@ for name, spec in catalog.QUERIES.items():
     keep = [c for c in double if c not in spec.rounded]
     if keep or whole:
         out[spec.table] = (" ".join(keep), " ".join(whole))
-print('"""Result-edge casts: which columns leave as DOUBLE and which as BIGINT."""\n\nEDGES = {')
-for k, (d, b) in sorted(out.items()):
-    print(f'    "{k}": (\n        "{d}",\n        "{b}",\n    ),')
-print("}")
+lines = ['"""Result-edge casts: which columns leave as DOUBLE and which as BIGINT."""', "", "EDGES = {"]
+for name, (double, whole) in sorted(out.items()):
+    lines += [f'    "{name}": (', f'        "{double}",', f'        "{whole}",', "    ),"]
+target = os.path.join(os.path.dirname(oracle.__file__), "edges.py")
+with open(target, "w") as handle:
+    handle.write("\n".join([*lines, "}", ""]))
