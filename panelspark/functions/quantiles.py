@@ -18,22 +18,23 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
     return counts.agg(F.percentile(column, wanted, F.col("_n")).alias("quantiles"))
 
 
-def grouped_quantile(df: DataFrame, keys: list[str], column: str, share: float, name: str):
-    """Exact interpolated quantile per group, however large one group is.
+def weighted_quantile(
+    counts: DataFrame, keys: list[str], column: str, weight: str, share: float, name: str
+) -> DataFrame:
+    """Exact interpolated quantile per group over value counts, however large one group is.
 
-    Values are counted, ordered across the cluster and only the two rows around the wanted
-    position leave each group.
+    Values are ordered across the cluster and only the two around the wanted position leave
+    each group.
     """
-    values = df.where(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("double"))
-    placed = with_before(value_counts(values, column, *keys), [F.col(column)], F.col("_n"), keys)
-    sizes = placed.groupBy(*keys).agg((F.sum("_n") - 1).cast("double").alias("_last"))
+    rows = counts.select(*keys, column, weight)
+    placed = with_before(rows, [F.col(column)], F.col(weight), keys)
+    sizes = placed.groupBy(*keys).agg((F.sum(weight) - 1).cast("double").alias("_last"))
     spot = F.col("_last") * share
     low, high = F.floor(spot), F.ceil(spot)
-    until = F.col("before") + F.col("_n")
-    around = (F.col("before") <= high) & (until > low)
+    near = (F.col("before") <= high) & (F.col("before") + F.col(weight) > low)
     picked = (
         placed.join(sizes, keys)
-        .where(around)
+        .where(near)
         .groupBy(*keys)
         .agg(
             F.min(column).alias("_low"),
@@ -43,3 +44,9 @@ def grouped_quantile(df: DataFrame, keys: list[str], column: str, share: float,
     )
     value = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
     return picked.select(*keys, value.alias(name))
+
+
+def grouped_quantile(df: DataFrame, keys: list[str], column: str, share: float, name: str):
+    """:func:`weighted_quantile` over the counted values of ``column``."""
+    values = df.where(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("double"))
+    return weighted_quantile(value_counts(values, column, *keys), keys, column, "_n", share, name)

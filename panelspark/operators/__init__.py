@@ -11,8 +11,10 @@ _LAYERS = (
     "analysis",
     "findings",
     "statistics",
+    "measures",
     "exports",
     "snapshots",
+    "profiles",
 )
 
 
