@@ -101,6 +101,26 @@ EDGES = {
         "sales_value retail_disc_raw coupon_disc_raw coupon_match_disc_raw retail_discount_value coupon_discount_value coupon_match_discount_value gross_spend_before_recorded_discounts",
         "day_key trans_time transaction_hour week_number",
     ),
+    "finding_category_erosion": (
+        "early_spend late_spend spend_change",
+        "",
+    ),
+    "finding_promo_rank": (
+        "panel_sales",
+        "product_store_weeks",
+    ),
+    "finding_segment_rollup": (
+        "spend",
+        "",
+    ),
+    "finding_strongest_campaign": (
+        "",
+        "campaign_id",
+    ),
+    "finding_weakest_campaign": (
+        "",
+        "campaign_id",
+    ),
     "mart_basket": (
         "basket_net_spend basket_gross_spend basket_discount_value basket_coupon_discount",
         "day_key week_number transaction_hour",
@@ -157,6 +177,18 @@ EDGES = {
         "panel_net_spend",
         "week_number",
     ),
+    "measures_campaign_slices": (
+        "",
+        "campaign_id",
+    ),
+    "measures_core_by_week": (
+        "",
+        "week_number",
+    ),
+    "measures_store_by_week": (
+        "",
+        "week_number",
+    ),
     "private_label_category_audit": (
         "private_label_spend category_spend",
         "",
@@ -177,10 +209,82 @@ EDGES = {
         "",
         "checked_tables",
     ),
+    "read_parquet": (
+        "",
+        "column_count",
+    ),
+    "read_source": (
+        "",
+        "column_count",
+    ),
     "root_cause_periods": (
         "panel_net_spend",
         "",
     ),
+    "schema_contract_check": (
+        "",
+        "observed_column_count",
+    ),
+    "segment_share_of_total": (
+        "segment_spend",
+        "",
+    ),
+    "snapshot_brand_mix": (
+        "spend",
+        "households baskets",
+    ),
+    "snapshot_campaign_funnel": (
+        "",
+        "value",
+    ),
+    "snapshot_campaign_segments": (
+        "",
+        "recipients redeemers observable_rows",
+    ),
+    "snapshot_campaign_types": (
+        "",
+        "recipients redeemers observable_rows",
+    ),
+    "snapshot_declining_households": (
+        "observed_lifetime_spend",
+        "",
+    ),
+    "snapshot_department_brand": (
+        "NATIONAL PRIVATE total_spend",
+        "",
+    ),
+    "snapshot_department_promo": (
+        "",
+        "total promoted",
+    ),
+    "snapshot_promo_states": (
+        "panel_sales",
+        "product_store_weeks panel_baskets",
+    ),
+    "snapshot_promotion_weekly": (
+        "panel_sales",
+        "week_number product_store_weeks",
+    ),
+    "snapshot_segments": (
+        "spend",
+        "trips",
+    ),
+    "snapshot_top_commodities": (
+        "spend",
+        "baskets",
+    ),
+    "snapshot_week_bands": (
+        "panel_net_spend",
+        "baskets",
+    ),
+    "source_inventory": (
+        "",
+        "expected_row_count column_count",
+    ),
+    "source_profile_summary": (
+        "",
+        "column_count",
+    ),
     "stg_campaign": (
         "",
         "campaign_id start_day end_day",
@@ -205,4 +309,8 @@ EDGES = {
         "sales_value retail_disc_raw coupon_disc_raw coupon_match_disc_raw retail_discount_value coupon_discount_value coupon_match_discount_value",
         "day_key trans_time transaction_hour week_number",
     ),
+    "write_table": (
+        "panel_net_spend",
+        "week_number",
+    ),
 }

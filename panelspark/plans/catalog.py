@@ -54,6 +54,30 @@ _DETAILS = {
     "root_cause_drivers": Query(
         "root_cause_drivers", rounded=("spend_change_contribution", "contribution_share"), places=4
     ),
+    # The full report adds tail probabilities and intervals, which have no SQL counterpart.
+    "stats_basket_by_segment": Query("stats_basket_by_segment", checked=False),
+    "stats_promotion_state": Query("stats_promotion_state", checked=False),
+    "stats_basket_effect_size": Query(
+        "stats_basket_effect_size", rounded=("effect_size_cohens_d",), places=8
+    ),
+    "stats_promotion_kruskal": Query(
+        "stats_promotion_kruskal",
+        rounded=("kruskal_wallis_stat", "effect_size_eta_squared"),
+        drop=("kruskal_wallis_p_value",),
+    ),
+    "stats_promotion_mann_whitney": Query(
+        "stats_promotion_mann_whitney", drop=("mann_whitney_p_value_vs_none",)
+    ),
+    "stats_campaign_chi_square": Query(
+        "stats_campaign_chi_square",
+        rounded=("chi_square_statistic", "chi_square_p_value", "effect_size_cramers_v"),
+        places=8,
+    ),
+    "finding_window_comparison": Query(
+        "finding_window_comparison", rounded=("spend_change",), places=4
+    ),
+    "measures_supplement": Query("measures_supplement", rounded=("value",), places=4),
+    "export_curated": Query("export_curated", drop=("duration_seconds",)),
 }
 #: A fixed seven-row list; it is used by other queries but reads no input itself.
 _NOT_QUERIES = {"dim_segment"}

@@ -8,7 +8,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import presented
 from panelspark.functions.ordering import shared_folder
 from panelspark.sources.contracts import CONTRACTS
 
@@ -47,7 +46,9 @@ def parquet_sources(spark: SparkSession, folder: str):
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """CSV with a header. A blank text reads back as missing: CSV has no way to tell them apart."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("errorifexists").options(header=True, **keep).csv(path)
 
 
 def write_counted(df: DataFrame, path: str, kind: str = "parquet") -> int:
@@ -99,14 +100,17 @@ class Export:
 
 
 def export_tables(w, names, kind="parquet", run_id="manual", folder=None, keep_going=False):
-    """Write tables under their export names with the run id; one report row per table."""
+    """Write tables under their export names with the run id; one report row per table.
+
+    Money stays DECIMAL in the files, so totals recomputed from them are exact.
+    """
     folder = folder or work_folder(w.spark, "export")
     report = []
     for name in names:
         start, rows, error = time.monotonic(), 0, ""
         out = f"{folder}/{export_name(name)}"
         try:
-            stamped = presented(w[name]).withColumn("pipeline_run_id", F.lit(run_id))
+            stamped = w[name].withColumn("pipeline_run_id", F.lit(run_id))
             rows = write_counted(stamped, out, kind)
         except PySparkException as problem:
             if not keep_going:
