@@ -8,7 +8,7 @@ partition, meet in one place.
 """
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,42 +30,46 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def with_before(
-    df: DataFrame, order: Sequence[Column], weight: Column | None = None, within: Sequence[str] = ()
+    df: DataFrame,
+    order: Sequence[Column],
+    weights: Mapping[str, Column] | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``before``: total weight of the rows that precede this one, per ``within`` group.
+    """Add, per weight, its total over the rows before this one in the ``within`` group.
 
-    ``order`` must be a total order inside each group.
+    Without weights the column ``before`` counts those rows. ``order`` must be a total order
+    inside each group.
     """
     spark = df.sparkSession
+    weights = weights or {"before": F.lit(1)}
     cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    weighted = df.withColumn("_w", (weight if weight is not None else F.lit(1)).cast("bigint"))
     by = [*[F.col(c) for c in within], *order]
+    weighted = df.withColumns({f"_w_{n}": c.cast("bigint") for n, c in weights.items()})
     split = pinned(
         weighted.repartitionByRange(cells, *by).withColumn("_cell", F.spark_partition_id())
     )
-    inside = (
-        Window.partitionBy("_cell", *within)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    until_here = Window.unboundedPreceding, -1
+    inside = Window.partitionBy("_cell", *within).orderBy(*order).rowsBetween(*until_here)
     zero = F.lit(0).cast("bigint")
-    numbered = split.withColumn("_inside", F.coalesce(F.sum("_w").over(inside), zero))
-    totals = split.groupBy("_cell", *within).agg(F.sum("_w").alias("_t"))
+    numbered = split.withColumns(
+        {f"_in_{n}": F.coalesce(F.sum(f"_w_{n}").over(inside), zero) for n in weights}
+    )
     # At most one row per cell plus one per group boundary.
-    along = (
-        Window.partitionBy(*within).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = split.groupBy("_cell", *within).agg(
+        *[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in weights]
     )
+    along = Window.partitionBy(*within).orderBy("_cell").rowsBetween(*until_here)
     carry = totals.select(
         F.col("_cell").alias("_c"),
         *[F.col(c).alias(f"_g_{c}") for c in within],
-        F.coalesce(F.sum("_t").over(along), zero).alias("_carry"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(along), zero).alias(f"_up_{n}") for n in weights],
     )
     same = F.col("_cell") == F.col("_c")
     for c in within:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
     joined = numbered.join(carry if within else F.broadcast(carry), same, "left")
-    return joined.withColumn("before", F.col("_inside") + F.col("_carry")).select(
-        *df.columns, "before"
+    return joined.select(
+        *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_up_{n}")).alias(n) for n in weights]
     )
 
 
@@ -92,7 +96,7 @@ def rank_table(df: DataFrame, order: Sequence[str], within: Sequence[str] = (),
     """
     counts = df.groupBy(*within, *order).agg(F.count(F.lit(1)).alias("_n"))
     keys = [F.col(c).desc() if descending else F.col(c).asc_nulls_last() for c in order]
-    ranked = with_before(counts, keys, F.col("_n"), within)
+    ranked = with_before(counts, keys, {"before": F.col("_n")}, within)
     return ranked.withColumn("rank", F.col("before") + 1).withColumnRenamed("_n", "ties").drop(
         "before"
     )

@@ -27,7 +27,7 @@ def weighted_quantile(
     each group.
     """
     rows = counts.select(*keys, column, weight)
-    placed = with_before(rows, [F.col(column)], F.col(weight), keys)
+    placed = with_before(rows, [F.col(column)], {"before": F.col(weight)}, keys)
     sizes = placed.groupBy(*keys).agg((F.sum(weight) - 1).cast("double").alias("_last"))
     spot = F.col("_last") * share
     low, high = F.floor(spot), F.ceil(spot)

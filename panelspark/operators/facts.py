@@ -73,26 +73,57 @@ def fct_transaction_line(w):
     )
 
 
+def list_size(c):
+    """Distinct values of an attribute whose list is short (departments, commodities).
+
+    Sets merge inside the aggregation, so no row is repeated per counted column.
+    """
+    return F.size(F.collect_set(c)).cast("bigint")
+
+
 @table("fact")
 def fct_basket(w):
-    x = w["product_lines"]
-    return x.groupBy("basket_id").agg(
-        F.max("household_key").alias("household_key"),
-        F.max("day_key").alias("day_key"),
-        F.max("week_number").alias("week_number"),
-        F.max("store_id").alias("store_id"),
-        F.sum("sales_value").alias("basket_net_spend"),
-        F.sum("gross_spend_before_recorded_discounts").alias("basket_gross_spend"),
-        F.sum("discount").alias("basket_discount_value"),
-        F.sum("coupon_discount").alias("basket_coupon_discount"),
+    """Lines collapse to one row per basket and product first, which also counts products."""
+    carried = ("household_key", "day_key", "week_number", "store_id")
+    sums = {
+        "basket_net_spend": "sales_value",
+        "basket_gross_spend": "gross_spend_before_recorded_discounts",
+        "basket_discount_value": "discount",
+        "basket_coupon_discount": "coupon_discount",
+        "basket_quantity_raw": "quantity_raw",
+    }
+    has_coupon = F.coalesce(F.col("coupon_discount") > 0, F.lit(False))
+    bought = w["product_lines"].groupBy("basket_id", "product_id").agg(
+        *[F.max(c).alias(c) for c in carried],
+        *[F.sum(source).alias(name) for name, source in sums.items()],
         F.count(F.lit(1)).alias("basket_line_count"),
-        F.count_distinct("product_id").alias("basket_distinct_products"),
-        F.sum("quantity_raw").alias("basket_quantity_raw"),
-        F.count_distinct("department").alias("basket_distinct_departments"),
-        F.count_distinct("commodity").alias("basket_distinct_commodities"),
-        F.max(F.coalesce(F.col("coupon_discount") > 0, F.lit(False))).alias("has_coupon_discount"),
+        F.max("department").alias("department"),
+        F.max("commodity").alias("commodity"),
+        F.max(has_coupon).alias("has_coupon_discount"),
         F.max("transaction_hour").alias("transaction_hour"),
     )
+    baskets = bought.groupBy("basket_id").agg(
+        *[F.max(c).alias(c) for c in carried],
+        *[F.sum(name).alias(name) for name in sums],
+        F.sum("basket_line_count").alias("basket_line_count"),
+        F.count("product_id").alias("basket_distinct_products"),
+        list_size("department").alias("basket_distinct_departments"),
+        list_size("commodity").alias("basket_distinct_commodities"),
+        F.max("has_coupon_discount").alias("has_coupon_discount"),
+        F.max("transaction_hour").alias("transaction_hour"),
+    )
+    return baskets.select(
+        "basket_id",
+        *carried,
+        *[c for c in sums if c != "basket_quantity_raw"],
+        "basket_line_count",
+        "basket_distinct_products",
+        "basket_quantity_raw",
+        "basket_distinct_departments",
+        "basket_distinct_commodities",
+        "has_coupon_discount",
+        "transaction_hour",
+    )
 
 
 @table("fact")

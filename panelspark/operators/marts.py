@@ -107,10 +107,9 @@ def mart_household_summary(w):
     coupons = w["fct_basket"].groupBy("household_key").agg(
         ratio(F.count_if("has_coupon_discount"), F.count(F.lit(1))).alias("_coupon_rate")
     )
-    described = w["dim_household"].select("household_key", "has_demographics")
     return (
         per_household.join(coupons, "household_key", "left")
-        .join(described, "household_key", "left")
+        .join(w["described_households"], "household_key", "left")
         .select(
             "household_key",
             "first_observed_week",
@@ -133,11 +132,19 @@ def mart_household_summary(w):
                 "absolute_change"
             ),
             trajectory("early_avg_weekly_spend", "late_avg_weekly_spend", r).alias("trajectory"),
-            "has_demographics",
+            F.when(
+                F.col("household_key").isNotNull(), F.coalesce("described", F.lit(False))
+            ).alias("has_demographics"),
         )
     )
 
 
+@table("internal")
+def described_households(w):
+    listed = w["stg_household_demographic"].select("household_key").distinct()
+    return listed.withColumn("described", F.lit(True))
+
+
 def with_quintiles(summary):
     """Monetary and frequency quintiles, household_key breaking ties."""
     out = summary
@@ -172,24 +179,56 @@ def segment_label(rules, declining, engaged):
 
 
 @table("internal")
-def household_summary_pinned(w):
-    """One row per household, written once: both quintiles and every segment user read it."""
-    return pinned(w["mart_household_summary"])
+def household_scores(w):
+    """Quintiles, segment and demographic flag per household, written once.
+
+    Only the columns the rules read are derived first, so the distinct counts and medians of
+    the full summary are not worked out for a label.
+    """
+    needed = w["mart_household_summary"].select(
+        "household_key",
+        "active_weeks",
+        "observed_lifetime_spend",
+        "frequency_baskets",
+        "coupon_basket_rate",
+        "discount_share",
+        "private_label_share",
+        "trajectory",
+        "has_demographics",
+    )
+    path = F.col("trajectory")
+    label = segment_label(w.rules, path == "Declining", path.isin("Growing", "Stable"))
+    return pinned(
+        with_quintiles(pinned(needed)).select(
+            "household_key",
+            "monetary_quintile",
+            "frequency_quintile",
+            label.alias("segment"),
+            "has_demographics",
+        )
+    )
 
 
 @table("mart")
 def mart_customer_segment(w):
-    path = F.col("trajectory")
-    label = segment_label(w.rules, path == "Declining", path.isin("Growing", "Stable"))
-    scored = with_quintiles(w["household_summary_pinned"])
-    return scored.withColumn("monetary_spend", F.col("observed_lifetime_spend")).withColumn(
-        "segment", label
+    scores = w["household_scores"].drop("has_demographics")
+    spend = F.col("observed_lifetime_spend").alias("monetary_spend")
+    return (
+        w["mart_household_summary"]
+        .join(scores, "household_key")
+        .select(
+            *w["mart_household_summary"].columns,
+            spend,
+            "monetary_quintile",
+            "frequency_quintile",
+            "segment",
+        )
     )
 
 
 @table("internal")
 def household_segment(w):
-    return pinned(w["mart_customer_segment"].select("household_key", "segment"))
+    return w["household_scores"].select("household_key", "segment")
 
 
 @table("mart")
@@ -328,11 +367,11 @@ def mart_campaign_household(w):
         observed.append(F.when(seen, spend).alias(f"{p}_spend"))
         baskets = F.coalesce(f"_{p}_baskets", F.lit(0))
         observed.append(F.when(seen, baskets).alias(f"{p}_baskets"))
+    people = w["household_scores"].select("household_key", "segment", "has_demographics")
     return (
         exposures.join(windows, keys, "left")
         .join(redeemed, keys, "left")
-        .join(w["household_segment"], "household_key", "left")
-        .join(w["dim_household"].select("household_key", "has_demographics"), "household_key", "left")
+        .join(people, "household_key", "left")
         .select(
             *exposures.columns,
             *observed,

@@ -157,6 +157,8 @@ def evaluate(w, names, by=(), where=None):
         per_table.setdefault(known[name].table, []).append(known[name])
     frames = []
     for source, measures in per_table.items():
+        if source == "mart_basket" and "segment" not in by and where is None:
+            source = "fct_basket"  # same baskets; no segments to assign
         rows = w[source] if where is None else w[source].where(where)
         wide = rows.groupBy(*by).agg(
             *[m.value.cast("double").alias(f"m{i}") for i, m in enumerate(measures)]
@@ -211,7 +213,7 @@ def measures_store_by_week(w):
 
 def dynamic_category_penetration(w, where):
     """Distinct buyers over distinct active households of the chosen weeks, per category."""
-    active = w["mart_basket"].where(where).agg(F.count_distinct("household_key")).scalar()
+    active = w["fct_basket"].where(where).agg(F.count_distinct("household_key")).scalar()
     buyers = w["mart_category_household_weekly"].where(where).groupBy("category_key").agg(
         F.count_distinct("household_key").alias("dynamic_category_buying_households")
     )
@@ -238,7 +240,7 @@ def _sides(w):
 def windows_over_baskets(w, by=()):
     sides = _sides(w)
     # One row per group and side keeps the distinct counts apart; a week may be on both sides.
-    tagged = w["mart_basket"].withColumn(
+    tagged = w["mart_basket" if "segment" in by else "fct_basket"].withColumn(
         "side",
         F.explode(F.array_compact(F.array(*[F.when(flag, s) for s, flag in sides.items()]))),
     )

@@ -200,42 +200,44 @@ def source_profile_summary(w):
 def column_profile(w):
     """Per column: rows, blanks, distinct values and text range.
 
-    Cells become (column, text) pairs that are counted before the shuffle, so every distinct
+    Cells become (column number, text) pairs that are counted before the shuffle, so every distinct
     count of a source shares one exchange keyed on the value itself.
     """
     frames = []
     for source in CONTRACTS:
         df = w.raw(source)
-        kinds = dict(df.dtypes)
-        pairs = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column_name"),
-                    F.lit(kinds[c]).alias("column_type"),
-                    F.col(c).cast("string").alias("value"),
-                )
-                for c in df.columns
-            ]
+        cells = F.array(*[F.col(c).cast("string") for c in df.columns])
+        counted = (
+            df.select(F.posexplode(cells).alias("place", "value"))
+            .groupBy("place", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
         )
+        names, kinds = (F.array(*map(F.lit, parts)) for parts in zip(*df.dtypes))
         frames.append(
-            df.select(F.explode(pairs).alias("p"))
-            .groupBy(F.lit(source).alias("source_name"), "p.column_name", "p.column_type", "p.value")
-            .agg(F.count(F.lit(1)).alias("n"))
+            _column_summary(counted).select(
+                F.lit(source).alias("source_name"),
+                F.get(names, F.col("place")).alias("column_name"),
+                F.get(kinds, F.col("place")).alias("column_type"),
+                "row_count",
+                "null_or_blank_count",
+                "distinct_count",
+                "min_value",
+                "max_value",
+            )
         )
+    return pinned(stacked(frames))
+
+
+def _column_summary(counted):
     value = F.col("value")
     empty = value.isNull() | (F.trim(value) == "")
-    profile = (
-        stacked(frames)
-        .groupBy("source_name", "column_name", "column_type")
-        .agg(
-            F.sum("n").alias("row_count"),
-            F.sum(F.when(empty, F.col("n")).otherwise(0)).alias("null_or_blank_count"),
-            F.count("value").alias("distinct_count"),
-            F.min("value").alias("min_value"),
-            F.max("value").alias("max_value"),
-        )
+    return counted.groupBy("place").agg(
+        F.sum("n").alias("row_count"),
+        F.sum(F.when(empty, F.col("n")).otherwise(0)).alias("null_or_blank_count"),
+        F.count("value").alias("distinct_count"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
     )
-    return pinned(profile)
 
 
 @table("source")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelspark import fixed_text as text
 from panelspark.functions.bootstrap import bootstrap_interval
-from panelspark.functions.columns import label, mean_ratio, ratio, wilson
+from panelspark.functions.columns import label, ratio, wilson
 from panelspark.functions.ordering import pinned, with_before
 from panelspark.functions.quantiles import weighted_quantile
 from panelspark.functions.tails import chi_square_p, mann_whitney_p
@@ -98,19 +98,19 @@ def promotion_values(w):
 @table("internal")
 def promotion_ranks(w):
     """One row per (value, state) with ties and the rows below it, overall and in 'none'."""
-    cells = w["promotion_values"].groupBy("value", "promo_state_group").agg(
-        F.count(F.lit(1)).alias("n")
+    cells = pinned(
+        w["promotion_values"].groupBy("value", "promo_state_group").agg(
+            F.count(F.lit(1)).alias("n")
+        )
     )
+    base = F.col("promo_state_group") == "none"
     values = cells.groupBy("value").agg(
-        F.sum("n").alias("ties"),
-        F.sum(F.when(F.col("promo_state_group") == "none", F.col("n")).otherwise(0)).alias("n0"),
+        F.sum("n").alias("ties"), F.sum(F.when(base, F.col("n")).otherwise(0)).alias("n0")
+    )
+    placed = with_before(
+        values, [F.col("value")], {"before": F.col("ties"), "before0": F.col("n0")}
     )
-    # One pass places both counts: the weight of a value is its total, and 'none' rows below it
-    # are carried the same way.
-    placed = with_before(values, [F.col("value")], F.col("ties"))
-    below = with_before(values.select("value", "n0"), [F.col("value")], F.col("n0"))
-    both = placed.join(below.select("value", F.col("before").alias("before0")), "value")
-    return pinned(cells.join(both, "value"))
+    return pinned(cells.join(placed, "value"))
 
 
 def tie_term(t):
@@ -146,9 +146,10 @@ def stats_promotion_kruskal(w):
     h = raw / F.nullif(F.lit(1.0) - F.col("_t") / (n * n * n - n), F.lit(0.0))
     nan = F.lit(float("nan"))
     eta = F.when(n > k, F.greatest(F.lit(0.0), ratio(h - k + 1, n - k))).otherwise(nan)
-    stats = w["promotion_values"].groupBy("promo_state_group").agg(
-        F.count(F.lit(1)).alias("n"),
-        mean_ratio("value", 6).alias("mean_panel_sales_per_product_store_week"),
+    kept = F.col("value").cast("decimal(24,6)") * F.col("n").cast("decimal(12,0)")
+    stats = ranks.groupBy("promo_state_group").agg(
+        F.sum("n").alias("n"),
+        ratio(F.sum(kept), F.sum("n")).alias("mean_panel_sales_per_product_store_week"),
     )
     cells = ranks.select("promo_state_group", "value", F.col("n").alias("c"))
     middle = weighted_quantile(

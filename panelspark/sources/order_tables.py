@@ -17,12 +17,25 @@ class OrderTables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read_once: dict[str, DataFrame] = {}
 
     def __call__(self, source: str) -> DataFrame:
         return getattr(self, source)()
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read_once:
+            self._read_once[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read_once[name]
+
+    def _read_wide(self, name: str, key: str) -> DataFrame:
+        """Scan a large table; one stored in fewer pieces than there are cores is spread by key.
+
+        A scan that already has a task per core, as any large table has, is left alone.
+        """
+        rows, cores = self._read(name), self.spark.sparkContext.defaultParallelism
+        if rows.select(key).rdd.getNumPartitions() >= cores:
+            return rows
+        return rows.repartition(cores, key)
 
     def _trips(self) -> DataFrame:
         since = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
@@ -50,7 +63,7 @@ class OrderTables:
             .when(key % 211 == 0, F.col("l_quantity") * 10)
             .otherwise(F.col("l_quantity"))
         )
-        lines = self._read("lineitem").withColumnRenamed("l_orderkey", "BASKET_ID")
+        lines = self._read_wide("lineitem", "l_orderkey").withColumnRenamed("l_orderkey", "BASKET_ID")
         return lines.join(self._trips(), "BASKET_ID").select(
             "household_key",
             "BASKET_ID",
