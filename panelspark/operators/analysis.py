@@ -19,6 +19,7 @@ from panelspark.functions.columns import (
 )
 from panelspark.functions.ordering import pinned, rank_table
 from panelspark.functions.quantiles import grouped_quantile
+from panelspark.operators.facts import named_categories
 from panelspark.operators.marts import (
     PROMOTED,
     campaign_averages,
@@ -309,9 +310,9 @@ def analysis_category_decomposition(w):
     last = in_last_weeks("week_number", hi, r.window_weeks)
     # One row per category and period, so each distinct count is shuffled on its own value.
     periods = (
-        w["product_lines"]
+        w["category_lines"]
         .where(first | last)
-        .groupBy("department", "commodity", first.alias("early"))
+        .groupBy("category_no", first.alias("early"))
         .agg(
             F.sum("sales_value").alias("spend"),
             F.count_distinct("household_key").alias("buying_households"),
@@ -319,13 +320,14 @@ def analysis_category_decomposition(w):
         )
     )
     measures = ("spend", "buying_households", "category_baskets")
-    sides = periods.groupBy("department", "commodity").agg(
+    sides = periods.groupBy("category_no").agg(
         *[
             F.max(F.when(F.col("early") == is_early, F.col(m))).alias(f"{side}_{m}")
             for m in measures
             for side, is_early in (("early", True), ("late", False))
         ]
     )
+    sides = named_categories(w, sides)
     early, late = F.col("early_spend").cast("double"), F.col("late_spend").cast("double")
     path = F.when((early == 0) & (late > 0), "Emerging").otherwise(trajectory(early, late, r))
     return sides.select(

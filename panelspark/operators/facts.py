@@ -29,6 +29,7 @@ def lines(w):
 @table("internal")
 def products(w):
     """Product attributes every line-level mart needs, with the governed key worked out once."""
+    names = ("department", "commodity")
     return w["dim_product"].select(
         "product_id",
         "department",
@@ -37,28 +38,19 @@ def products(w):
         category_key("department", "commodity").alias("category_key"),
         label("department").alias("department_name"),
         label("commodity").alias("commodity_name"),
+        F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("\u0000")) for c in names]).alias("raw_key"),
     )
 
 
-@table("internal")
-def product_lines(w):
-    """Lines with product attributes.
+def unknown_category(w):
+    """'Unknown|Unknown' when that category exists: where lines without a product row belong."""
+    nameless = (F.col("department") == "Unknown") & (F.col("commodity") == "Unknown")
+    return w["dim_category"].where(nameless).agg(F.max("category_key")).scalar()
 
-    A line without a product row falls into 'Unknown|Unknown' only when that category exists.
-    """
-    unknown = (
-        w["dim_category"]
-        .where((F.col("department") == "Unknown") & (F.col("commodity") == "Unknown"))
-        .agg(F.max("category_key"))
-        .scalar()
-    )
-    name = F.when(unknown.isNotNull(), F.lit("Unknown"))
-    joined = w["lines"].join(w["products"], "product_id", "left")
-    return joined.withColumns(
+
+def line_amounts(df):
+    return df.withColumns(
         {
-            "category_key": F.coalesce("category_key", unknown),
-            "department_name": F.coalesce("department_name", name),
-            "commodity_name": F.coalesce("commodity_name", name),
             "private_sales": F.when(F.col("brand_type") == "PRIVATE", F.col("sales_value")),
             "discount": F.expr(DISCOUNT).cast("decimal(18,4)"),
             "coupon_discount": F.expr(COUPON).cast("decimal(18,4)"),
@@ -66,6 +58,70 @@ def product_lines(w):
     )
 
 
+@table("internal")
+def product_lines(w):
+    """Lines with product attributes."""
+    joined = w["lines"].join(w["products"], "product_id", "left")
+    return line_amounts(joined).withColumn(
+        "category_key", F.coalesce("category_key", unknown_category(w))
+    )
+
+
+@table("internal")
+def category_numbers(w):
+    """One number per raw department and commodity: its smallest product id.
+
+    Household-by-category work groups and shuffles on this number; the names come back at the
+    end, on the aggregated rows.
+    """
+    return w["products"].groupBy("raw_key").agg(
+        F.min("product_id").alias("category_no"),
+        F.max("category_key").alias("category_key"),
+        F.max("department").alias("department"),
+        F.max("commodity").alias("commodity"),
+    )
+
+
+@table("internal")
+def governed_numbers(w):
+    """The same per governed category, whose names are already cleaned."""
+    return w["products"].groupBy("category_key").agg(
+        F.min("product_id").alias("category_no"),
+        F.max("department_name").alias("department"),
+        F.max("commodity_name").alias("commodity"),
+    )
+
+
+def numbered_lines(w, numbers, key, nameless):
+    """Lines with brand and category number; lines without a product take the nameless one."""
+    known = w["products"].join(numbers.select(key, "category_no"), key)
+    found = w["lines"].join(
+        known.select("product_id", "brand_type", "category_no"), "product_id", "left"
+    )
+    spare = numbers.where(nameless).agg(F.max("category_no")).scalar()
+    return line_amounts(found).withColumn("category_no", F.coalesce("category_no", spare))
+
+
+@table("internal")
+def category_lines(w):
+    nameless = F.col("department").isNull() & F.col("commodity").isNull()
+    return numbered_lines(w, w["category_numbers"], "raw_key", nameless)
+
+
+@table("internal")
+def governed_lines(w):
+    nameless = F.col("category_key") == "Unknown|Unknown"
+    return numbered_lines(w, w["governed_numbers"], "category_key", nameless)
+
+
+def named_categories(w, df):
+    """Put category names back on aggregated rows of :func:`category_lines`."""
+    names = w["category_numbers"].drop("raw_key")
+    return df.join(names, "category_no", "left").withColumn(
+        "category_key", F.coalesce("category_key", unknown_category(w))
+    )
+
+
 @table("fact")
 def fct_transaction_line(w):
     return w["lines"].select(

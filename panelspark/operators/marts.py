@@ -14,6 +14,7 @@ from panelspark.functions.columns import (
     trajectory,
 )
 from panelspark.functions.ordering import ntile, pinned
+from panelspark.operators.facts import list_size, named_categories, unknown_category
 from panelspark.plans.registry import table
 
 PROMOTED = ("display_only", "mailer_only", "display_and_mailer")
@@ -70,8 +71,8 @@ def mart_household_weekly(w):
         F.sum("sales_value").alias("net_spend"),
         F.count_distinct("basket_id").alias("baskets"),
         F.count_distinct("product_id").alias("distinct_products"),
-        F.count_distinct("department").alias("distinct_departments"),
-        F.count_distinct("commodity").alias("distinct_commodities"),
+        list_size("department").alias("distinct_departments"),
+        list_size("commodity").alias("distinct_commodities"),
         F.sum("discount").alias("discount_value"),
         F.sum("coupon_discount").alias("coupon_discount"),
         F.sum(zero_if_null("private_sales")).alias("private_label_spend"),
@@ -238,13 +239,15 @@ def mart_basket(w):
     )
 
 
+CATEGORY = ("category_key", "department", "commodity")
+
+
 @table("mart")
 def mart_category_weekly(w):
     active = w["fct_basket"].groupBy("week_number").agg(
         F.count_distinct("household_key").alias("active_panel_households")
     )
-    keys = ["week_number", "category_key", "department", "commodity"]
-    sold = w["product_lines"].groupBy(*keys).agg(
+    sold = w["category_lines"].groupBy("week_number", "category_no").agg(
         F.sum("sales_value").alias("panel_net_spend"),
         F.count_distinct("household_key").alias("buying_households"),
         F.count_distinct("basket_id").alias("category_baskets"),
@@ -252,8 +255,9 @@ def mart_category_weekly(w):
         F.sum("gross_spend_before_recorded_discounts").alias("_gross"),
         F.sum(zero_if_null("private_sales")).alias("_private"),
     )
-    return sold.join(active, "week_number", "left").select(
-        *keys,
+    return named_categories(w, sold).join(active, "week_number", "left").select(
+        "week_number",
+        *CATEGORY,
         "panel_net_spend",
         "buying_households",
         "active_panel_households",
@@ -267,21 +271,18 @@ def mart_category_weekly(w):
 
 @table("mart")
 def mart_brand_category(w):
-    return (
-        w["product_lines"]
-        .groupBy("category_key", "department", "commodity", "brand_type")
-        .agg(
-            F.sum("sales_value").alias("panel_net_spend"),
-            F.count_distinct("household_key").alias("buying_households"),
-            F.count_distinct("basket_id").alias("baskets"),
-            ratio(F.sum("sales_value"), F.count_distinct("household_key")).alias(
-                "spend_per_buying_household"
-            ),
-            ratio(F.sum("discount"), F.sum("gross_spend_before_recorded_discounts")).alias(
-                "discount_rate"
-            ),
-        )
+    spend, people = F.sum("sales_value"), F.count_distinct("household_key")
+    sold = w["category_lines"].groupBy("category_no", "brand_type").agg(
+        spend.alias("panel_net_spend"),
+        people.alias("buying_households"),
+        F.count_distinct("basket_id").alias("baskets"),
+        ratio(spend, people).alias("spend_per_buying_household"),
+        ratio(F.sum("discount"), F.sum("gross_spend_before_recorded_discounts")).alias(
+            "discount_rate"
+        ),
     )
+    named = named_categories(w, sold)
+    return named.select(*CATEGORY, *[c for c in sold.columns if c != "category_no"])
 
 
 @table("mart")
@@ -299,14 +300,8 @@ def mart_promotion_category_week(w):
     per_product = skeleton.groupBy("product_id", "week_number", "promo_state_group").agg(
         F.count(F.lit(1)).alias("product_store_weeks"), *[F.sum(c).alias(c) for c in amounts]
     )
-    unknown = (
-        w["dim_category"]
-        .where((F.col("department") == "Unknown") & (F.col("commodity") == "Unknown"))
-        .agg(F.max("category_key"))
-        .scalar()
-    )
     named = per_product.join(w["products"], "product_id", "left").withColumn(
-        "category_key", F.coalesce("category_key", unknown)
+        "category_key", F.coalesce("category_key", unknown_category(w))
     )
     return named.groupBy(
         "category_key", "commodity", "department", "week_number", "promo_state_group"
@@ -520,66 +515,40 @@ def mart_decision_alerts(w):
 
 @table("mart")
 def mart_category_household(w):
-    """Household x category history.
-
-    Distinct weeks, days, baskets and coupon baskets are counted over one row per trip;
-    distinct products over one row per product, so lines are not expanded once per count.
-    """
-    keys = ["household_key", "category_key", "department", "commodity"]
-    x = w["product_lines"]
-    trips = x.groupBy(*keys, "basket_id", "day_key", "week_number").agg(
-        F.sum("sales_value").alias("sales"),
-        F.sum("discount").alias("discount"),
-        F.sum("coupon_discount").alias("coupon"),
-        F.max(F.coalesce(F.col("coupon_discount") > 0, F.lit(False))).alias("with_coupon"),
-        F.sum(zero_if_null("private_sales")).alias("private"),
-    )
-    history = trips.groupBy(*keys).agg(
+    history = w["category_lines"].groupBy("household_key", "category_no").agg(
         F.min("day_key").alias("first_observed_day"),
         F.max("day_key").alias("last_observed_day"),
         F.min("week_number").alias("first_observed_week"),
         F.max("week_number").alias("last_observed_week"),
         F.count_distinct("week_number").alias("active_weeks"),
         F.count_distinct("day_key").alias("active_days"),
-        F.sum("sales").alias("panel_net_spend"),
+        F.sum("sales_value").alias("panel_net_spend"),
         F.count_distinct("basket_id").alias("category_baskets"),
+        F.count_distinct("product_id").alias("distinct_products"),
         F.sum("discount").alias("discount_value"),
-        F.sum("coupon").alias("coupon_discount"),
-        F.count_distinct(F.when(F.col("with_coupon"), F.col("basket_id"))).alias("coupon_baskets"),
-        F.sum("private").alias("private_label_spend"),
-    )
-    variety = x.groupBy(*keys).agg(F.count_distinct("product_id").alias("distinct_products"))
-    other = variety.select(*[F.col(k).alias(f"_{k}") for k in keys], "distinct_products")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return history.join(other, same, "left").select(
-        *keys,
-        *[c for c in history.columns if c not in keys][:8],
-        "distinct_products",
-        *[c for c in history.columns if c not in keys][8:],
+        F.sum("coupon_discount").alias("coupon_discount"),
+        F.count_distinct(F.when(F.col("coupon_discount") > 0, F.col("basket_id"))).alias(
+            "coupon_baskets"
+        ),
+        F.sum(zero_if_null("private_sales")).alias("private_label_spend"),
     )
+    measures = [c for c in history.columns if c not in ("household_key", "category_no")]
+    return named_categories(w, history).select("household_key", *CATEGORY, *measures)
 
 
 @table("mart")
 def mart_category_household_weekly(w):
-    return (
-        w["product_lines"]
-        .groupBy(
-            "household_key",
-            "week_number",
-            "category_key",
-            F.col("department_name").alias("department"),
-            F.col("commodity_name").alias("commodity"),
-        )
-        .agg(
-            F.sum("sales_value").alias("panel_net_spend"),
-            F.count_distinct("basket_id").alias("category_baskets"),
-            F.sum("quantity_raw").alias("units"),
-            F.count_distinct("product_id").alias("distinct_products"),
-            F.sum("discount").alias("discount_value"),
-        )
+    keys = ("household_key", "week_number")
+    bought = w["governed_lines"].groupBy(*keys, "category_no").agg(
+        F.sum("sales_value").alias("panel_net_spend"),
+        F.count_distinct("basket_id").alias("category_baskets"),
+        F.sum("quantity_raw").alias("units"),
+        F.count_distinct("product_id").alias("distinct_products"),
+        F.sum("discount").alias("discount_value"),
     )
+    measures = [c for c in bought.columns if c not in (*keys, "category_no")]
+    named = bought.join(w["governed_numbers"], "category_no", "left")
+    return named.select(*keys, *CATEGORY, *measures)
 
 
 @table("mart")
