@@ -630,14 +630,18 @@ def analysis_private_label_anomalies(w):
 def private_label_category_audit(w):
     """Full-period private-label share per governed category, with its range check."""
     own = F.sum(zero_if_null("private_sales"))
-    shares = w["product_lines"].groupBy("category_key").agg(
+    shares = w["governed_lines"].groupBy("category_no").agg(
         own.alias("private_label_spend"),
         F.sum("sales_value").alias("category_spend"),
         ratio(own, F.sum("sales_value")).alias("private_label_share"),
     )
-    share = F.col("private_label_share")
-    return shares.withColumn(
-        "audit_status", F.when(share.between(0, 1), "PASS").otherwise("REVIEW")
+    in_range = F.col("private_label_share").between(0, 1)
+    return shares.join(w["governed_numbers"], "category_no", "left").select(
+        "category_key",
+        "private_label_spend",
+        "category_spend",
+        "private_label_share",
+        F.when(in_range, "PASS").otherwise("REVIEW").alias("audit_status"),
     )
 
 

@@ -157,8 +157,10 @@ EXPORTS = (
 
 @table("export")
 def export_curated(w):
-    """Write every governed table and report what was written."""
-    return files.export_tables(w, EXPORTS).report
+    """A full build: shared facts first, then every governed table, each derived once."""
+    build = w.fork()
+    build.materialise_facts(files.work_folder(w.spark, "facts"))
+    return files.export_tables(build, EXPORTS, reuse=True).report
 
 
 @table("export")

@@ -9,6 +9,11 @@ from panelspark.operators import load_all
 from panelspark.plans.registry import BUILDERS
 
 
+#: Applied where the session leaves them unset. A hot key may sit under a join whose result is
+#: then grouped on the same key: splitting it is worth the extra shuffle.
+SETTINGS = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+
+
 class Warehouse:
     """Builds each table once per instance, as a lazy DataFrame, from the tables below it.
 
@@ -23,6 +28,10 @@ class Warehouse:
         rules: Thresholds | None = None,
     ):
         load_all()
+        chosen = spark.conf.getAll
+        for key, value in SETTINGS.items():
+            if key not in chosen:
+                spark.conf.set(key, value)
         self.spark = spark
         self.rules = rules or Thresholds()
         self._sources = sources
@@ -39,9 +48,33 @@ class Warehouse:
             self._tables[name] = BUILDERS[name](self)
         return self._tables[name]
 
+    def fork(self) -> "Warehouse":
+        """A warehouse over the same sources with nothing derived yet."""
+        return Warehouse(self.spark, self.raw, self.rules)
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Use ``df`` as a table from now on."""
+        self._tables[name] = df
+
     def materialise(self, folder: str, names: Iterable[str]) -> None:
         """Write tables to ``folder`` and let everything downstream read those files."""
         for name in names:
             path = f"{folder}/{name}"
             self[name].write.mode("overwrite").option("compression", "zstd").parquet(path)
-            self._tables[name] = self.spark.read.parquet(path)
+            self.replace(name, self.spark.read.parquet(path))
+
+    def materialise_facts(self, folder: str) -> None:
+        """Write what most tables are built from, so a full build derives each of it once."""
+        staged = self["stg_transaction"].columns
+        self.materialise(folder, ["lines"])
+        self.replace("stg_transaction", self["lines"].select(*staged))
+        self.materialise(
+            folder,
+            [
+                "products",
+                "fct_basket",
+                "mart_household_weekly",
+                "fct_promotion_product_store_week",
+                "fct_campaign_exposure",
+            ],
+        )

@@ -99,10 +99,13 @@ class Export:
     report: DataFrame
 
 
-def export_tables(w, names, kind="parquet", run_id="manual", folder=None, keep_going=False):
+def export_tables(
+    w, names, kind="parquet", run_id="manual", folder=None, keep_going=False, reuse=False
+):
     """Write tables under their export names with the run id; one report row per table.
 
-    Money stays DECIMAL in the files, so totals recomputed from them are exact.
+    Money stays DECIMAL in the files, so totals recomputed from them are exact. With ``reuse``
+    a written parquet table also serves the tables built from it.
     """
     folder = folder or work_folder(w.spark, "export")
     report = []
@@ -112,6 +115,8 @@ def export_tables(w, names, kind="parquet", run_id="manual", folder=None, keep_g
         try:
             stamped = w[name].withColumn("pipeline_run_id", F.lit(run_id))
             rows = write_counted(stamped, out, kind)
+            if reuse:
+                w.replace(name, read_parquet(w.spark, out).drop("pipeline_run_id"))
         except PySparkException as problem:
             if not keep_going:
                 raise
