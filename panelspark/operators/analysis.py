@@ -48,7 +48,7 @@ def positive_ln(c):
 def first_last_totals(w):
     """One row: spend, household-weeks, distinct households and baskets of both windows."""
     r = w.rules
-    lo, hi = week_bounds(w["stg_transaction"])
+    lo, hi = week_bounds(w)
     weekly = w["mart_panel_weekly"]
     first = in_first_weeks("week_number", lo, r.window_weeks)
     # A week in both windows counts as first.
@@ -66,7 +66,7 @@ def first_last_totals(w):
 def distinct_window_totals(w):
     """Like :func:`first_last_totals` with households counted once per window."""
     r = w.rules
-    lo, hi = week_bounds(w["stg_transaction"])
+    lo, hi = week_bounds(w)
     first = in_first_weeks("week_number", lo, r.window_weeks)
     last = ~first & in_last_weeks("week_number", hi, r.window_weeks)
     return w["fct_basket"].where(first | last).agg(
@@ -305,7 +305,7 @@ def analysis_category_penetration(w):
 @table("analysis")
 def analysis_category_decomposition(w):
     r = w.rules
-    lo, hi = week_bounds(w["stg_transaction"])
+    lo, hi = week_bounds(w)
     first = in_first_weeks("week_number", lo, r.window_weeks)
     last = in_last_weeks("week_number", hi, r.window_weeks)
     # One row per category and period, so each distinct count is shuffled on its own value.
@@ -699,7 +699,7 @@ def loss(c):
 @table("internal")
 def category_losses(w):
     r = w.rules
-    lo, hi = week_bounds(w["stg_transaction"])
+    lo, hi = week_bounds(w)
     first = in_first_weeks("week_number", lo, r.window_weeks)
     last = in_last_weeks("week_number", hi, r.window_weeks)
     buyers = w["stg_transaction"]
@@ -894,7 +894,7 @@ def analysis_demographic_summary(w):
 @table("analysis")
 def analysis_first_observed_cohort(w):
     weeks = w.rules.window_weeks
-    last = w["stg_transaction"].agg(F.max("week_number")).scalar()
+    _, last = week_bounds(w)
     first_week = w["mart_household_weekly"].groupBy("household_key").agg(
         F.min("week_number").alias("first_observed_week"),
         F.sum("net_spend").alias("spend"),
@@ -922,7 +922,7 @@ def analysis_first_observed_cohort(w):
 def trimmed_segment(w):
     """Segments recomputed without the last weeks; 'engaged' needs growth here, as specified."""
     r = w.rules
-    lo, hi = week_bounds(w["stg_transaction"])
+    lo, hi = week_bounds(w)
     top = hi - F.lit(r.exclusion_weeks)
     early = in_first_weeks("week_number", lo, r.window_weeks)
     late = in_last_weeks("week_number", top, r.window_weeks)

@@ -21,9 +21,9 @@ SEGMENTS = (
 
 def _spine(w, column, first, last):
     """Every index between the observed bounds, gaps included."""
+    ends = F.min(column), F.max(column)
     seen = w["stg_transaction"].agg(
-        F.coalesce(F.min(column), F.lit(first)).alias("lo"),
-        F.coalesce(F.max(column), F.lit(last)).alias("hi"),
+        *[F.coalesce(e, F.lit(d)).alias(n) for e, d, n in zip(ends, (first, last), ("lo", "hi"))]
     )
     return seen.select(F.explode(F.sequence("lo", "hi")).alias(column))
 

@@ -74,21 +74,16 @@ def category_numbers(w):
     Household-by-category work groups and shuffles on this number; the names come back at the
     end, on the aggregated rows.
     """
-    return w["products"].groupBy("raw_key").agg(
-        F.min("product_id").alias("category_no"),
-        F.max("category_key").alias("category_key"),
-        F.max("department").alias("department"),
-        F.max("commodity").alias("commodity"),
-    )
+    names = ("raw_key", "category_key", "department", "commodity")
+    return w["products"].groupBy(*names).agg(F.min("product_id").alias("category_no"))
 
 
 @table("internal")
 def governed_numbers(w):
     """The same per governed category, whose names are already cleaned."""
-    return w["products"].groupBy("category_key").agg(
-        F.min("product_id").alias("category_no"),
-        F.max("department_name").alias("department"),
-        F.max("commodity_name").alias("commodity"),
+    cleaned = w["products"].groupBy("category_key", "department_name", "commodity_name")
+    return cleaned.agg(F.min("product_id").alias("category_no")).withColumnsRenamed(
+        {"department_name": "department", "commodity_name": "commodity"}
     )
 
 
@@ -144,20 +139,19 @@ def fct_basket(w):
     sums = {
         "basket_net_spend": "sales_value",
         "basket_gross_spend": "gross_spend_before_recorded_discounts",
-        "basket_discount_value": "discount",
-        "basket_coupon_discount": "coupon_discount",
+        "basket_discount_value": DISCOUNT,
+        "basket_coupon_discount": COUPON,
         "basket_quantity_raw": "quantity_raw",
     }
-    has_coupon = F.coalesce(F.col("coupon_discount") > 0, F.lit(False))
-    bought = w["product_lines"].groupBy("basket_id", "product_id").agg(
+    bought = w["lines"].groupBy("basket_id", "product_id").agg(
         *[F.max(c).alias(c) for c in carried],
-        *[F.sum(source).alias(name) for name, source in sums.items()],
+        *[F.sum(F.expr(source)).alias(name) for name, source in sums.items()],
         F.count(F.lit(1)).alias("basket_line_count"),
-        F.max("department").alias("department"),
-        F.max("commodity").alias("commodity"),
-        F.max(has_coupon).alias("has_coupon_discount"),
+        F.max(F.coalesce(F.expr(f"{COUPON} > 0"), F.lit(False))).alias("has_coupon_discount"),
         F.max("transaction_hour").alias("transaction_hour"),
     )
+    names = w["products"].select("product_id", "department", "commodity")
+    bought = bought.join(names, "product_id", "left")
     baskets = bought.groupBy("basket_id").agg(
         *[F.max(c).alias(c) for c in carried],
         *[F.sum(name).alias(name) for name in sums],
@@ -201,9 +195,9 @@ def fct_promotion_product_store_week(w):
 @table("fact")
 def fct_campaign_exposure(w):
     r = w.rules
-    seen = w["stg_transaction"]
-    first = seen.agg(F.coalesce(F.min("day_key"), F.lit(r.first_day))).scalar()
-    last = seen.agg(F.coalesce(F.max("day_key"), F.lit(r.last_day))).scalar()
+    seen = w.bounds
+    first = F.lit(r.first_day if seen.first_day is None else seen.first_day)
+    last = F.lit(r.last_day if seen.last_day is None else seen.last_day)
     start, end = F.col("start_day"), F.col("end_day")
     # Distinct pairs joined to distinct campaign rows stay distinct.
     return (

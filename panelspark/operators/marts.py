@@ -14,18 +14,21 @@ from panelspark.functions.columns import (
     trajectory,
 )
 from panelspark.functions.ordering import ntile, pinned
-from panelspark.operators.facts import list_size, named_categories, unknown_category
+from panelspark.operators.facts import (
+    COUPON,
+    DISCOUNT,
+    list_size,
+    named_categories,
+    unknown_category,
+)
 from panelspark.plans.registry import table
 
 PROMOTED = ("display_only", "mailer_only", "display_and_mailer")
 
 
-def week_bounds(df):
-    """Smallest and largest week as scalar subqueries."""
-    return (
-        df.agg(F.min("week_number")).scalar(),
-        df.agg(F.max("week_number")).scalar(),
-    )
+def week_bounds(w):
+    """First and last observed week as literals, so that week filters reach the scan."""
+    return F.lit(w.bounds.first_week).cast("int"), F.lit(w.bounds.last_week).cast("int")
 
 
 @table("mart")
@@ -66,16 +69,42 @@ def zero_if_null(c):
 
 @table("mart")
 def mart_household_weekly(w):
+    """Products are counted over one row per product, baskets over their own column.
+
+    The two sides meet on household and week; neither repeats a line once per counted column.
+    """
     keys = ["household_key", "week_number"]
-    return w["product_lines"].groupBy(*keys).agg(
+    bought = w["lines"].groupBy(*keys, "product_id").agg(
         F.sum("sales_value").alias("net_spend"),
-        F.count_distinct("basket_id").alias("baskets"),
-        F.count_distinct("product_id").alias("distinct_products"),
+        F.sum(F.expr(DISCOUNT)).alias("discount_value"),
+        F.sum(F.expr(COUPON)).alias("coupon_discount"),
+    )
+    private = F.when(F.col("brand_type") == "PRIVATE", F.col("net_spend"))
+    spent = bought.join(w["products"], "product_id", "left").groupBy(*keys).agg(
+        F.sum("net_spend").alias("net_spend"),
+        F.count("product_id").alias("distinct_products"),
         list_size("department").alias("distinct_departments"),
         list_size("commodity").alias("distinct_commodities"),
-        F.sum("discount").alias("discount_value"),
+        F.sum("discount_value").alias("discount_value"),
         F.sum("coupon_discount").alias("coupon_discount"),
-        F.sum(zero_if_null("private_sales")).alias("private_label_spend"),
+        F.sum(F.coalesce(private, F.lit(0).cast("decimal(28,4)"))).alias("private_label_spend"),
+    )
+    trips = w["lines"].groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.count_distinct("basket_id").alias("baskets")
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return spent.join(trips, same).select(
+        *keys,
+        "net_spend",
+        "baskets",
+        "distinct_products",
+        "distinct_departments",
+        "distinct_commodities",
+        "discount_value",
+        "coupon_discount",
+        "private_label_spend",
     )
 
 
@@ -83,7 +112,7 @@ def mart_household_weekly(w):
 def mart_household_summary(w):
     r = w.rules
     weekly = w["mart_household_weekly"]
-    min_week, max_week = week_bounds(w["stg_transaction"])
+    min_week, max_week = week_bounds(w)
     early = in_first_weeks("week_number", min_week, r.window_weeks)
     late = in_last_weeks("week_number", max_week, r.window_weeks)
     per_household = weekly.groupBy("household_key").agg(
@@ -424,18 +453,19 @@ def mart_coupon_summary(w):
 @table("mart")
 def mart_cross_category_pair(w):
     r = w.rules
-    total = w["stg_transaction"].agg(F.count_distinct("basket_id")).scalar()
+    # A basket becomes the sorted list of its commodities, each once. Baskets with the same list
+    # collapse to one weighted row before pairs are formed. Baskets of unknown products keep an
+    # empty list: they count in the total.
     bought = (
         w["lines"]
+        .where("basket_id IS NOT NULL")
         .select("basket_id", "product_id")
-        .join(w["dim_product"].select("product_id", "commodity"), "product_id")
-        .where("commodity IS NOT NULL")
+        .join(w["products"].select("product_id", "commodity"), "product_id", "left")
         .groupBy("basket_id")
         .agg(F.sort_array(F.collect_set("commodity")).alias("items"))
     )
-    # Baskets with the same contents collapse to one weighted row before pairs are formed;
-    # a row holds each commodity once, so pairs per row are bounded by the commodity list.
-    patterns = bought.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    patterns = pinned(bought.groupBy("items").agg(F.count(F.lit(1)).alias("n")))
+    total = patterns.agg(F.sum("n")).scalar()
     singles = (
         patterns.select(F.explode("items").alias("commodity"), "n")
         .groupBy("commodity")

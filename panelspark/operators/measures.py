@@ -14,6 +14,7 @@ from panelspark.functions.columns import mean, mean_ratio, ratio
 from panelspark.operators.marts import redeemer, week_bounds
 from panelspark.operators.quality import stacked
 from panelspark.plans.registry import table
+from panelspark.sources.files import work_folder
 
 
 @dataclass(frozen=True)
@@ -226,13 +227,13 @@ def dynamic_category_penetration(w, where):
 @table("measure")
 def measures_dynamic_penetration(w):
     """The supplement's any-weeks penetration over the last 13 weeks."""
-    _, top = week_bounds(w["stg_transaction"])
+    _, top = week_bounds(w)
     return dynamic_category_penetration(w, F.col("week_number") > top - w.rules.window_weeks)
 
 
 def _sides(w):
     """First and last windows against the whole week spine, whatever the query filters."""
-    lo, hi = week_bounds(w["stg_transaction"])
+    lo, hi = week_bounds(w)
     n, week = w.rules.window_weeks, F.col("week_number")
     return {"first_13w": week.between(lo, lo + n - 1), "last_13w": week.between(hi - n + 1, hi)}
 
@@ -390,7 +391,16 @@ RELATIONSHIPS = {
 
 @table("measure")
 def star_relationships(w):
-    """Each single-direction relationship needs a unique dimension key and no orphan fact key."""
+    """Each single-direction relationship needs a unique dimension key and no orphan fact key.
+
+    Runs on a build of its own: a table checked on several keys is derived once.
+    """
+    folder = work_folder(w.spark, "relationships")
+    w = w.fork()
+    w.materialise_facts(folder)
+    facts = [f for names in RELATIONSHIPS.values() for f in names]
+    shared = {*(f for f in facts if facts.count(f) > 1), "mart_campaign_household"}
+    w.materialise(folder, [f for f in dict.fromkeys(facts) if f in shared])
     frames = []
     for (dim, key), facts in RELATIONSHIPS.items():
         members = w[dim]

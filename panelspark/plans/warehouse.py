@@ -1,8 +1,10 @@
 """The warehouse: named lazy tables over eight sources."""
 
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelspark.config import Thresholds
 from panelspark.operators import load_all
@@ -14,6 +16,13 @@ from panelspark.plans.registry import BUILDERS
 SETTINGS = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
 
 
+class Bounds(NamedTuple):
+    first_day: int | None
+    last_day: int | None
+    first_week: int | None
+    last_week: int | None
+
+
 class Warehouse:
     """Builds each table once per instance, as a lazy DataFrame, from the tables below it.
 
@@ -37,6 +46,7 @@ class Warehouse:
         self._sources = sources
         self._raw: dict[str, DataFrame] = {}
         self._tables: dict[str, DataFrame] = {}
+        self._bounds: Bounds | None = None
 
     def raw(self, source: str) -> DataFrame:
         if source not in self._raw:
@@ -48,6 +58,14 @@ class Warehouse:
             self._tables[name] = BUILDERS[name](self)
         return self._tables[name]
 
+    @property
+    def bounds(self) -> Bounds:
+        """First and last observed day and week: one row, read once and used as literals."""
+        if self._bounds is None:
+            ends = [f(c) for c in ("day_key", "week_number") for f in (F.min, F.max)]
+            self._bounds = Bounds(*self["stg_transaction"].agg(*ends).first())
+        return self._bounds
+
     def fork(self) -> "Warehouse":
         """A warehouse over the same sources with nothing derived yet."""
         return Warehouse(self.spark, self.raw, self.rules)
