@@ -569,7 +569,7 @@ def analysis_household_engagement_sequence(w):
     share of all households, so ranks come from value counts ordered across the cluster.
     """
     along = Window.partitionBy("household_key").orderBy(F.col("week_number").asc_nulls_last())
-    rows = w["mart_household_weekly"].select("household_key", "week_number", "net_spend", "baskets")
+    rows = w["household_week_spend"].select("household_key", "week_number", "net_spend", "baskets")
     sequence = rows.select(
         "*",
         F.lag("net_spend").over(along).alias("prior_week_spend"),
@@ -865,7 +865,7 @@ def analysis_category_lmdi(w):
 
 @table("analysis")
 def analysis_demographic_summary(w):
-    spend = w["mart_household_weekly"].groupBy("household_key").agg(
+    spend = w["household_week_spend"].groupBy("household_key").agg(
         F.sum("net_spend").alias("observed_lifetime_spend")
     )
     people = w["dim_household"].agg(F.count_distinct("household_key")).scalar()
@@ -895,7 +895,7 @@ def analysis_demographic_summary(w):
 def analysis_first_observed_cohort(w):
     weeks = w.rules.window_weeks
     _, last = week_bounds(w)
-    first_week = w["mart_household_weekly"].groupBy("household_key").agg(
+    first_week = w["household_week_spend"].groupBy("household_key").agg(
         F.min("week_number").alias("first_observed_week"),
         F.sum("net_spend").alias("spend"),
         F.sum("baskets").alias("trips"),
@@ -930,7 +930,7 @@ def trimmed_segment(w):
         ratio(F.count_if("has_coupon_discount"), F.count(F.lit(1))).alias("coupon_basket_rate")
     )
     summary = (
-        w["mart_household_weekly"]
+        w["household_week_spend"]
         .where(F.col("week_number") <= top)
         .groupBy("household_key")
         .agg(

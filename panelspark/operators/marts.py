@@ -14,13 +14,7 @@ from panelspark.functions.columns import (
     trajectory,
 )
 from panelspark.functions.ordering import ntile, pinned
-from panelspark.operators.facts import (
-    COUPON,
-    DISCOUNT,
-    list_size,
-    named_categories,
-    unknown_category,
-)
+from panelspark.operators.facts import list_size, named_categories, unknown_category
 from panelspark.plans.registry import table
 
 PROMOTED = ("display_only", "mailer_only", "display_and_mailer")
@@ -67,35 +61,39 @@ def zero_if_null(c):
     return F.coalesce(c if not isinstance(c, str) else F.col(c), F.lit(0).cast("decimal(18,4)"))
 
 
+@table("internal")
+def household_week_spend(w):
+    """Spend and trips per household and week: one pass, one distinct count."""
+    return w["product_lines"].groupBy("household_key", "week_number").agg(
+        F.sum("sales_value").alias("net_spend"),
+        F.count_distinct("basket_id").alias("baskets"),
+        F.sum("discount").alias("discount_value"),
+        F.sum("coupon_discount").alias("coupon_discount"),
+        F.sum(zero_if_null("private_sales")).alias("private_label_spend"),
+    )
+
+
 @table("mart")
 def mart_household_weekly(w):
-    """Products are counted over one row per product, baskets over their own column.
+    """Spend, plus the variety of products counted over one row per product.
 
-    The two sides meet on household and week; neither repeats a line once per counted column.
+    The two sides meet on household and week; no line is repeated per counted column.
     """
     keys = ["household_key", "week_number"]
-    bought = w["lines"].groupBy(*keys, "product_id").agg(
-        F.sum("sales_value").alias("net_spend"),
-        F.sum(F.expr(DISCOUNT)).alias("discount_value"),
-        F.sum(F.expr(COUPON)).alias("coupon_discount"),
-    )
-    private = F.when(F.col("brand_type") == "PRIVATE", F.col("net_spend"))
-    spent = bought.join(w["products"], "product_id", "left").groupBy(*keys).agg(
-        F.sum("net_spend").alias("net_spend"),
-        F.count("product_id").alias("distinct_products"),
-        list_size("department").alias("distinct_departments"),
-        list_size("commodity").alias("distinct_commodities"),
-        F.sum("discount_value").alias("discount_value"),
-        F.sum("coupon_discount").alias("coupon_discount"),
-        F.sum(F.coalesce(private, F.lit(0).cast("decimal(28,4)"))).alias("private_label_spend"),
-    )
-    trips = w["lines"].groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.count_distinct("basket_id").alias("baskets")
+    bought = w["lines"].select(*keys, "product_id").distinct()
+    variety = (
+        bought.join(w["products"], "product_id", "left")
+        .groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
+        .agg(
+            F.count("product_id").alias("distinct_products"),
+            list_size("department").alias("distinct_departments"),
+            list_size("commodity").alias("distinct_commodities"),
+        )
     )
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return spent.join(trips, same).select(
+    return w["household_week_spend"].join(variety, same).select(
         *keys,
         "net_spend",
         "baskets",
@@ -108,10 +106,18 @@ def mart_household_weekly(w):
     )
 
 
+VARIETY = ("distinct_departments", "distinct_commodities")
+
+
 @table("mart")
 def mart_household_summary(w):
+    return summarise_households(w, w["mart_household_weekly"])
+
+
+def summarise_households(w, weekly):
+    """One row per household; the variety columns only when the weekly frame has them."""
     r = w.rules
-    weekly = w["mart_household_weekly"]
+    variety = [c for c in VARIETY if c in weekly.columns]
     min_week, max_week = week_bounds(w)
     early = in_first_weeks("week_number", min_week, r.window_weeks)
     late = in_last_weeks("week_number", max_week, r.window_weeks)
@@ -128,8 +134,7 @@ def mart_household_summary(w):
             "discount_share"
         ),
         ratio(F.sum("private_label_spend"), F.sum("net_spend")).alias("private_label_share"),
-        F.max("distinct_departments").alias("distinct_departments"),
-        F.max("distinct_commodities").alias("distinct_commodities"),
+        *[F.max(c).alias(c) for c in variety],
         F.sum("baskets").alias("frequency_baskets"),
         mean_when(early, "net_spend").alias("early_avg_weekly_spend"),
         mean_when(late, "net_spend").alias("late_avg_weekly_spend"),
@@ -153,8 +158,7 @@ def mart_household_summary(w):
             "discount_share",
             F.coalesce("_coupon_rate", F.lit(0.0)).alias("coupon_basket_rate"),
             "private_label_share",
-            "distinct_departments",
-            "distinct_commodities",
+            *variety,
             "frequency_baskets",
             "early_avg_weekly_spend",
             "late_avg_weekly_spend",
@@ -215,7 +219,7 @@ def household_scores(w):
     Only the columns the rules read are derived first, so the distinct counts and medians of
     the full summary are not worked out for a label.
     """
-    needed = w["mart_household_summary"].select(
+    needed = summarise_households(w, w["household_week_spend"]).select(
         "household_key",
         "active_weeks",
         "observed_lifetime_spend",

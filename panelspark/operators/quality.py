@@ -157,7 +157,7 @@ def qa_campaign_observability(w):
 
 @table("quality")
 def qa_demographic_coverage(w):
-    totals = w["mart_household_weekly"].groupBy("household_key").agg(
+    totals = w["household_week_spend"].groupBy("household_key").agg(
         F.sum("net_spend").alias("spend"), F.sum("baskets").alias("trips")
     )
     known = F.col("has_demographics")

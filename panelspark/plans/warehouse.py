@@ -91,6 +91,7 @@ class Warehouse:
             [
                 "products",
                 "fct_basket",
+                "household_week_spend",
                 "mart_household_weekly",
                 "fct_promotion_product_store_week",
                 "fct_campaign_exposure",
