@@ -62,7 +62,11 @@ _DETAILS = {
     ),
     "stats_promotion_kruskal": Query(
         "stats_promotion_kruskal",
-        rounded=("kruskal_wallis_stat", "effect_size_eta_squared"),
+        rounded=(
+            "mean_panel_sales_per_product_store_week",
+            "kruskal_wallis_stat",
+            "effect_size_eta_squared",
+        ),
         drop=("kruskal_wallis_p_value",),
     ),
     "stats_promotion_mann_whitney": Query(
