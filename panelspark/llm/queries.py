@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding
+from . import hyperminhash, mixing, packing, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,6 +14,10 @@ def op1_packing(spark, folder):
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op3_minhash_near_dedup(spark, folder):
+    return hyperminhash.near_duplicates(_table(spark, folder, "documents"), percent=85, width=3)
+
+
 def op5_sharding(spark, folder):
     out = sharding.shard(_table(spark, folder, "documents"), shards=24, overhead=8)
     return out.select(
@@ -29,7 +33,7 @@ def op9_mixing(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op5_sharding, op9_mixing)
+    for f in (op1_packing, op3_minhash_near_dedup, op5_sharding, op9_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
