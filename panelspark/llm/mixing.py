@@ -21,6 +21,8 @@ from panelspark.functions.ordering import pinned
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the hash that one histogram resolves, and how often the boundary is refined.
 DIGITS, LEVELS = 3, 3
+#: Up to so many sources (one short row each) their thresholds are broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text):
@@ -96,12 +98,12 @@ def mix(
     )
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     plan = pinned(source_targets(sizes, weights, most))
+    # One row per source: with few sources no row of a hot one has to move.
+    beside = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda df: df
     edge = plan.select("key", "rest", F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("before"))
     for level in range(LEVELS):
         part = F.substring("hash", 1 + level * DIGITS, DIGITS)
-        inside = rows.join(edge, "key")
-        if level:
-            inside = inside.where(F.col("hash").startswith(F.col("prefix")))
+        inside = rows.join(beside(edge), "key").where(F.col("hash").startswith(F.col("prefix")))
         histogram = inside.groupBy("key", "rest", "prefix", "before", part.alias("part")).agg(
             F.sum("size").alias("words")
         )
@@ -109,8 +111,6 @@ def mix(
             _crossing(histogram).select(
                 "key", "rest", F.concat("prefix", "part").alias("prefix"), "before", "words"
             )
-        ) if level == LEVELS - 1 else _crossing(histogram).select(
-            "key", "rest", F.concat("prefix", "part").alias("prefix"), "before"
         )
     last = edge.select(
         "key", "prefix", (F.col("before") + F.col("words") / 2 <= F.col("rest")).alias("with_last")
@@ -120,7 +120,7 @@ def mix(
         (F.col("hash") < F.col("prefix")) | ((F.col("hash") == F.col("prefix")) & F.col("with_last")),
         F.lit(False),
     )
-    return rows.join(cut, "key").select(
+    return rows.join(beside(cut), "key").select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("size") * (F.col("copies") + extra.cast("bigint"))).alias("taken"),
         (F.col("copies") + extra.cast("bigint")).alias("copies"),
