@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, hyperminhash, linedensity, mixing, packing, pii, sharding, winnowing
+from . import chat, covertree, hyperminhash, linedensity, mixing, packing, pii, sharding, toxicity, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_minhash_near_dedup(spark, folder):
     return hyperminhash.near_duplicates(_table(spark, folder, "documents"), percent=85, width=3)
 
 
+def op4_toxicity(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, folder, "labels")))
+
+
 def op5_sharding(spark, folder):
     out = sharding.shard(_table(spark, folder, "documents"), shards=24, overhead=8)
     return out.select(
@@ -75,8 +80,8 @@ def op10_winnowing(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packing, op2_embedding_near_dedup, op3_minhash_near_dedup, op5_sharding,
-        op6_chat_formatting, op7_pii, op8_html_extraction, op9_mixing, op10_winnowing,
+        op1_packing, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_toxicity,
+        op5_sharding, op6_chat_formatting, op7_pii, op8_html_extraction, op9_mixing, op10_winnowing,
     )
 }
 
