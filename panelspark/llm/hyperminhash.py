@@ -6,14 +6,17 @@ borrow from a full one in an order fixed per bucket, so short documents have who
 Bands of compressed registers propose pairs, the register match rate corrected for accidental
 collisions drops hopeless ones, and full shingle sets decide.
 
-Work is kept linear in hot groups. Documents with the same word sequence are one class. In a band
-bucket every class is first compared with the bucket's smallest class only. Classes that this
-leaves in different components are then compared with each other in every bucket they share, so
-no proposed pair that could still join two components is skipped.
+Hot groups need care. Documents with the same word sequence are one class. In a band bucket every
+class is first compared with one class of the bucket only, drawn by hash. Classes that this leaves in
+different components are then compared with each other: in small buckets as a table of pairs
+(bounded by ``small`` per class), in larger ones inside tasks, one pair of slices at a time, where
+pairs whose components have met meanwhile are passed over and only joining links come out. So no
+proposed pair that could still join two components is skipped, and none of the many within a hot
+group is written down.
 
 With 26 bands of 5 registers a pair of similarity 0.85 shares no band with probability about
-2e-7; a pair is dropped before verification only if its estimate is ``margin`` under the threshold
-(several standard errors).
+2e-7; a pair is dropped before verification only if its estimate is ``errors`` standard errors under
+the threshold.
 
 Defined results: a null, empty or word-less text has no shingles and is linked with nothing;
 fewer words than a shingle are one shingle; repeated rows are copies (of one id, they stay rows of
@@ -84,6 +87,13 @@ def estimated_jaccard(a: np.ndarray, b: np.ndarray, na, nb, table: np.ndarray) -
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
+def least_estimate(percent: int, errors: float, buckets: int, na, nb) -> np.ndarray:
+    """The estimate under which a pair is dropped. Small sets fill fewer registers of their own."""
+    share = percent / 100
+    own = buckets * -np.expm1(-np.minimum(na, nb) / buckets)
+    return share - errors * np.sqrt(share * (1 - share) / np.maximum(own, 1.0))
+
+
 def signatures(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """(doc_id, n_shingles, key, registers): key names the word sequence."""
     probe = lending_order(buckets)
@@ -121,17 +131,20 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(sets, "id long, shingles array<long>")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, buckets: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimate reaches ``least``."""
+def _likely(pairs: DataFrame, classes: DataFrame, buckets: int, percent: int, errors: float) -> DataFrame:
+    """The pairs (a, b) whose estimate does not rule them out."""
     table = collision_table(buckets)
 
-    @F.pandas_udf("double")
-    def estimate(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+    @F.pandas_udf("boolean")
+    def likely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         if not len(a):
-            return pd.Series([], dtype="float64")
+            return pd.Series([], dtype="bool")
         left = np.frombuffer(b"".join(a), dtype=np.uint16).reshape(len(a), -1)
         right = np.frombuffer(b"".join(b), dtype=np.uint16).reshape(len(b), -1)
-        return pd.Series(estimated_jaccard(left, right, na.to_numpy(), nb.to_numpy(), table))
+        na, nb = na.to_numpy(), nb.to_numpy()
+        return pd.Series(
+            estimated_jaccard(left, right, na, nb, table) >= least_estimate(percent, errors, buckets, na, nb)
+        )
 
     def side(x):
         return classes.select(
@@ -139,7 +152,58 @@ def _likely(pairs: DataFrame, classes: DataFrame, buckets: int, least: float) ->
         )
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.where(estimate("ra", "rb", "na", "nb") >= least).select("a", "b")
+    return joined.where(likely("ra", "rb", "na", "nb")).select("a", "b")
+
+
+def _joined_inside(
+    open_: DataFrame, classes: DataFrame, sets: DataFrame, slice_: int, bands: int, percent: int, errors: float
+) -> DataFrame:
+    """Links (a, b) that join components inside large buckets, found without writing out pairs.
+
+    A bucket is cut into slices of about ``slice_`` classes and every two slices meet in a task. A
+    pair is looked at only in the first band that it shares.
+    """
+    slices = F.ceil(F.col("_n") / slice_).cast("int")
+    own = F.pmod(F.xxhash64("id"), slices).cast("int")
+    rows = (
+        open_.join(classes.select("id", "registers", "n_shingles"), "id").join(sets, "id")
+        .select("*", own.alias("_own"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("_other"))
+        .select(
+            "pos", "band", "id", "component", "registers", "n_shingles", "shingles", "_own",
+            F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
+        )
+    )
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        table = collision_table(np.frombuffer(group["registers"].iloc[0], np.uint16).size)
+        group = group.sort_values(["component", "id"])
+        packed = np.frombuffer(b"".join(group["registers"]), dtype=np.uint16).reshape(len(group), -1)
+        ids, n = group["id"].to_numpy(), group["n_shingles"].to_numpy()
+        side, sets_ = group["_own"].to_numpy(), group["shingles"].tolist()
+        across = group["_i"].iloc[0] != group["_j"].iloc[0]
+        band = int(group["pos"].iloc[0])
+        parent = np.unique(group["component"].to_numpy(), return_inverse=True)[1]  # component of each row
+        links = []
+        for x in range(len(group) - 1):
+            later = np.arange(x + 1, len(group))
+            later = later[(parent[later] != parent[x]) & (not across or side[later] != side[x])]
+            if not len(later):
+                continue
+            left = np.broadcast_to(packed[x], (len(later), packed.shape[1]))
+            guess = estimated_jaccard(left, packed[later], np.full(len(later), n[x]), n[later], table)
+            floor = least_estimate(percent, errors, packed.shape[1], np.full(len(later), n[x]), n[later])
+            agree = (packed[later] == packed[x]).reshape(len(later), bands, -1).all(axis=2)
+            good = np.flatnonzero((guess >= floor) & (agree.argmax(axis=1) == band))
+            for y in later[good[np.argsort(-guess[good])]]:
+                if parent[x] == parent[y]:
+                    continue
+                shared = len(np.intersect1d(sets_[x], sets_[y], assume_unique=True))
+                if 100 * shared >= percent * (n[x] + n[y] - shared):
+                    links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    parent[parent == parent[y]] = parent[x]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("band", "_i", "_j").applyInPandas(met, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +223,9 @@ def near_duplicates(
     width: int = 3,
     bands: int = 26,
     rows: int = 5,
-    margin: float = 0.25,
+    errors: float = 4.5,
+    small: int = 64,
+    slice_: int = 512,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -182,36 +248,40 @@ def near_duplicates(
     parts = [
         F.xxhash64(F.lit(b), F.substring("registers", b * rows * 2 + 1, rows * 2)) for b in range(bands)
     ]
-    exploded = classes.select("id", F.explode(F.array(*parts)).alias("band"))
-    shared = exploded.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n"))
-    members = pinned(
-        exploded.join(shared.where("_n > 1").drop("_n"), "band").withColumnRenamed("id", "b")
+    exploded = classes.select("id", F.posexplode(F.array(*parts)).alias("pos", "band"))
+    shared = exploded.groupBy("band").agg(
+        F.min_by("id", F.xxhash64("id", "band")).alias("centre"), F.count(F.lit(1)).alias("_n")
+    )
+    members = pinned(exploded.join(shared.where("_n > 1"), "band"))
+    stars = pinned(
+        members.where("id <> centre")
+        .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     )
-    stars = pinned(members.where("a <> b").select("a", "b").distinct())
     sets = pinned(
         shingle_table(
-            source.join(members.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), width
+            source.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width
         ).dropDuplicates(["id"])
     )
-    least = percent / 100 - margin
-    first = pinned(_verified(_likely(stars, classes, buckets, least), sets, percent))
+    first = pinned(_verified(_likely(stars, classes, buckets, percent, errors), sets, percent))
     label = components(first)
 
-    # Buckets that still hold several components: every pair across them that was not tried.
-    named = members.select("band", F.col("b").alias("id")).join(label, "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("component")
+    # Buckets that still hold several components.
+    named = members.select("pos", "band", "id", "_n").join(label, "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
     )
     split = named.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     open_ = pinned(named.join(split.where("_lo < _hi").select("band"), "band"))
-    left = open_.select("band", F.col("id").alias("_x"), F.col("component").alias("_cx"))
-    right = open_.select("band", F.col("id").alias("_y"), F.col("component").alias("_cy"))
+    few = open_.where(F.col("_n") <= small)
+    left = few.select("band", F.col("id").alias("_x"), F.col("component").alias("_cx"))
+    right = few.select("band", F.col("id").alias("_y"), F.col("component").alias("_cy"))
     across = (
         left.join(right, "band").where("_cx < _cy")
         .select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    second = _verified(_likely(across, classes, buckets, least), sets, percent)
-    label = components(first.union(second))
+    second = _verified(_likely(across, classes, buckets, percent, errors), sets, percent)
+    third = _joined_inside(open_.where(F.col("_n") > small), classes, sets, slice_, bands, percent, errors)
+    label = components(pinned(first.union(second).union(third)))
 
     named = classes.select("key", "id").join(label, "id", "left").select(
         "key", F.coalesce("component", "id").alias("_component")
