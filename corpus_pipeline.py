@@ -1,8 +1,51 @@
 """The corpus pipeline: toxicity, near-dedup, personal data, mixing and packing, in this order."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from panelspark.functions.ordering import pinned
+from panelspark.llm import hyperminhash, mixing, packing, pii, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5 by a model of the labelled documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    return docs.where(toxicity.scored(model)(F.col("text")) < 0.5)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id; documents without words stay."""
+    found = hyperminhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(pinned(found), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    repeated = docs.join(copies, "doc_id").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    )
+    return repeated.select(*docs.columns)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Placements of all pieces in length buckets and batches."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_batches),
+]
 #: Not expressible in SQL: a trained classifier decides the first stage.
 ORACLE_SQL = None
 
@@ -10,5 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = pinned(stage(spark, docs, sf_dir))
     return docs
