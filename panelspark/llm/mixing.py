@@ -72,30 +72,17 @@ def _crossing(histogram: DataFrame) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[int] = (1, 2, 3),
-    most: int = 3,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+def _key(source: str):
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
 
-    ``taken`` is ``size`` times the copies the mix takes. Each source's total differs from its
-    target by at most half of the documents that share the last hash bucket (36 bits), which is
-    one document unless rows repeat.
-    """
+
+def _hash(doc_id: str):
     digits = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = pinned(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"),
-            F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("key"),
-            word_count(F.col(text)).alias("size"),
-            F.substring(digits, 1, DIGITS * LEVELS).alias("hash"),
-        )
-    )
+    return F.substring(digits, 1, DIGITS * LEVELS)
+
+
+def _cuts(rows: DataFrame, weights: Sequence[int], most: int):
+    """Per source its size, target, whole copies and hash threshold; and how to join them."""
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     plan = pinned(source_targets(sizes, weights, most))
     # One row per source: with few sources no row of a hot one has to move.
@@ -115,13 +102,63 @@ def mix(
     last = edge.select(
         "key", "prefix", (F.col("before") + F.col("words") / 2 <= F.col("rest")).alias("with_last")
     )
-    cut = plan.join(last, "key", "left")
-    extra = F.coalesce(
-        (F.col("hash") < F.col("prefix")) | ((F.col("hash") == F.col("prefix")) & F.col("with_last")),
-        F.lit(False),
+    cut = pinned(plan.select("key", "source_size", "target", "copies").join(last, "key", "left"))
+    return cut, beside
+
+
+def _copies():
+    extra = (F.col("hash") < F.col("prefix")) | ((F.col("hash") == F.col("prefix")) & F.col("with_last"))
+    return F.col("copies") + F.coalesce(extra, F.lit(False)).cast("bigint")
+
+
+def _measured(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return pinned(
+        docs.select(
+            F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _key(source).alias("key"),
+            word_count(F.col(text)).alias("size"), _hash(doc_id).alias("hash"),
+        )
     )
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = (1, 2, 3),
+    most: int = 3,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken.
+
+    ``taken`` is ``size`` times the copies the mix takes. Each source's total differs from its
+    target by at most half of the documents that share the last hash bucket (36 bits), which is
+    one document unless rows repeat.
+    """
+    rows = _measured(docs, doc_id, text, source)
+    cut, beside = _cuts(rows, weights, most)
     return rows.join(beside(cut), "key").select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("copies") + extra.cast("bigint"))).alias("taken"),
-        (F.col("copies") + extra.cast("bigint")).alias("copies"),
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken")
+    )
+
+
+def mixed(
+    docs: DataFrame,
+    weights: Sequence[int] = (1, 2, 3),
+    most: int = 3,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The table with every row as often as the mix takes it; a row without words once, if its hash is
+    under its source's threshold or whole copies are taken. Texts are not shuffled."""
+    cut, beside = _cuts(_measured(docs, doc_id, text, source), weights, most)
+    names = [f"_mix_{c}" for c in cut.columns]
+    taken = cut.toDF(*names)
+    row_hash = _hash(doc_id)
+    extra = (row_hash < F.col("_mix_prefix")) | ((row_hash == F.col("_mix_prefix")) & F.col("_mix_with_last"))
+    copies = F.col("_mix_copies") + F.coalesce(extra, F.lit(False)).cast("bigint")
+    joined = docs.join(beside(taken), _key(source) == F.col("_mix_key")).withColumn("_mix_n", copies)
+    repeated = joined.where("_mix_n > 0").withColumn(
+        "_mix_at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_n")))
     )
+    return repeated.select(*docs.columns)
