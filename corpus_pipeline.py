@@ -27,11 +27,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    repeated = docs.join(copies, "doc_id").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    )
-    return repeated.select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
