@@ -94,42 +94,34 @@ def linked(x, tx, y, ty, cosine: float, same: bool):
     inside a, and every other pair occurs once.
     """
     limit = math.sqrt(2.0 - 2.0 * cosine)
-    pairs = np.zeros((1, 2), dtype=np.int64)
     whole, left, right = [], [], []
-    while len(pairs):
-        a, b = tx[pairs[:, 0]], ty[pairs[:, 1]]
-        dots = np.einsum("ij,ij->i", x[a["centre"]], y[b["centre"]])
-        gap, spread = np.sqrt(np.maximum(2.0 - 2.0 * dots, 0.0)), a["radius"] + b["radius"]
+
+    def below(tree, node):
+        first, n = int(tree["child"][node]), int(tree["children"][node])
+        return np.arange(first, first + n) if n else np.array([node])
+
+    todo = [(np.array([0]), np.array([0]), same)]
+    while todo:
+        own, other, mirrored = todo.pop()
+        a, b = tx[own], ty[other]
+        gap = distances(x[a["centre"]], y[b["centre"]])
+        spread = a["radius"][:, None] + b["radius"][None, :]
         keep = gap - spread <= limit + SLACK
-        inside = gap + spread <= limit - SLACK
-        if same:  # within one node two radii bound any distance
-            inside |= (pairs[:, 0] == pairs[:, 1]) & (spread <= limit - SLACK)
-        for i in np.flatnonzero(inside):
-            whole.append((a["lo"][i], a["hi"][i], b["lo"][i], b["hi"][i]))
-        go = keep & ~inside
-        leaf = (a["children"] == 0) & (b["children"] == 0)
-        for i in np.flatnonzero(go & leaf):
-            hit = x[a["lo"][i] : a["hi"][i]] @ y[b["lo"][i] : b["hi"][i]].T >= cosine
-            if same and pairs[i, 0] == pairs[i, 1]:
-                hit = np.triu(hit, 1)
-            p, q = np.nonzero(hit)
-            left.append(p + a["lo"][i])
-            right.append(q + b["lo"][i])
-        more = []
-        for i in np.flatnonzero(go & ~leaf):
-            p, q = pairs[i]
-            kids = lambda t, n: np.arange(t["child"][n], t["child"][n] + t["children"][n])
-            if same and p == q:
-                own = kids(tx, p)
-                u, v = np.triu_indices(len(own))
-                more.append(np.stack([own[u], own[v]], axis=1))
-            elif b["children"][i] == 0 or (a["children"][i] and a["radius"][i] >= b["radius"][i]):
-                own = kids(tx, p)
-                more.append(np.stack([own, np.full(len(own), q)], axis=1))
+        if mirrored:
+            np.fill_diagonal(gap, 0.0)
+            keep = np.triu(keep)
+        for i, j in zip(*np.nonzero(keep)):
+            p, q = int(own[i]), int(other[j])
+            one = mirrored and i == j
+            if gap[i, j] + spread[i, j] <= limit - SLACK:
+                whole.append((int(a["lo"][i]), int(a["hi"][i]), int(b["lo"][j]), int(b["hi"][j])))
+            elif tx["children"][p] or ty["children"][q]:
+                todo.append((below(tx, p), below(ty, q), one))
             else:
-                own = kids(ty, q)
-                more.append(np.stack([np.full(len(own), p), own], axis=1))
-        pairs = np.concatenate(more) if more else np.zeros((0, 2), dtype=np.int64)
+                hit = x[a["lo"][i] : a["hi"][i]] @ y[b["lo"][j] : b["hi"][j]].T >= cosine
+                u, v = np.nonzero(np.triu(hit, 1) if one else hit)
+                left.append(u + a["lo"][i])
+                right.append(v + b["lo"][j])
     none = np.zeros(0, dtype=np.int64)
     return whole, (np.concatenate(left) if left else none, np.concatenate(right) if right else none)
 
@@ -292,7 +284,7 @@ def block_pairs(classes: DataFrame, cosine: float, block: int, per_pivot: int, m
 def near_embeddings(
     vectors: DataFrame,
     cosine: float = 0.93,
-    block: int = 2048,
+    block: int = 1024,
     per_pivot: int = 20000,
     most_pivots: int = 256,
     vec_id: str = "vec_id",
@@ -345,7 +337,7 @@ def _classes(vectors, vec_id, embedding, label):
     return pinned(ready.select("vec_id", "key")), classes, kind
 
 
-def threshold_pairs(vectors: DataFrame, cosine: float = 0.93, block: int = 2048, **names) -> DataFrame:
+def threshold_pairs(vectors: DataFrame, cosine: float = 0.93, block: int = 1024, **names) -> DataFrame:
     """The exact links (a, b, a < b) between classes of equal vectors; classes by their smallest id."""
     _, classes, kind = _classes(
         vectors, names.get("vec_id", "vec_id"), names.get("embedding", "embedding"), names.get("label", "label")
