@@ -7,7 +7,8 @@ Bands of compressed registers propose pairs, the register match rate corrected f
 collisions drops hopeless ones, and full shingle sets decide.
 
 Hot groups need care. Documents with the same word sequence are one class. In a band bucket every
-class is first compared with one class of the bucket only, drawn by hash. Classes that this leaves in
+class is first compared with one class of the bucket only, the first in one of ``orders`` orders by
+hash (so that a group has few such centres, and not only one). Classes that this leaves in
 different components are then compared with each other: in small buckets as a table of pairs
 (bounded by ``small`` per class), in larger ones inside tasks, one pair of slices at a time, where
 pairs whose components have met meanwhile are passed over and only joining links come out. So no
@@ -160,10 +161,11 @@ def _joined_inside(
 ) -> DataFrame:
     """Links (a, b) that join components inside large buckets, found without writing out pairs.
 
-    A bucket is cut into slices of about ``slice_`` classes and every two slices meet in a task. A
-    pair is looked at only in the first band that it shares.
+    A bucket is cut into slices of about ``slice_`` shingles (and at most 4096 classes, as a class
+    counts for slice_ / 4096 at least) and every two slices meet in a task. A pair is looked at only
+    in the first band that it shares.
     """
-    slices = F.ceil(F.col("_n") / slice_).cast("int")
+    slices = F.ceil(F.greatest(F.col("_mass") / slice_, F.col("_n") / 4096)).cast("int")
     own = F.pmod(F.xxhash64("id"), slices).cast("int")
     rows = (
         open_.join(classes.select("id", "registers", "n_shingles"), "id").join(sets, "id")
@@ -224,8 +226,9 @@ def near_duplicates(
     bands: int = 26,
     rows: int = 5,
     errors: float = 4.5,
+    orders: int = 4,
     small: int = 64,
-    slice_: int = 512,
+    slice_: int = 1_000_000,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -248,11 +251,12 @@ def near_duplicates(
     parts = [
         F.xxhash64(F.lit(b), F.substring("registers", b * rows * 2 + 1, rows * 2)) for b in range(bands)
     ]
-    exploded = classes.select("id", F.posexplode(F.array(*parts)).alias("pos", "band"))
+    exploded = classes.select("id", "n_shingles", F.posexplode(F.array(*parts)).alias("pos", "band"))
     shared = exploded.groupBy("band").agg(
-        F.min_by("id", F.xxhash64("id", "band")).alias("centre"), F.count(F.lit(1)).alias("_n")
+        F.min_by("id", F.xxhash64("id", F.col("pos") % orders)).alias("centre"),
+        F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_mass"),
     )
-    members = pinned(exploded.join(shared.where("_n > 1"), "band"))
+    members = pinned(exploded.drop("n_shingles").join(shared.where("_n > 1"), "band"))
     stars = pinned(
         members.where("id <> centre")
         .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -266,7 +270,7 @@ def near_duplicates(
     label = components(first)
 
     # Buckets that still hold several components.
-    named = members.select("pos", "band", "id", "_n").join(label, "id", "left").withColumn(
+    named = members.select("pos", "band", "id", "_n", "_mass").join(label, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
     split = named.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
