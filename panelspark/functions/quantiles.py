@@ -1,9 +1,12 @@
 """Exact interpolated quantiles over value counts."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.ordering import with_before
+from panelspark.functions.ordering import pinned, with_before
+
+#: Up to so many groups (a few bytes each) their sizes are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def value_counts(df: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -11,39 +14,41 @@ def value_counts(df: DataFrame, column: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """One row with the interpolated quantiles (a scalar when one share is asked for)."""
-    counts = value_counts(df.where(F.col(column).isNotNull()), column)
-    wanted: Column = F.lit(shares[0]) if len(shares) == 1 else F.array(*map(F.lit, shares))
-    return counts.agg(F.percentile(column, wanted, F.col("_n")).alias("quantiles"))
-
-
 def weighted_quantile(
     counts: DataFrame, keys: list[str], column: str, weight: str, share: float, name: str
 ) -> DataFrame:
-    """Exact interpolated quantile per group over value counts, however large one group is.
+    """Exact interpolated quantile per group over value counts, however large one group is."""
+    out = weighted_quantiles(counts, keys, column, weight, {name: share})
+    return out.select(*keys, name)
+
+
+def weighted_quantiles(
+    counts: DataFrame, keys: list[str], column: str, weight: str, shares: dict[str, float]
+) -> DataFrame:
+    """Several exact interpolated quantiles per group (one group without keys) in one pass.
 
-    Values are ordered across the cluster and only the two around the wanted position leave
-    each group.
+    Values are ordered across the cluster and only the two around each wanted position leave
+    each group. Group sizes come from partial counts; with keys they are joined to the placed
+    values, without keys they are a scalar.
     """
     rows = counts.select(*keys, column, weight)
-    placed = with_before(rows, [F.col(column)], {"before": F.col(weight)}, keys)
-    sizes = placed.groupBy(*keys).agg((F.sum(weight) - 1).cast("double").alias("_last"))
-    spot = F.col("_last") * share
-    low, high = F.floor(spot), F.ceil(spot)
-    near = (F.col("before") <= high) & (F.col("before") + F.col(weight) > low)
-    picked = (
-        placed.join(sizes, keys)
-        .where(near)
-        .groupBy(*keys)
-        .agg(
-            F.min(column).alias("_low"),
-            F.max(column).alias("_high"),
-            F.max(spot - low).alias("_part"),
-        )
-    )
-    value = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
-    return picked.select(*keys, value.alias(name))
+    placed = pinned(with_before(rows, [F.col(column)], {"before": F.col(weight)}, keys))
+    last = (F.sum(weight) - 1).cast("double")
+    if keys:
+        sizes = placed.groupBy(*keys).agg(last.alias("_last"))
+        # one row per group: beside the data if the groups are few, so that no hot group moves
+        few = sizes.count() <= BROADCAST_GROUPS
+        sized = placed.join(F.broadcast(sizes) if few else sizes, keys)
+    else:
+        sized = placed.withColumn("_last", placed.agg(last.alias("_last")).scalar())
+    found = []
+    for name, share in shares.items():
+        spot = F.col("_last") * share
+        near = (F.col("before") <= F.ceil(spot)) & (F.col("before") + F.col(weight) > F.floor(spot))
+        low, high = F.min(F.when(near, F.col(column))), F.max(F.when(near, F.col(column)))
+        part = F.max(spot - F.floor(spot))
+        found.append((low + (high - low) * part).alias(name))
+    return sized.groupBy(*keys).agg(*found)
 
 
 def grouped_quantile(df: DataFrame, keys: list[str], column: str, share: float, name: str):

@@ -46,11 +46,16 @@ def exact_rank_sum_p(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2.0 * counts[top:].sum() / counts.sum()))
 
 
-def rank_sum_p(u: float, n1: int, n2: int, ties: float) -> float:
-    """Two-sided p: normal with tie and continuity correction, exact for small untied samples."""
+def rank_sum_p(u: float, n1: int, n2: int, ties: float, exact: bool = False) -> float:
+    """Two-sided p: normal with tie and continuity correction, at every sample size.
+
+    ``exact`` asks for the permutation distribution of an untied sample instead; its cost grows
+    with min(n1, n2)^2 * max(n1, n2). Statistics packages switch to it by themselves for small
+    samples; here the method never depends on the size of the data.
+    """
     if n1 == 0 or n2 == 0:
         return math.nan
-    if min(n1, n2) <= 8 and ties == 0:
+    if exact and ties == 0:
         return exact_rank_sum_p(u, n1, n2)
     n, pairs = n1 + n2, float(n1) * n2
     spread = math.sqrt(pairs / 12.0 * ((n + 1) - ties / (n * (n - 1.0))))

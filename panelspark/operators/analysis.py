@@ -1,5 +1,8 @@
 """Analyses over marts. Every split of spend is an accounting identity, not a causal estimate."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -579,18 +582,26 @@ def analysis_household_engagement_sequence(w):
         .alias("cumulative_household_spend"),
     )
     by_spend = rank_table(rows, ["net_spend"], ["week_number"]).select(
-        "week_number", "net_spend", F.col("rank").alias("weekly_spend_rank")
+        F.col("week_number").alias("_week"),
+        F.col("net_spend").alias("_spend"),
+        F.col("rank").alias("weekly_spend_rank"),
     )
     # Distinct basket counts per week are few: the window sees one row per count.
-    most = Window.partitionBy("week_number").orderBy(F.col("baskets").desc())
+    most = Window.partitionBy("_week").orderBy(F.col("_baskets").desc_nulls_last())
     by_trips = (
-        rows.select("week_number", "baskets")
+        rows.select(F.col("week_number").alias("_week"), F.col("baskets").alias("_baskets"))
         .distinct()
         .withColumn("weekly_frequency_rank", F.row_number().over(most).cast("bigint"))
     )
-    return sequence.join(by_spend, ["week_number", "net_spend"]).join(
-        by_trips, ["week_number", "baskets"]
-    ).select(*sequence.columns, "weekly_spend_rank", "weekly_frequency_rank")
+
+    def same(**columns):
+        return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in columns.items()])
+
+    # A missing week or spend is a value of its own here and ranks last.
+    spent = sequence.join(by_spend, same(week="week_number", spend="net_spend")).drop("_week")
+    return spent.join(by_trips, same(week="week_number", baskets="baskets")).select(
+        *sequence.columns, "weekly_spend_rank", "weekly_frequency_rank"
+    )
 
 
 @table("analysis")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import category_key, label
-from panelspark.functions.quantiles import exact_quantiles
+from panelspark.functions.ordering import pinned
+from panelspark.functions.quantiles import value_counts, weighted_quantile
 from panelspark.operators.staging import promo_state
 from panelspark.plans.registry import table
 
@@ -13,19 +14,25 @@ COUPON = "coupon_discount_value + coupon_match_discount_value"
 
 @table("internal")
 def lines(w):
-    """Transaction lines with gross spend and the outlier flag, without a surrogate id."""
-    p99 = exact_quantiles(w["stg_transaction"], "quantity_raw", [0.99]).scalar()
-    quantity = F.col("quantity_raw")
-    odd = (quantity <= 0) | (quantity > p99)
+    """Transaction lines with gross spend, without a surrogate id."""
     return w["stg_transaction"].select(
         "*",
         F.expr(f"sales_value + {DISCOUNT}")
         .cast("decimal(20,4)")
         .alias("gross_spend_before_recorded_discounts"),
-        F.coalesce(odd, F.lit(False)).alias("quantity_outlier_flag"),
     )
 
 
+@table("internal")
+def flagged_lines(w):
+    """Lines with the outlier flag, which needs a pass over the quantities of its own."""
+    counts = value_counts(w["lines"].where("quantity_raw IS NOT NULL"), "quantity_raw")
+    p99 = pinned(weighted_quantile(counts, [], "quantity_raw", "_n", 0.99, "p99")).scalar()
+    quantity = F.col("quantity_raw")
+    odd = (quantity <= 0) | (quantity > p99)
+    return w["lines"].withColumn("quantity_outlier_flag", F.coalesce(odd, F.lit(False)))
+
+
 @table("internal")
 def products(w):
     """Product attributes every line-level mart needs, with the governed key worked out once."""
@@ -119,8 +126,9 @@ def named_categories(w, df):
 
 @table("fact")
 def fct_transaction_line(w):
-    return w["lines"].select(
-        (F.monotonically_increasing_id() + 1).alias("transaction_line_id"), *w["lines"].columns
+    lines_ = w["flagged_lines"]
+    return lines_.select(
+        (F.monotonically_increasing_id() + 1).alias("transaction_line_id"), *lines_.columns
     )
 
 

@@ -181,14 +181,13 @@ def described_households(w):
 
 def with_quintiles(summary):
     """Monetary and frequency quintiles, household_key breaking ties."""
-    out = summary
+    out = summary  # rows are carried through the ranking, so none is lost to a join
     for value, name in (
         ("observed_lifetime_spend", "monetary_quintile"),
         ("frequency_baskets", "frequency_quintile"),
     ):
         order = [F.col(value).asc_nulls_last(), F.col("household_key").asc_nulls_last()]
-        tiles = ntile(summary.select("household_key", value), 5, order, name)
-        out = out.join(tiles.drop(value), "household_key")
+        out = ntile(out, 5, order, name)
     return out
 
 
@@ -245,18 +244,16 @@ def household_scores(w):
 
 @table("mart")
 def mart_customer_segment(w):
-    scores = w["household_scores"].drop("has_demographics")
-    spend = F.col("observed_lifetime_spend").alias("monetary_spend")
-    return (
-        w["mart_household_summary"]
-        .join(scores, "household_key")
-        .select(
-            *w["mart_household_summary"].columns,
-            spend,
-            "monetary_quintile",
-            "frequency_quintile",
-            "segment",
-        )
+    """The summary ranked in place: every household stays, one without a key too."""
+    summary = w["mart_household_summary"]
+    path = F.col("trajectory")
+    label = segment_label(w.rules, path == "Declining", path.isin("Growing", "Stable"))
+    return with_quintiles(pinned(summary)).select(
+        *summary.columns,
+        F.col("observed_lifetime_spend").alias("monetary_spend"),
+        "monetary_quintile",
+        "frequency_quintile",
+        label.alias("segment"),
     )
 
 

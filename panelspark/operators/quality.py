@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panelspark import fixed_text as text
 from panelspark.functions.columns import mean_when, ratio
+from panelspark.functions.ordering import pinned
+from panelspark.functions.quantiles import weighted_quantiles
 from panelspark.operators.analysis import promotion_universe
 from panelspark.plans.registry import table
 from panelspark.sources.contracts import CONTRACTS
@@ -120,11 +122,15 @@ def qa_discount_audit(w):
 
 @table("quality")
 def qa_quantity_audit(w):
-    # Quantities collapse to value counts first; the percentiles read those.
-    counts = w["lines"].groupBy("quantity_raw").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("quantity_outlier_flag").alias("odd")
+    # Quantities collapse to value counts first; the quantiles are placed across the cluster.
+    counts = pinned(
+        w["flagged_lines"].groupBy("quantity_raw").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("quantity_outlier_flag").alias("odd")
+        )
     )
-    at = F.percentile("quantity_raw", F.array(*map(F.lit, (0.50, 0.95, 0.99))), F.col("n"))
+    shares = {"p50_quantity": 0.50, "p95_quantity": 0.95, "p99_quantity": 0.99}
+    known = counts.where(F.col("quantity_raw").isNotNull())
+    at = pinned(weighted_quantiles(known, [], "quantity_raw", "n", shares))
     return counts.agg(
         F.sum("n").alias("transaction_lines"),
         F.sum(F.when(F.col("quantity_raw") <= 0, F.col("n")).otherwise(0)).alias(
@@ -132,14 +138,13 @@ def qa_quantity_audit(w):
         ),
         F.min("quantity_raw").alias("min_quantity"),
         F.max("quantity_raw").alias("max_quantity"),
-        at.alias("p"),
         F.sum("odd").alias("flagged_outlier_rows"),
     ).select(
         "transaction_lines",
         "non_positive_quantity_rows",
         "min_quantity",
         "max_quantity",
-        *[F.col("p")[i].alias(f"p{s}_quantity") for i, s in enumerate((50, 95, 99))],
+        *[at.select(name).scalar().alias(name) for name in shares],
         "flagged_outlier_rows",
     )
 
@@ -276,7 +281,7 @@ def qa_transaction_anomalies(w):
     }
     measured = ("day_key", "week_number", "sales_value", "quantity_raw", "trans_time")
     # One scan answers every audit.
-    seen = w["lines"].agg(
+    seen = w["flagged_lines"].agg(
         *[flagged(c).alias(name) for name, c in broken.items()],
         *[f(c).alias(f"_{n}_{c}") for c in measured for n, f in (("min", F.min), ("max", F.max))],
     )

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions.ordering import ntile, rank_table, with_before
-from panelspark.functions.quantiles import exact_quantiles, grouped_quantile
+from panelspark.functions.quantiles import grouped_quantile, weighted_quantiles
 
 
 def plain_ntile(values, tiles):
@@ -65,8 +65,8 @@ def test_grouped_quantile_matches_numpy(spark):
         assert got["c"] == 5.0
 
 
-def test_exact_quantiles_counts_values_first(spark):
-    df = spark.createDataFrame([(float(v),) for v in [1, 2, 2, 10]] + [(None,)], "v double")
-    assert exact_quantiles(df, "v", [0.99]).collect()[0][0] == pytest.approx(
-        np.quantile([1, 2, 2, 10], 0.99)
-    )
+def test_quantiles_without_groups(spark):
+    df = spark.createDataFrame([(float(v), n) for v, n in [(1, 1), (2, 2), (10, 1)]], "v double, n long")
+    (row,) = weighted_quantiles(df, [], "v", "n", {"p50": 0.5, "p99": 0.99}).collect()
+    assert row.p50 == pytest.approx(np.quantile([1, 2, 2, 10], 0.5))
+    assert row.p99 == pytest.approx(np.quantile([1, 2, 2, 10], 0.99))
