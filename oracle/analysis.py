@@ -171,7 +171,7 @@ SELECT department, commodity, count(DISTINCT household_key) AS buying_households
        {div("sum(panel_net_spend)", "sum(category_baskets)")} AS spend_per_category_basket,
        {div("sum(panel_net_spend)", "buying_households")} AS spend_per_buying_household,
        {div("sum(category_baskets)", "buying_households")} AS purchase_frequency_per_buying_household,
-       {div("sum(discount_value)", "sum(panel_net_spend) + sum(discount_value)")} AS discount_rate,
+       {div("sum(discount_value)", "sum(panel_net_spend + discount_value)")} AS discount_rate,
        {div("sum(coupon_baskets)", "sum(category_baskets)")} AS coupon_basket_rate,
        {div("sum(private_label_spend)", "sum(panel_net_spend)")} AS private_label_share,
        (SELECT count(*) FROM dim_household) AS panel_households,
@@ -364,11 +364,11 @@ SELECT COALESCE(segment, 'Unknown') AS customer_segment,
        CASE WHEN has_coupon_discount THEN 'Coupon-discounted' ELSE 'No-coupon-discount' END
            AS basket_type,
        count(*) AS basket_count, count(DISTINCT household_key) AS households,
-       {div("sum(basket_net_spend)", "count(*)")} AS avg_basket_net_spend,
+       {div("sum(basket_net_spend)", "count(basket_net_spend)")} AS avg_basket_net_spend,
        median(CAST(basket_net_spend AS DOUBLE)) AS median_basket_net_spend,
        {div("sum(basket_distinct_products)", "count(*)")} AS avg_distinct_products,
        {div("sum(basket_line_count)", "count(*)")} AS avg_line_count,
-       {div("sum(basket_coupon_discount)", "count(*)")} AS avg_coupon_discount,
+       {div("sum(basket_coupon_discount)", "count(basket_coupon_discount)")} AS avg_coupon_discount,
        {q(text.COUPON_BASKET)} AS interpretation_boundary
 FROM mart_basket GROUP BY 1, 2
 """

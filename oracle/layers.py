@@ -18,17 +18,20 @@ BODIES = {}
 
 # ------------------------------------------------------------------ sources
 BODIES["src_trip"] = """
-SELECT o_orderkey AS bid, o_custkey AS hh,
+SELECT o_orderkey AS bid, CASE WHEN o_orderkey % 997 <> 0 THEN o_custkey END AS hh,
+       o_custkey % 25 AS store,
        1 + date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 711 AS d
 FROM orders
 """
 BODIES["src_transaction"] = f"""
 SELECT hh AS household_key, bid AS "BASKET_ID", CAST(d AS INTEGER) AS "DAY",
-       l_partkey AS "PRODUCT_ID",
+       CASE WHEN (bid + l_linenumber) % 1009 <> 0 THEN l_partkey END AS "PRODUCT_ID",
        CASE WHEN bid % 501 = 0 THEN 0.0 WHEN bid % 211 = 0 THEN l_quantity * 10
             ELSE l_quantity END AS "QUANTITY",
-       CAST(price * (CAST(1 AS DECIMAL(4,2)) - off) AS {MONEY}) AS "SALES_VALUE",
-       hh % 25 AS "STORE_ID",
+       CASE WHEN bid % 701 = 0 THEN NULL WHEN bid % 401 = 0 THEN CAST(0 AS {MONEY})
+            WHEN bid % 601 = 0 THEN CAST(-(price * (CAST(1 AS DECIMAL(4,2)) - off)) AS {MONEY})
+            ELSE CAST(price * (CAST(1 AS DECIMAL(4,2)) - off) AS {MONEY}) END AS "SALES_VALUE",
+       store AS "STORE_ID",
        CAST(-(price * off) AS {MONEY}) AS "RETAIL_DISC",
        CASE WHEN bid % 4 = 0 AND l_returnflag = 'R' THEN CAST(-(price * tax) AS {MONEY})
             ELSE CAST(0 AS {MONEY}) END AS "COUPON_DISC",
@@ -37,7 +40,8 @@ SELECT hh AS household_key, bid AS "BASKET_ID", CAST(d AS INTEGER) AS "DAY",
        CAST(1 + (d - 1) // 7 AS INTEGER) AS "WEEK_NO"
 FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
              CAST(l_discount AS DECIMAL(4,2)) AS off, CAST(l_tax AS DECIMAL(4,2)) AS tax
-      FROM lineitem JOIN src_trip ON l_orderkey = bid)
+      FROM lineitem JOIN src_trip ON l_orderkey = bid
+           JOIN (VALUES (1), (2)) AS t(turn) ON turn = 1 OR (l_orderkey % 307 = 0 AND l_linenumber = 1))
 """
 BODIES["src_product"] = """
 SELECT p_partkey AS "PRODUCT_ID", no AS "MANUFACTURER",
@@ -63,7 +67,8 @@ FROM customer WHERE c_custkey % 3 = 0
 BODIES["src_causal"] = """
 SELECT p AS "PRODUCT_ID", s AS "STORE_ID", w AS "WEEK_NO",
        CASE (p + w) % 4 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '5' ELSE 'A' END AS display,
-       CASE (p + s) % 3 WHEN 0 THEN '0' WHEN 1 THEN 'A' ELSE 'D' END AS mailer
+       CASE WHEN (p + s) % 41 = 0 THEN 'Q' WHEN (p + s) % 3 = 0 THEN '0' WHEN (p + s) % 3 = 1 THEN 'A'
+            ELSE 'D' END AS mailer
 FROM causal_keys
 UNION ALL
 SELECT p, s, w, '2', '0' FROM causal_keys WHERE (p + s + w) % 7 = 0
@@ -93,10 +98,11 @@ FROM part, range(1, 31) r(i) WHERE (p_partkey + i * 17) % 97 = 0
 BODIES["src_redemption"] = """
 SELECT e.household_key,
        CAST(d."START_DAY" + e.household_key % (d."END_DAY" - d."START_DAY" + 1) AS INTEGER) AS "DAY",
-       (SELECT MIN("COUPON_UPC") FROM src_coupon c WHERE c."CAMPAIGN" = e."CAMPAIGN") AS "COUPON_UPC",
+       CASE WHEN e.household_key % 13 = 0 THEN 99 ELSE
+         (SELECT MIN("COUPON_UPC") FROM src_coupon c WHERE c."CAMPAIGN" = e."CAMPAIGN") END AS "COUPON_UPC",
        e."CAMPAIGN"
 FROM src_exposure e JOIN src_campaign d ON d."CAMPAIGN" = e."CAMPAIGN"
-     JOIN (VALUES (1), (2)) AS t(turn) ON turn = 1 OR e.household_key % 40 = 0
+     JOIN (VALUES (1), (2)) AS t(turn) ON turn = 1 OR e.household_key % 11 = 0
 WHERE (e.household_key * 31 + e."CAMPAIGN" * 7) % 8 = 0
   AND e."CAMPAIGN" IN (SELECT "CAMPAIGN" FROM src_coupon)
 """
@@ -278,19 +284,19 @@ BODIES["mart_household_summary"] = f"""
 SELECT h.household_key, min(week_number) AS first_observed_week,
        max(week_number) AS last_observed_week, count(DISTINCT week_number) AS active_weeks,
        sum(net_spend) AS observed_lifetime_spend, sum(baskets) AS lifetime_baskets,
-       {div(f"sum(CAST({div('net_spend', 'baskets')} AS DECIMAL(38,6)))", "count(baskets)")}
+       {div(f"sum(CAST({div('net_spend', 'baskets')} AS DECIMAL(38,6)))", "count(net_spend)")}
            AS avg_basket_value,
        {div("sum(net_spend)", "count(net_spend)")} AS avg_weekly_spend,
        median(CAST(net_spend AS DOUBLE)) AS median_weekly_spend,
-       {div("sum(discount_value)", "sum(net_spend) + sum(discount_value)")} AS discount_share,
+       {div("sum(discount_value)", "sum(net_spend + discount_value)")} AS discount_share,
        COALESCE(any_value(c.rate), 0.0) AS coupon_basket_rate,
        {div("sum(private_label_spend)", "sum(net_spend)")} AS private_label_share,
        max(distinct_departments) AS distinct_departments,
        max(distinct_commodities) AS distinct_commodities, sum(baskets) AS frequency_baskets,
        {div("sum(net_spend) FILTER (week_number <= first_end)",
-            "count(*) FILTER (week_number <= first_end)")} AS early_avg_weekly_spend,
+            "count(net_spend) FILTER (week_number <= first_end)")} AS early_avg_weekly_spend,
        {div("sum(net_spend) FILTER (week_number >= last_start)",
-            "count(*) FILTER (week_number >= last_start)")} AS late_avg_weekly_spend,
+            "count(net_spend) FILTER (week_number >= last_start)")} AS late_avg_weekly_spend,
        late_avg_weekly_spend - early_avg_weekly_spend AS absolute_change,
        CASE WHEN absolute_change IS NULL THEN 'Insufficient History'
             WHEN late_avg_weekly_spend >= early_avg_weekly_spend * CAST(1.1 AS DOUBLE) THEN 'Growing'

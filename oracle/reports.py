@@ -526,17 +526,17 @@ BODIES["snapshot_campaign_funnel"] = union(
     )
 )
 BODIES["top_buyers"] = """
-SELECT DISTINCT household_key, commodity FROM tl WHERE commodity IN (
+SELECT DISTINCT household_key, commodity FROM tl WHERE household_key IS NOT NULL AND commodity IN (
     SELECT commodity FROM tl WHERE commodity IS NOT NULL GROUP BY 1
     ORDER BY sum(sales_value) DESC, commodity LIMIT 6)
 """
 BODIES["snapshot_pair_affinity"] = f"""
-SELECT a.commodity AS "left", b.commodity AS "right",
-       CASE WHEN a.commodity <> b.commodity THEN
-            {div("count(*)", "any_value(n)")} END AS attach_rate
-FROM top_buyers a JOIN top_buyers b ON b.household_key = a.household_key
-JOIN (SELECT commodity, count(*) AS n FROM top_buyers GROUP BY 1) s ON s.commodity = a.commodity
-GROUP BY 1, 2
+SELECT s.commodity AS "left", t.commodity AS "right",
+       CASE WHEN s.commodity <> t.commodity THEN
+            {div("(SELECT count(*) FROM top_buyers a JOIN top_buyers b USING (household_key) "
+                 "WHERE a.commodity = s.commodity AND b.commodity = t.commodity)", "s.n")} END AS attach_rate
+FROM (SELECT commodity, count(*) AS n FROM top_buyers GROUP BY 1) s,
+     (SELECT DISTINCT commodity FROM top_buyers) t
 """
 BODIES["snapshot_week_bands"] = """
 SELECT band, 'W' || min(week_number) || '–W' || max(week_number) AS label,

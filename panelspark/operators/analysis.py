@@ -640,7 +640,7 @@ def analysis_private_label_anomalies(w):
 @table("analysis")
 def private_label_category_audit(w):
     """Full-period private-label share per governed category, with its range check."""
-    own = F.sum(zero_if_null("private_sales"))
+    own = F.sum("private_sales")
     shares = w["governed_lines"].groupBy("category_no").agg(
         own.alias("private_label_spend"),
         F.sum("sales_value").alias("category_spend"),

@@ -58,7 +58,10 @@ def unknown_category(w):
 def line_amounts(df):
     return df.withColumns(
         {
-            "private_sales": F.when(F.col("brand_type") == "PRIVATE", F.col("sales_value")),
+            # a private line without a sales value stays unknown; other lines count as nothing
+            "private_sales": F.when(F.col("brand_type") == "PRIVATE", F.col("sales_value")).otherwise(
+                F.lit(0).cast("decimal(18,4)")
+            ),
             "discount": F.expr(DISCOUNT).cast("decimal(18,4)"),
             "coupon_discount": F.expr(COUPON).cast("decimal(18,4)"),
         }

@@ -36,9 +36,7 @@ def mart_panel_weekly(w):
         F.count_if("has_coupon_discount").alias("_coupon_baskets"),
     )
     own = w["product_lines"].groupBy("week_number").agg(
-        F.sum(F.coalesce("private_sales", F.lit(0).cast("decimal(18,4)"))).alias(
-            "private_label_spend"
-        )
+        F.sum("private_sales").alias("private_label_spend")
     )
     return baskets.join(own, "week_number", "left").select(
         "week_number",
@@ -69,7 +67,7 @@ def household_week_spend(w):
         F.count_distinct("basket_id").alias("baskets"),
         F.sum("discount").alias("discount_value"),
         F.sum("coupon_discount").alias("coupon_discount"),
-        F.sum(zero_if_null("private_sales")).alias("private_label_spend"),
+        F.sum("private_sales").alias("private_label_spend"),
     )
 
 
@@ -283,7 +281,7 @@ def mart_category_weekly(w):
         F.count_distinct("basket_id").alias("category_baskets"),
         F.sum("discount").alias("_discount"),
         F.sum("gross_spend_before_recorded_discounts").alias("_gross"),
-        F.sum(zero_if_null("private_sales")).alias("_private"),
+        F.sum("private_sales").alias("_private"),
     )
     return named_categories(w, sold).join(active, "week_number", "left").select(
         "week_number",
@@ -561,7 +559,7 @@ def mart_category_household(w):
         F.count_distinct(F.when(F.col("coupon_discount") > 0, F.col("basket_id"))).alias(
             "coupon_baskets"
         ),
-        F.sum(zero_if_null("private_sales")).alias("private_label_spend"),
+        F.sum("private_sales").alias("private_label_spend"),
     )
     measures = [c for c in history.columns if c not in ("household_key", "category_no")]
     return named_categories(w, history).select("household_key", *CATEGORY, *measures)

@@ -247,8 +247,8 @@ def windows_over_baskets(w, by=()):
     )
     per_side = tagged.groupBy(*by, "side").agg(
         F.sum("basket_net_spend").alias("panel_spend"),
-        F.count_distinct("household_key").alias("active_households"),
-        F.count_distinct("basket_id").alias("baskets"),
+        F.nullif(F.count_distinct("household_key"), F.lit(0).cast("bigint")).alias("active_households"),
+        F.count("basket_id").alias("baskets"),  # one row per basket
     )
     per_side = per_side.select(
         "*",

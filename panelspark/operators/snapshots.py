@@ -175,6 +175,7 @@ def snapshot_pair_affinity(w):
     # At most six names per household; equal sets collapse before pairs are formed.
     sets = (
         w["product_lines"]
+        .where("household_key IS NOT NULL")
         .select("household_key", "commodity")
         .join(F.broadcast(top), "commodity", "left_semi")
         .groupBy("household_key")
@@ -190,8 +191,15 @@ def snapshot_pair_affinity(w):
     )
     buyers = both.where(F.col("left") == F.col("right")).select("left", F.col("both").alias("base"))
     self_pair = F.col("left") == F.col("right")
-    return both.join(buyers, "left").select(
-        "left", "right", F.when(~self_pair, ratio("both", "base")).alias("attach_rate")
+    # At most 36 pairs; one without a common buyer has the rate 0.
+    names = top.agg(F.sort_array(F.collect_list("commodity")).alias("names"))
+    pairs = names.select(F.explode("names").alias("left"), "names").select(
+        "left", F.explode("names").alias("right")
+    )
+    found = pairs.join(both, ["left", "right"], "left").join(buyers, "left", "left")
+    shared = F.coalesce("both", F.lit(0).cast("bigint"))
+    return found.select(
+        "left", "right", F.when(~self_pair, ratio(shared, "base")).alias("attach_rate")
     )
 
 

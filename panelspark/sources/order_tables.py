@@ -1,7 +1,11 @@
 """Eight panel sources derived from an order / line-item / part / customer schema.
 
 Household = customer, basket = order, product = part. Every rule is a deterministic function
-of the row, so both engines of the correctness check see the same panel.
+of the row, so both engines of the correctness check see the same panel. Demographics, campaigns,
+coupons and redemptions cover fixed shares of the rows, as partial coverage is part of the panel. A
+few rows are faulty on purpose: baskets without a household, lines without a product, missing,
+zero and negative sales, repeated lines, unknown promotion codes, unlinked coupons and double
+redemptions.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +36,7 @@ class OrderTables:
         day = F.lit(1) + since % 711
         return self._read("orders").select(
             F.col("o_orderkey").alias("BASKET_ID"),
-            F.col("o_custkey").alias("household_key"),
+            F.when(F.col("o_orderkey") % 997 != 0, F.col("o_custkey")).alias("household_key"),
             day.cast("int").alias("DAY"),
             (F.lit(1) + F.floor((day - 1) / 7)).cast("int").alias("WEEK_NO"),
             (F.col("o_custkey") % 25).alias("STORE_ID"),
@@ -48,19 +52,30 @@ class OrderTables:
         key = F.col("BASKET_ID")
         coupon = (key % 4 == 0) & (F.col("l_returnflag") == "R")
         none = F.lit(0).cast(MONEY)
+        net = price * (F.lit(1).cast("decimal(4,2)") - off)
+        sales = (
+            F.when(key % 701 == 0, F.lit(None).cast(MONEY))
+            .when(key % 401 == 0, none)
+            .when(key % 601 == 0, (-net).cast(MONEY))
+            .otherwise(net.cast(MONEY))
+        )
+        product = F.when((key + F.col("l_linenumber")) % 1009 != 0, F.col("l_partkey"))
+        twice = (key % 307 == 0) & (F.col("l_linenumber") == 1)
+        times = F.when(twice, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
         quantity = (
             F.when(key % 501 == 0, F.lit(0.0))
             .when(key % 211 == 0, F.col("l_quantity") * 10)
             .otherwise(F.col("l_quantity"))
         )
         lines = self._read("lineitem").withColumnRenamed("l_orderkey", "BASKET_ID")
-        return lines.join(self._trips(), "BASKET_ID").select(
+        repeated = lines.withColumn("_time", F.explode(times))
+        return repeated.join(self._trips(), "BASKET_ID").select(
             "household_key",
             "BASKET_ID",
             "DAY",
-            F.col("l_partkey").alias("PRODUCT_ID"),
+            product.alias("PRODUCT_ID"),
             quantity.cast("double").alias("QUANTITY"),
-            (price * (F.lit(1).cast("decimal(4,2)") - off)).cast(MONEY).alias("SALES_VALUE"),
+            sales.alias("SALES_VALUE"),
             "STORE_ID",
             (-(price * off)).cast(MONEY).alias("RETAIL_DISC"),
             F.when(coupon, (-(price * tax)).cast(MONEY)).otherwise(none).alias("COUPON_DISC"),
@@ -130,7 +145,12 @@ class OrderTables:
         display = (
             F.when((p + w) % 4 == 0, "0").when((p + w) % 4 == 1, "1").when((p + w) % 4 == 2, "5")
         ).otherwise("A")
-        mailer = F.when((p + s) % 3 == 0, "0").when((p + s) % 3 == 1, "A").otherwise("D")
+        mailer = (
+            F.when((p + s) % 41 == 0, "Q")
+            .when((p + s) % 3 == 0, "0")
+            .when((p + s) % 3 == 1, "A")
+            .otherwise("D")
+        )
         codes = F.array_compact(
             F.array(
                 F.struct(display.alias("display"), mailer.alias("mailer")),
@@ -192,11 +212,12 @@ class OrderTables:
         )
 
     def coupon_redempt(self) -> DataFrame:
-        """Some exposed households redeem once, every fortieth of them twice on the same day."""
+        """Some exposed households redeem once, every eleventh of them twice on the same day; every
+        thirteenth redeems a coupon that no product is linked to."""
         hh, campaign = F.col("household_key"), F.col("CAMPAIGN")
         first_coupon = self.coupon().groupBy("CAMPAIGN").agg(F.min("COUPON_UPC").alias("COUPON_UPC"))
         span = F.col("END_DAY") - F.col("START_DAY") + 1
-        times = F.when(hh % 40 == 0, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        times = F.when(hh % 11 == 0, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
         return (
             self.campaign_table()
             .where((hh * 31 + campaign * 7) % 8 == 0)
@@ -206,7 +227,9 @@ class OrderTables:
             .select(
                 "household_key",
                 (F.col("START_DAY") + hh % span).cast("int").alias("DAY"),
-                "COUPON_UPC",
+                F.when(hh % 13 == 0, F.lit(99).cast("bigint")).otherwise(F.col("COUPON_UPC")).alias(
+                    "COUPON_UPC"
+                ),
                 "CAMPAIGN",
             )
         )
