@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from panelspark.plans import catalog  # noqa: E402
+from panelspark.plans.warehouse import SETTINGS  # noqa: E402
 
 HEADLINE = [
     "mart_panel_weekly",
@@ -63,6 +64,7 @@ def main():
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config(map=SETTINGS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -21,12 +21,13 @@ def _needed(name, seen):
     return seen
 
 
-def sql_for(name, rounded=(), places=6, plain=False):
+def sql_for(name, rounded=(), places=6, plain=False, fine=()):
     """Query for one table; ``plain`` leaves the result-edge casts out."""
     double, bigint = (c.split() for c in edges.EDGES.get(name, ("", "")))
     swaps = [f"CAST({c} AS DOUBLE) AS {c}" for c in double]
     swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in bigint]
     swaps += [f"ROUND(CAST({c} AS DOUBLE), {places}) + 0.0::DOUBLE AS {c}" for c in rounded]
+    swaps += [f"ROUND(CAST({c} AS DOUBLE), 8) + 0.0::DOUBLE AS {c}" for c in fine]
     star = f"* REPLACE ({', '.join(swaps)})" if swaps and not plain else "*"
     ctes = ",\n".join(f"{n} AS (\n{BODIES[n].strip()}\n)" for n in _needed(name, []))
     return f"WITH {ctes}\nSELECT {star} FROM {name}"

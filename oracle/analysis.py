@@ -10,8 +10,8 @@ def q(s):
     return "'" + s.replace("'", "''") + "'"
 
 
-def half(c):
-    return f"CAST(0.01 AS DOUBLE) >= abs({c})"
+def within_tolerance(c):
+    return f"abs({c}) <= CAST(0.01 AS DOUBLE)"
 
 
 def wilson(k, n, sign):
@@ -73,7 +73,7 @@ SELECT 'D01' AS decision_id, 'Panel Spend Movement' AS case_name, driver, early_
        late_value / NULLIF(early_value, 0) - 1 AS relative_change, contribution,
        change AS total_spend_change, total AS summed_driver_contribution,
        total - change AS reconciliation_delta,
-       CASE WHEN {half("total - change")} THEN 'PASS' ELSE 'REVIEW' END AS reconciliation_status,
+       CASE WHEN {within_tolerance("total - change")} THEN 'PASS' ELSE 'REVIEW' END AS reconciliation_status,
        {q(text.ROOT_CAUSE)} AS limitation
 FROM split_weekly, split_sum
 """

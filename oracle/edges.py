@@ -1,4 +1,7 @@
-"""Result-edge casts: which columns leave as DOUBLE and which as BIGINT."""
+"""Result-edge casts: which columns leave as DOUBLE and which as BIGINT.
+
+A table written by tools/oracle_edges.py from the Spark results' types.
+"""
 
 EDGES = {
     "analysis_basket_category": (
@@ -297,6 +300,10 @@ EDGES = {
         "",
         "campaign_id",
     ),
+    "fct_coupon_redemption": (
+        "",
+        "day_key campaign_id",
+    ),
     "stg_coupon_redemption": (
         "",
         "day_key campaign_id",

@@ -313,13 +313,13 @@ GROUP BY h.household_key
 
 def segments(declining, engaged):
     return f"""
-CASE WHEN monetary_quintile > 3 AND {declining} THEN 'High-Value Declining'
-     WHEN monetary_quintile > 3 AND {engaged} THEN 'High-Value Engaged'
-     WHEN frequency_quintile > 3 AND monetary_quintile <= 3 THEN 'Frequent Core'
+CASE WHEN monetary_quintile >= 4 AND {declining} THEN 'High-Value Declining'
+     WHEN monetary_quintile >= 4 AND {engaged} THEN 'High-Value Engaged'
+     WHEN frequency_quintile >= 4 AND monetary_quintile < 4 THEN 'Frequent Core'
      WHEN coupon_basket_rate >= CAST(0.3 AS DOUBLE) OR discount_share >= CAST(0.2 AS DOUBLE)
           THEN 'Promotion-Responsive'
      WHEN private_label_share >= CAST(0.6 AS DOUBLE) THEN 'Private-Label Loyal'
-     WHEN frequency_quintile < 3 AND active_weeks < 9 THEN 'Occasional'
+     WHEN frequency_quintile <= 2 AND active_weeks <= 8 THEN 'Occasional'
      ELSE 'Low-Engagement' END"""
 
 
@@ -482,3 +482,5 @@ SELECT store_id, week_number, sum(sales_value) AS panel_net_spend,
        {div("sum(sales_value)", "count(DISTINCT basket_id)")} AS spend_per_basket
 FROM stg_transaction GROUP BY store_id, week_number
 """
+
+BODIES["fct_coupon_redemption"] = "SELECT * FROM stg_coupon_redemption"

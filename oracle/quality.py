@@ -143,7 +143,7 @@ _BROKEN = {
     "quantity_non_positive": "quantity_raw IS NULL OR quantity_raw <= 0",
     "quantity_outlier": "quantity_outlier_flag",
     "trans_time_invalid": "trans_time IS NULL OR trans_time NOT BETWEEN 0 AND 2359 "
-    "OR trans_time % 100 >= 60",
+    "OR trans_time % 100 > 59",
     "missing_product": "product_id IS NULL",
     "missing_household": "household_key IS NULL",
     "missing_basket": "basket_id IS NULL",
@@ -308,7 +308,9 @@ _CONTRACT = {
     ),
     "unsupported_promotion_codes": (
         "src_causal",
-        "count(*) FILTER (display NOT SIMILAR TO '[0-79A]' OR mailer NOT SIMILAR TO '[0ACDFHJLPXZ]')",
+        # The two code domains.
+        "count(*) FILTER (display NOT IN ('0', '1', '2', '3', '4', '5', '6', '7', '9', 'A') "
+        "OR mailer NOT IN ('0', 'A', 'C', 'D', 'F', 'H', 'J', 'L', 'P', 'X', 'Z'))",
     ),
 }
 BODIES["contract_counts"] = union(

@@ -127,6 +127,7 @@ def registry():
     return {n: Measure(n, t, c) for t, measures in in_tables.items() for n, c in measures.items()}
 
 
+#: The core measures.
 CORE = (
     "Panel Net Spend",
     "Panel Gross Spend",
@@ -349,7 +350,7 @@ def measures_category(w):
     return evaluate(w, [n for n, m in registry().items() if m.table in tables], ["department"])
 
 
-#: Dimension -> facts it filters, by key.
+#: Fixed values. Dimension -> facts it filters, by key.
 RELATIONSHIPS = {
     ("dim_week", "week_number"): (
         "mart_panel_weekly",

@@ -663,7 +663,7 @@ def promotion_universe_raw_audit(w):
     )
 
 
-#: Tables a release must contain.
+#: Tables a release must contain.
 REQUIRED_ASSETS = (
     "dim_category",
     "dim_segment",
@@ -716,7 +716,7 @@ def governed_asset_audit(w):
     return stacked(rows)
 
 
-#: Gate inputs: table -> (name column, value column, reason).
+#: Fixed values. Gate inputs: table -> (name column, value column, reason).
 GATE = {
     "qa_key_audit": ("model", "duplicate_rows", "duplicate_key_rows"),
     "qa_grain_audit": ("audit_name", "violating_baskets", "basket_grain_inconsistency"),
@@ -729,6 +729,7 @@ GATE = {
     ),
     "qa_source_contract_audit": ("check_name", "violating_rows", "source_contract_review"),
 }
+#: Fixed values.
 BLOCKING_ANOMALIES = ("missing_product", "missing_household", "missing_basket")
 
 

@@ -20,6 +20,8 @@ class Query:
     #: between math libraries.
     rounded: tuple[str, ...] = ()
     places: int = 6
+    #: of these, columns shown to 8 decimals: differences that should be nothing
+    fine: tuple[str, ...] = ()
     #: surrogate ids, which differ from run to run
     drop: tuple[str, ...] = ()
     #: False where no SQL counterpart exists
@@ -36,9 +38,9 @@ _DETAILS = {
             "contribution",
             "total_spend_change",
             "summed_driver_contribution",
-            "reconciliation_delta",
         ),
-        places=2,
+        places=4,
+        fine=("reconciliation_delta",),
     ),
     "analysis_category_lmdi": Query(
         "analysis_category_lmdi",
@@ -47,9 +49,9 @@ _DETAILS = {
             "frequency_contribution",
             "basket_value_contribution",
             "contribution_sum",
-            "reconciliation_delta",
         ),
-        places=2,
+        places=4,
+        fine=("reconciliation_delta",),
     ),
     "root_cause_drivers": Query(
         "root_cause_drivers", rounded=("spend_change_contribution", "contribution_share"), places=4
@@ -94,15 +96,22 @@ def _all() -> dict[str, Query]:
 
 
 QUERIES = _all()
+KEPT_WAREHOUSES = 2
 _warehouses: dict[tuple, Warehouse] = {}
 
 
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    """One warehouse per application and folder, so tables pinned for one query serve the next."""
+    """One warehouse per application and folder, so tables pinned for one query serve the next.
+
+    Only the last ``KEPT_WAREHOUSES`` folders are remembered, and files are taken as unchanged while one is;
+    ``forget`` drops all.
+    """
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _warehouses:
-        _warehouses[key] = Warehouse(spark, OrderTables(spark, folder))
-    return _warehouses[key]
+    kept = _warehouses.pop(key, None) or Warehouse(spark, OrderTables(spark, folder))
+    _warehouses[key] = kept
+    while len(_warehouses) > KEPT_WAREHOUSES:
+        _warehouses.pop(next(iter(_warehouses)))
+    return kept
 
 
 def forget() -> None:
@@ -113,8 +122,9 @@ def _runner(spec: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         out = presented(warehouse(spark, folder)[spec.table])
         out = out.drop(*spec.drop)
-        for c in spec.rounded:
-            out = out.withColumn(c, F.round(F.col(c).cast("double"), spec.places) + F.lit(0.0))
+        for names, places in ((spec.rounded, spec.places), (spec.fine, 8)):
+            for c in names:
+                out = out.withColumn(c, F.round(F.col(c).cast("double"), places) + F.lit(0.0))
         return out
 
     return run

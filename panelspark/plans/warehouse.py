@@ -11,8 +11,9 @@ from panelspark.operators import load_all
 from panelspark.plans.registry import BUILDERS
 
 
-#: Applied where the session leaves them unset. A hot key may sit under a join whose result is
-#: then grouped on the same key: splitting it is worth the extra shuffle.
+#: Worth setting when a session is built (bench.py does); a warehouse leaves its session alone. A hot key
+#: may sit under a join whose result is then grouped on the same key: splitting it is worth the
+#: extra shuffle.
 SETTINGS = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
 
 
@@ -37,10 +38,6 @@ class Warehouse:
         rules: Thresholds | None = None,
     ):
         load_all()
-        chosen = spark.conf.getAll
-        for key, value in SETTINGS.items():
-            if key not in chosen:
-                spark.conf.set(key, value)
         self.spark = spark
         self.rules = rules or Thresholds()
         self._sources = sources

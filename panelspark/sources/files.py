@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelspark.functions.ordering import shared_folder
 from panelspark.sources.contracts import CONTRACTS
@@ -22,13 +23,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def read_source(spark: SparkSession, folder: str, source: str) -> DataFrame:
-    """One contract source from CSV, by its declared schema; header drift raises."""
-    return (
-        spark.read.schema(CONTRACTS[source].schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .csv(f"{folder}/{source}.csv")
-    )
+    """One contract source from CSV, columns found by name; a missing or extra one raises.
+
+    The files of one source share one column order, which need not be the contract's.
+    """
+    path, schema = f"{folder}/{source}.csv", CONTRACTS[source].schema
+    header = spark.read.option("header", True).csv(path).columns
+    if sorted(header) != sorted(schema.names):
+        raise ValueError(f"CSV header does not conform to the contract of {source}: {header}")
+    ordered = StructType([schema[name] for name in header])
+    rows = spark.read.schema(ordered).option("header", True).option("enforceSchema", False).csv(path)
+    return rows.select(*schema.names)
 
 
 def csv_sources(spark: SparkSession, folder: str):
@@ -99,14 +104,22 @@ class Export:
     report: DataFrame
 
 
+class QualityGateError(RuntimeError):
+    """The quality gate found failures, so nothing is exported."""
+
+
 def export_tables(
-    w, names, kind="parquet", run_id="manual", folder=None, keep_going=False, reuse=False
+    w, names, kind="parquet", run_id="manual", folder=None, keep_going=False, reuse=False,
+    gate=True,
 ):
     """Write tables under their export names with the run id; one report row per table.
 
     Money stays DECIMAL in the files, so totals recomputed from them are exact. With ``reuse``
-    a written parquet table also serves the tables built from it.
+    a written parquet table also serves the tables built from it. Unless ``gate`` is False, a
+    failed quality gate stops the export before anything is written.
     """
+    if gate and not w["quality_gate"].first()["ready"]:
+        raise QualityGateError("the quality gate failed; see quality_gate_findings")
     folder = folder or work_folder(w.spark, "export")
     report = []
     for name in names:

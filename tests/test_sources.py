@@ -30,6 +30,21 @@ def test_header_drift_raises(spark, tmp_path):
         files.read_source(spark, str(tmp_path), "coupon").collect()
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    spark.sql("SELECT 7 AS PRODUCT_ID, 3 AS CAMPAIGN, 500 AS COUPON_UPC").write.option("header", True).csv(
+        f"{tmp_path}/coupon.csv"
+    )
+    (row,) = files.read_source(spark, str(tmp_path), "coupon").collect()
+    assert (row.COUPON_UPC, row.PRODUCT_ID, row.CAMPAIGN) == (500, 7, 3)
+
+
+def test_failed_gate_blocks_exports(panel, tmp_path):
+    assert not panel["quality_gate"].first()["ready"]
+    with pytest.raises(files.QualityGateError):
+        files.export_tables(panel, ["dim_week"], folder=str(tmp_path))
+    assert not list(tmp_path.iterdir())
+
+
 def test_contract_check_precedence(spark, folder, tmp_path_factory):
     rows = as_dicts(contract_check(spark, folder), "source_name")
     assert {r["status"] for r in rows.values()} == {"ok"} and len(rows) == 8
@@ -81,7 +96,7 @@ def test_profile(panel):
 
 
 def test_exports_carry_the_run_id(spark, panel, tmp_path):
-    done = files.export_tables(panel, ["dim_week"], run_id="r1", folder=str(tmp_path))
+    done = files.export_tables(panel, ["dim_week"], run_id="r1", folder=str(tmp_path), gate=False)
     assert done.report.collect()[0].rows_written == 4
     back = spark.read.parquet(f"{tmp_path}/Dim_Week")
     assert [r.pipeline_run_id for r in back.select("pipeline_run_id").distinct().collect()] == ["r1"]
