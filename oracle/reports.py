@@ -216,6 +216,33 @@ BODIES["measures_core_by_segment"] = long(_BASKET, "mart_basket", "segment")
 BODIES["measures_core_by_week"] = union(
     [long(_BASKET, "mart_basket", "week_number"), long(_WEEKLY, "mart_panel_weekly", "week_number")]
 )
+BODIES["basket_with_age"] = """
+SELECT b.*, d.age_desc FROM mart_basket b LEFT JOIN dim_household d ON d.household_key = b.household_key
+"""
+BODIES["measures_core_by_age"] = long(_BASKET, "basket_with_age", "age_desc")
+BODIES["exposure_with_type"] = """
+SELECT e.*, d.campaign_type AS kind FROM mart_campaign_household e
+JOIN dim_campaign d ON d.campaign_id = e.campaign_id WHERE d.start_day > 100
+"""
+BODIES["measures_campaign_by_type"] = "SELECT * RENAME (kind AS campaign_type) FROM (" + long(
+    {
+        **_CAMPAIGN,
+        "Campaign-Household Exposures": "count(*)",
+        "Redeeming Exposures": "count(*) FILTER (redeemed_coupon_flag)",
+        "Exposure Redemption Rate": div("count(*) FILTER (redeemed_coupon_flag)", "count(*)"),
+    },
+    "exposure_with_type",
+    "kind",
+) + ")"
+BODIES["panel_with_week"] = """
+SELECT p.*, d.observation_week FROM mart_panel_weekly p LEFT JOIN dim_week d ON d.week_number = p.week_number
+"""
+BODIES["store_with_week"] = """
+SELECT p.*, d.observation_week FROM mart_store_weekly p LEFT JOIN dim_week d ON d.week_number = p.week_number
+"""
+BODIES["measures_core_by_dim_week"] = union(
+    [long(_WEEKLY, "panel_with_week", "observation_week"), long(_STORE, "store_with_week", "observation_week")]
+)
 BODIES["measures_supplement"] = union(
     [
         long(

@@ -13,24 +13,25 @@ from panelspark.functions.columns import ratio
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DRAWS, SEED = 2000, 42
-#: Fixed number of random streams, so a result does not depend on how many tasks ran.
-STREAMS = 256
+
+
+def _draws(cell: int, n: int) -> np.ndarray:
+    """Poisson(n) draws of one value, from a counter-based generator keyed by the value itself."""
+    key = np.array([SEED, cell % 2**64], dtype=np.uint64)
+    return np.random.Generator(np.random.Philox(key=key)).poisson(n, DRAWS)
 
 
 def _resample(batches):
-    """Poisson bootstrap sums of one task, one random stream per fixed slice of the values.
+    """Poisson bootstrap sums of one task; the draws of a value are the same in any task.
 
     ``n`` equal baskets draw Poisson(n) together, which is the sum of n Poisson(1) draws.
     """
     sums, counts = {}, {}
-    stream, rng = None, None
     for batch in batches:
-        for (piece, segment), part in batch.groupby(["stream", "segment"], sort=False):
-            if piece != stream:
-                stream, rng = piece, np.random.default_rng([SEED, int(piece)])
+        for segment, part in batch.groupby("segment", sort=False):
             for start in range(0, len(part), 500):
                 cells = part.iloc[start : start + 500]
-                weights = rng.poisson(cells["n"].to_numpy()[:, None], (len(cells), DRAWS))
+                weights = np.stack([_draws(int(c), int(n)) for c, n in zip(cells["cell"], cells["n"])])
                 values = cells["value"].to_numpy(dtype=float)
                 sums[segment] = sums.get(segment, 0.0) + values @ weights
                 counts[segment] = counts.get(segment, 0) + weights.sum(axis=0)
@@ -47,16 +48,13 @@ def _resample(batches):
 
 def bootstrap_interval(counts):
     """95% interval of (segment mean - mean of all others) from ``DRAWS`` Poisson resamples."""
-    spark = counts.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = counts.select(
-        F.pmod(F.xxhash64("segment", "value"), F.lit(STREAMS)).cast("int").alias("stream"),
+        F.xxhash64("segment", "value").alias("cell"),
         "segment",
         F.col("value").cast("double").alias("value"),
         "n",
     )
-    ordered = cells.repartition(tasks, "stream").sortWithinPartitions("stream", "segment", "value")
-    drawn = ordered.mapInPandas(_resample, "segment string, draw int, s double, n double")
+    drawn = cells.repartition("cell").mapInPandas(_resample, "segment string, draw int, s double, n double")
     own = drawn.groupBy("segment", "draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     everyone = own.groupBy("draw").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     gap = ratio("s", "n") - ratio(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))

@@ -5,6 +5,7 @@ and distinct households are recounted for the chosen weeks. Segment labels come
 are not recomputed by a filter.
 """
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -151,9 +152,50 @@ CORE = (
 )
 
 
+_ATTRIBUTE = re.compile(r"\b(dim_\w+)\.(\w+)\b")
+
+
+class UnreachableError(ValueError):
+    """A dimension's filter does not flow to the tables of some measures."""
+
+
+def with_attributes(w, source, rows, attributes):
+    """Rows of a table with attributes (dimension, column) along the star's relationships.
+
+    Every dimension is joined once, on its key; rows without a member get NULL.
+    """
+    wanted = {}
+    for dim, column in attributes:
+        wanted.setdefault(dim, []).append(column)
+    for dim, columns in wanted.items():
+        key = next(k for (d, k), facts in RELATIONSHIPS.items() if d == dim and source in facts)
+        members = w[dim].select(
+            F.col(key).alias("_member"), *[F.col(c).alias(f"{dim}__{c}") for c in dict.fromkeys(columns)]
+        )
+        rows = rows.join(members, F.col(key) == F.col("_member"), "left").drop("_member")
+    return rows
+
+
 def evaluate(w, names, by=(), where=None):
-    """Long rows (``by`` columns, measure, value); one aggregation per table involved."""
+    """Long rows (``by`` columns, measure, value); one aggregation per table involved.
+
+    ``by`` and ``where`` may name attributes of a dimension (``dim_household.age_desc``); they reach a
+    measure's table along the star's relationships and leave under their own name. Measures that
+    one of them cannot reach are reported by an :class:`UnreachableError`.
+    """
     known = registry()
+    attributes = [m for c in by for m in _ATTRIBUTE.findall(c)]
+    attributes += _ATTRIBUTE.findall(where) if isinstance(where, str) else []
+    lost = [
+        n for n in names for dim, _ in attributes
+        if not any(d == dim and known[n].table in facts for (d, _), facts in RELATIONSHIPS.items())
+    ]
+    if lost:
+        raise UnreachableError(f"not reached by the dimensions asked for: {sorted(set(lost))}")
+    if isinstance(where, str):
+        where = _ATTRIBUTE.sub(r"\1__\2", where)
+    if attributes:
+        return _through_star(w, names, by, where, attributes)
     per_table = {}
     for name in names:
         per_table.setdefault(known[name].table, []).append(known[name])
@@ -175,6 +217,38 @@ def evaluate(w, names, by=(), where=None):
     return stacked(frames)
 
 
+def _through_star(w, names, by, where, attributes):
+    plain = {c: _ATTRIBUTE.sub(r"\1__\2", c) for c in by}
+    joined = {}
+    for table_ in {registry()[n].table for n in names}:
+        joined[table_] = with_attributes(w, table_, w[table_], attributes)
+    view = w.fork()
+    for table_, rows in joined.items():
+        view.replace(table_, rows)
+    out = evaluate(view, names, list(plain.values()), F.expr(where) if where else F.lit(True))
+    return out.withColumnsRenamed({p: c.split(".")[-1] for c, p in plain.items()})
+
+
+@table("measure")
+def measures_core_by_age(w):
+    """Basket measures by the household's age group."""
+    names = [m for m in CORE if registry()[m].table == "mart_basket"]
+    return evaluate(w, names, ["dim_household.age_desc"])
+
+
+@table("measure")
+def measures_campaign_by_type(w):
+    names = [n for n, m in registry().items() if m.table == "mart_campaign_household"]
+    return evaluate(w, names, ["dim_campaign.campaign_type"], "dim_campaign.start_day > 100")
+
+
+@table("measure")
+def measures_core_by_dim_week(w):
+    on_weeks = ("mart_panel_weekly", "mart_store_weekly")
+    names = [n for n, m in registry().items() if m.table in on_weeks]
+    return evaluate(w, names, ["dim_week.observation_week"])
+
+
 @table("measure")
 def measures_core(w):
     return evaluate(w, CORE)

@@ -79,3 +79,14 @@ def test_segment_free_measures_assign_no_segments(spark):
     w = catalog.warehouse(spark, FOLDER)
     assert w["measures_window_13w"] is not None
     assert "household_scores" not in w._tables
+
+
+def test_measures_reach_attributes_along_the_star(panel):
+    from panelspark.operators.measures import UnreachableError, evaluate
+
+    rows = evaluate(panel, ["Baskets"], ["dim_household.age_desc"]).collect()
+    assert {r.age_desc: r.value for r in rows} == {"25-34": 2.0, None: 4.0}
+    some = evaluate(panel, ["Baskets"], where="dim_household.age_desc = '25-34'").collect()
+    assert [r.value for r in some] == [2.0]
+    with pytest.raises(UnreachableError, match="Decision Alert Count"):
+        evaluate(panel, ["Baskets", "Decision Alert Count"], ["dim_household.age_desc"])
