@@ -128,9 +128,7 @@ BODIES["analysis_basket_category"] = f"""
 SELECT commodity, sum(panel_net_spend) AS panel_net_spend,
        sum(buying_households) AS buying_household_week_records,
        sum(category_baskets) AS category_baskets,
-       {div("sum(CAST(private_label_share AS DECIMAL(38,12)))", "count(private_label_share)")}
-           AS avg_private_label_share,
-       {div("sum(CAST(discount_rate AS DECIMAL(38,12)))", "count(discount_rate)")} AS avg_discount_rate
+       avg(private_label_share) AS avg_private_label_share, avg(discount_rate) AS avg_discount_rate
 FROM mart_category_weekly GROUP BY commodity
 """
 BODIES["analysis_campaign_funnel"] = """

@@ -284,8 +284,7 @@ BODIES["mart_household_summary"] = f"""
 SELECT h.household_key, min(week_number) AS first_observed_week,
        max(week_number) AS last_observed_week, count(DISTINCT week_number) AS active_weeks,
        sum(net_spend) AS observed_lifetime_spend, sum(baskets) AS lifetime_baskets,
-       {div(f"sum(CAST({div('net_spend', 'baskets')} AS DECIMAL(38,6)))", "count(net_spend)")}
-           AS avg_basket_value,
+       avg({div("net_spend", "baskets")}) AS avg_basket_value,
        {div("sum(net_spend)", "count(net_spend)")} AS avg_weekly_spend,
        median(CAST(net_spend AS DOUBLE)) AS median_weekly_spend,
        {div("sum(discount_value)", "sum(net_spend + discount_value)")} AS discount_share,

@@ -89,7 +89,7 @@ FROM (SELECT CAST(sum(c) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k, sum(rs
 """
 BODIES["stats_promotion_kruskal"] = f"""
 SELECT st AS promo_state_group, count(*) AS n,
-       {div("sum(CAST(v AS DECIMAL(38,6)))", "count(*)")} AS mean_panel_sales_per_product_store_week,
+       avg(CAST(v AS DOUBLE)) AS mean_panel_sales_per_product_store_week,
        median(v) AS median_panel_sales_per_product_store_week,
        any_value(h) AS kruskal_wallis_stat,
        greatest(0, (any_value(h) - any_value(k) + 1) / (any_value(kruskal.n) - any_value(k)))
@@ -166,9 +166,7 @@ _CAMPAIGN = {
 _PROMO = {
     "Promo Product-Store-Weeks": "sum(product_store_weeks)",
     "Promo Panel Sales": "sum(panel_sales)",
-    "Promo Sales per PSW": div(
-        f"sum(CAST({div('panel_sales', 'product_store_weeks')} AS DECIMAL(38,6)))", "count(*)"
-    ),
+    "Promo Sales per PSW": f"avg({div('panel_sales', 'product_store_weeks')})",
     "Promoted State Sales Share": div(
         "sum(panel_sales) FILTER (promo_state_group <> 'none')", "sum(panel_sales)"
     ),
@@ -184,7 +182,7 @@ _STORE = {"Store Panel Net Spend": "sum(panel_net_spend)", "Store Baskets": "sum
 
 
 def _mean(c):
-    return div(f"sum(CAST({c} AS DECIMAL(38,6)))", f"count({c})")
+    return f"avg(CAST({c} AS DOUBLE))"
 
 
 def long(measures, source, by=""):

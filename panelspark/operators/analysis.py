@@ -223,8 +223,8 @@ def analysis_basket_category(w):
         F.sum("panel_net_spend").alias("panel_net_spend"),
         F.sum("buying_households").alias("buying_household_week_records"),
         F.sum("category_baskets").alias("category_baskets"),
-        mean_ratio("private_label_share", 12).alias("avg_private_label_share"),
-        mean_ratio("discount_rate", 12).alias("avg_discount_rate"),
+        mean_ratio("private_label_share").alias("avg_private_label_share"),
+        mean_ratio("discount_rate").alias("avg_discount_rate"),
     )
 
 

@@ -125,7 +125,7 @@ def summarise_households(w, weekly):
         F.count("week_number").alias("active_weeks"),
         F.sum("net_spend").alias("observed_lifetime_spend"),
         F.sum("baskets").alias("lifetime_baskets"),
-        mean_ratio(ratio("net_spend", "baskets"), 6).alias("avg_basket_value"),
+        mean_ratio(ratio("net_spend", "baskets")).alias("avg_basket_value"),
         mean("net_spend").alias("avg_weekly_spend"),
         median("net_spend").alias("median_weekly_spend"),
         ratio(F.sum("discount_value"), F.sum(F.col("net_spend") + F.col("discount_value"))).alias(

@@ -105,7 +105,7 @@ def registry():
         "mart_promotion_category_week": {
             "Promo Product-Store-Weeks": cells,
             "Promo Panel Sales": sales,
-            "Promo Sales per PSW": mean_ratio(ratio("panel_sales", "product_store_weeks"), 6),
+            "Promo Sales per PSW": mean_ratio(ratio("panel_sales", "product_store_weeks")),
             "Promoted State Sales Share": ratio(F.sum(F.when(promoted, F.col("panel_sales"))), sales),
             "Promotion Dependency": ratio(
                 F.sum(F.when(promoted, F.col("product_store_weeks"))), cells
@@ -120,9 +120,9 @@ def registry():
             "Summed Campaign Redemption Rate": ratio(
                 F.sum("campaign_redeemers"), F.sum("campaign_recipients")
             ),
-            "Avg Pre 28d Spend": mean_ratio("avg_pre_28d_spend", 6),
-            "Avg During Spend": mean_ratio("avg_during_spend", 6),
-            "Avg Post 28d Spend": mean_ratio("avg_post_28d_spend", 6),
+            "Avg Pre 28d Spend": mean_ratio("avg_pre_28d_spend"),
+            "Avg During Spend": mean_ratio("avg_during_spend"),
+            "Avg Post 28d Spend": mean_ratio("avg_post_28d_spend"),
         },
     }
     return {n: Measure(n, t, c) for t, measures in in_tables.items() for n, c in measures.items()}

@@ -146,7 +146,7 @@ def stats_promotion_kruskal(w):
     h = raw / F.nullif(F.lit(1.0) - F.col("_t") / (n * n * n - n), F.lit(0.0))
     nan = F.lit(float("nan"))
     eta = F.when(n > k, F.greatest(F.lit(0.0), ratio(h - k + 1, n - k))).otherwise(nan)
-    kept = F.col("value").cast("decimal(24,6)") * F.col("n").cast("decimal(12,0)")
+    kept = F.col("value").cast("double") * F.col("n")
     stats = ranks.groupBy("promo_state_group").agg(
         F.sum("n").alias("n"),
         ratio(F.sum(kept), F.sum("n")).alias("mean_panel_sales_per_product_store_week"),
