@@ -26,7 +26,7 @@ def sql_for(name, rounded=(), places=6, plain=False, fine=()):
     double, bigint = (c.split() for c in edges.EDGES.get(name, ("", "")))
     swaps = [f"CAST({c} AS DOUBLE) AS {c}" for c in double]
     swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in bigint]
-    for columns, n in ((rounded, places), (fine, 8)):
+    for columns, n in ((rounded, places), (fine, 6)):
         nudge = f"{2.0 * 10.0 ** -(n + 2)!r}::DOUBLE"  # exact halves fall one way, as on the Spark side
         swaps += [f"ROUND(CAST({c} AS DOUBLE) + {nudge}, {n}) + 0.0::DOUBLE AS {c}" for c in columns]
     star = f"* REPLACE ({', '.join(swaps)})" if swaps and not plain else "*"

@@ -448,7 +448,7 @@ SELECT fw AS first_observed_week, count(*) AS first_observed_households,
        count(*) FILTER (seen AND again) AS repeat_households_within_13_weeks,
        {div("count(*) FILTER (seen AND again)", "count(*) FILTER (seen)")}
            AS observed_repeat_rate_within_13_weeks,
-       {div("sum(spend)", "count(*)")} AS avg_observed_lifetime_spend,
+       {div("sum(spend)", "count(spend)")} AS avg_observed_lifetime_spend,
        {div("sum(trips)", "count(*)")} AS avg_observed_lifetime_baskets,
        {q(text.COHORT)} AS interpretation_boundary
 FROM (SELECT s.first_observed_week AS fw, s.observed_lifetime_spend AS spend,

@@ -915,7 +915,10 @@ def analysis_first_observed_cohort(w):
     )
     follow = F.col("first_observed_week") + weeks <= last
     second = F.try_element_at("weeks", F.lit(2))
-    again = second.isNotNull() & (second <= F.col("first_observed_week") + weeks)
+    # rows without a household cannot be told to be the same household again
+    again = F.col("household_key").isNotNull() & second.isNotNull() & (
+        second <= F.col("first_observed_week") + weeks
+    )
     return first_week.groupBy("first_observed_week").agg(
         F.count(F.lit(1)).alias("first_observed_households"),
         F.count_if(follow).alias("households_with_observable_follow_up"),
