@@ -39,7 +39,7 @@ def test_line_without_product_joins_the_unknown_category(panel):
 
 
 def test_outliers_are_flagged_not_dropped(panel):
-    flagged = {(r.household_key, r.day_key) for r in panel["lines"].collect() if r.quantity_outlier_flag}
+    flagged = {(r.household_key, r.day_key) for r in panel["flagged_lines"].collect() if r.quantity_outlier_flag}
     assert flagged == {(2, 24), (3, 22)}
     assert panel["fct_transaction_line"].count() == len(PANEL["transaction_data"])
 
