@@ -54,7 +54,9 @@ def bootstrap_interval(counts):
         F.col("value").cast("double").alias("value"),
         "n",
     )
-    drawn = cells.repartition("cell").mapInPandas(_resample, "segment string, draw int, s double, n double")
+    # An asked-for number of tasks is kept: the rows are small but the draws are not.
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = cells.repartition(tasks, "cell").mapInPandas(_resample, "segment string, draw int, s double, n double")
     own = drawn.groupBy("segment", "draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     everyone = own.groupBy("draw").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     gap = ratio("s", "n") - ratio(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))
