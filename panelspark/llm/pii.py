@@ -2,10 +2,16 @@
 
 Four kinds are found by plain patterns in the text as it stands (base spans). A transducer then
 rewrites disguises - homoglyphs and foreign digits, invisible characters, spelled digits, "(at)",
-"[dot]" and "name at host dot com" - and remembers for each rewritten piece where it came from. The
+"[dot]", "name at host dot com" and "name at host.com" - and remembers for each rewritten piece where it came from. The
 same patterns run over the rewritten text, and what they find there is mapped back to source
 characters. Such a span is added if it holds at least one rewritten piece; base spans stay.
 
+A lone digit word is rewritten if a dot stands between it and another letter or digit. Spoken digits
+grouped by comma or line end are put together if groups in a row make a card or, after "plus", a
+phone number. "at" before a host with plain dots is rewritten unless the word before it commonly leads to
+a place ("me at host.com", LEADS) or the host starts with "www."; the host must end in a lower-case or
+all upper-case label of letters.
+
 Patterns are applied leftmost and without overlap per kind; a match that fails its check (octets,
 Luhn, digit count) is dropped and not retried. All scans are linear in the text's length.
 
@@ -94,6 +100,18 @@ _DIGIT_WORDS = {
     )
     for d, w in enumerate(words.split())
 } | {"oh": "0"}
+#: Words before "at" that speak of a place and not of a mailbox.
+LEADS = frozenset(
+    "a about all am and are arrive arrived available based be been being blog bought browse browsing build built but "
+    "buy check checked click code coming contact data demo details docs documentation documents done download "
+    "downloads email everything files find for forum found free from further get go going guide had has have he "
+    "her here him homepage hosted how i images in info information is it join joined learn link links listed lives "
+    "located login look looked looking looks mail manual maintained me meet met more news not now of office on "
+    "online only or order orders our out page pages photos point pointed points posted published read reading "
+    "register released remain resource see seen shop shopping she sign site sold source starts stay started store "
+    "stored study stuff support team that the them then there they this those today try up updates us video videos "
+    "view visit was we website were what when where who with work worked working works write you".split()
+)
 _INVISIBLE = "­​‌‍⁠﻿"
 
 
@@ -119,6 +137,11 @@ _WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _RUN = re.compile(rf"(?<![^\W_])(?:plus[ -]+)?(?:(?:{_WORDS}|[0-9]+)[ -]+)+(?:{_WORDS}|[0-9]+)(?![^\W_])", re.I)
 _RUN_PART = re.compile(rf"(plus)|({_WORDS})|([0-9]+)", re.I)
 _TWO_WORDS = re.compile(rf"(?:{_WORDS})[ -]+(?:{_WORDS})", re.I)
+_BY_DOT = re.compile(rf"(?<=[^\W_]\.)(?:{_WORDS})(?![^\W_])|(?<![^\W_])(?:{_WORDS})(?=\.[^\W_])", re.I)
+_ITEM = rf"(?:{_WORDS}|[0-9]+)"
+_GROUPS = re.compile(rf"(?<![^\W_])(?:plus[ \t,\r\n-]+)?(?:{_ITEM}[ \t,\r\n-]+)+{_ITEM}(?![^\W_])", re.I)
+_GROUP = re.compile(rf"(?:plus[ \t,\r\n-]+)?{_ITEM}(?:[ \t-]+{_ITEM})*", re.I)
+_TWO_IN_ROW = re.compile(rf"(?:{_WORDS})[ \t,\r\n-]+(?:{_WORDS})", re.I)
 _AT = r"(?:at|arroba|@)"
 _DOT = r"(?:dot|punkt|punto|point|\.)"
 _DISGUISE = re.compile(
@@ -126,9 +149,14 @@ _DISGUISE = re.compile(
     rf"|(?P<dot>[ \t]{{0,4}}[\[({{<][ \t]{{0,4}}{_DOT}[ \t]{{0,4}}[\])}}>][ \t]{{0,4}})"
     r"|(?P<at_word>(?<=[\w.+%-])[ \t]{1,4}(?:at|arroba)[ \t]{1,4}"
     r"(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,4}(?:dot|punkt|punto|point)[ \t]{1,4}|[ \t]{0,4}[\[({<][ \t]{0,4}(?:dot|punkt|punto|point)\b)))"
+    r"|(?P<at_host>(?<=[\w.+%-])[ \t]{1,4}(?:at|arroba)[ \t]{1,4}(?!www\.)(?=(?P<host>(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z0-9-]{1,63})"
+    r"(?:(?P<more>[ \t]{1,4}(?:dot|punkt|punto|point)[ \t]{1,4}[\w-]|[ \t]{0,4}[\[({<][ \t]{0,4}(?:dot|punkt|punto|point|\.)[ \t]{0,4}[\])}>])"
+    r"|(?![A-Za-z0-9_-]|\.[A-Za-z0-9]))))"
     r"|(?P<dot_word>(?<=[\w-])[ \t]{1,4}(?:dot|punkt|punto|point)[ \t]{1,4}(?=[\w-]))",
     re.I,
 )
+_AT_HOST = re.compile(r"a(?:t|rroba)[ \t]{1,4}[a-z0-9-]{1,63}\.[a-z0-9-]")
+_LAST_WORD = re.compile(r"[\w.+%-]+\Z")
 _BRACKETED = re.compile(rf"[\[({{<][ \t]{{0,4}}(?:{_AT}|\.)")
 _SPOKEN = frozenset(_DIGIT_WORDS)
 
@@ -189,16 +217,66 @@ def _spelled(match: re.Match) -> list[tuple[int, int, str]]:
     return [(*match.span(), "".join(parts))]
 
 
+def _grouped(match: re.Match) -> list[tuple[int, int, str]]:
+    """Sites for groups of spoken digits that only together are a card or a phone number."""
+    groups = [
+        (*g.span(), "".join("+" if p[1] else _DIGIT_WORDS.get(p[0].lower(), p[0]) for p in _RUN_PART.finditer(g[0])))
+        for g in _GROUP.finditer(match.string, *match.span())
+    ]
+    sites, i = [], 0
+    while i < len(groups):
+        taken, digits = None, ""
+        for j in range(i, len(groups)):
+            digits += groups[j][2]
+            if len(digits) > 19 or "+" in digits[1:]:
+                break
+            whole = _callable(digits) if digits[0] == "+" else _luhn(digits)
+            if whole and _TWO_IN_ROW.search(match.string, groups[i][0], groups[j][1]):
+                taken = j, digits
+                if j == i or digits[0] != "+":
+                    break
+        if taken:
+            sites.append((groups[i][0], groups[taken[0]][1], taken[1]))
+        i = taken[0] + 1 if taken else i + 1
+    return sites
+
+
+def _spoken_sites(text: str) -> list[tuple[int, int, str]]:
+    """Groups first; then runs and lone words that no group holds."""
+    sites = [s for m in _GROUPS.finditer(text) if _TWO_IN_ROW.search(m[0]) for s in _grouped(m)]
+    for more in (
+        [s for m in _RUN.finditer(text) for s in _spelled(m)],
+        [(*m.span(), _DIGIT_WORDS[m[0].lower()]) for m in _BY_DOT.finditer(text)],
+    ):
+        starts = [a for a, _, _ in sites]
+        for a, b, words in more:
+            i = bisect_right(starts, a)
+            if (not i or sites[i - 1][1] <= a) and (i == len(starts) or b <= starts[i]):
+                sites.append((a, b, words))
+        sites = sorted(sites)
+    return sites
+
+
+def _to_mailbox(match: re.Match) -> bool:
+    """Whether "at" before a host with plain dots speaks of a mailbox."""
+    label = match["host"].rsplit(".", 1)[-1]
+    if not match["more"] and not (len(label) > 1 and label.isascii() and label.isalpha() and (label.islower() or label.isupper())):
+        return False
+    before = _LAST_WORD.search(match.string, max(0, match.start() - 64), match.start())
+    return not before or before[0].lower() not in LEADS
+
+
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """Spans that appear only once disguises are taken off, in source code points."""
     # Cheap signs first: most texts show none of them.
     low = text.lower()
     strange = not text.isascii() and not _STRANGE.isdisjoint(text)
-    marks = any(w in low for w in ("dot", "punkt", "punto", "point")) or _BRACKETED.search(low)
-    spoken = _SPOKEN.intersection(low.replace("-", " ").split())
-    if len(spoken) == 1:  # one digit word counts if it is repeated
+    marks = any(w in low for w in ("dot", "punkt", "punto", "point")) or _BRACKETED.search(low) or _AT_HOST.search(low)
+    tokens = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    spoken = _SPOKEN.intersection(tokens)
+    if len(spoken) == 1:  # one digit word counts if it is repeated or a dot can stand next to it
         word = next(iter(spoken))
-        spoken = f"{word} {word}" in low or f"{word}-{word}" in low
+        spoken = marks or any(a == b == word for a, b in zip(tokens, tokens[1:])) or _BY_DOT.search(low)
     if not (strange or marks or spoken):
         return []
     plain = Rewritten(text)
@@ -206,10 +284,13 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
         plain.replace([(i, i + 1, _TABLE.get(c, "")) for i, c in enumerate(text) if c in _STRANGE])
     sites = []
     for m in _DISGUISE.finditer(plain.text):
-        sites.append((m.start(), m.end(), "@" if m.lastgroup in ("at", "at_word") else "."))
+        if m["at_host"] is None:
+            sites.append((*m.span(), "@" if m["at"] or m["at_word"] else "."))
+        elif _to_mailbox(m):
+            sites.append((*m.span(), "@"))
     if sites:
         plain.replace(sites)
-    sites = [s for m in _RUN.finditer(plain.text) for s in _spelled(m)] if spoken or strange else []
+    sites = _spoken_sites(plain.text) if spoken or strange else []
     if sites:
         plain.replace(sites)
     found = []
