@@ -51,3 +51,17 @@ def test_the_threshold_is_five_words_and_four_fifths(spark):
             rows.append((20 + len(rows), " ".join(copy + [rng.choice(vocabulary)] * rng.randint(0, len(copy) // 6))))
     kept = survivors(rows)
     assert len(rows) - len(kept) > 20 and stage(spark, rows) == kept
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    clean, base = " ".join(f"c{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [
+        (1, base), (1, base), (1, base),  # exact repeats: one row stays
+        (2, base + " b40"), (2, clean), (2, clean),  # one id with a near copy and a text of its own, repeated
+        (3, clean + " c40"), (4, base), (4, "only here and said once"), (None, base), (None, base),
+        (5, ""), (5, ""), (6, None),
+    ]
+    assert stage(spark, rows) == sorted(
+        [(1, base), (2, clean), (4, "only here and said once"), (None, base), (None, base), (5, ""), (5, ""), (6, None)], key=str
+    )
+    assert stage(spark, []) == []
