@@ -6,9 +6,14 @@ styles and reader comments leaves an empty line behind. The lengths of the remai
 summed over sliding windows of a few lines. Where a window's sum rises (surge) a region opens, where
 it falls away (dive) it closes; lines between are kept, short ones and links included.
 
-If a page has an article or main element, only text inside it has length and every region counts.
-Otherwise lines that are mostly links have none, a surge needs a tenth of the page's fullest
-window, and the longest region is kept.
+Lines that are mostly links have no length, unless inside an article or main element. A surge needs
+half a typical line: the length over which lines hold half of the page's text, where no line counts
+for more than ``LONGEST`` characters. Every region that is not mostly links is kept, without weightless
+lines at its ends.
+
+An article or main element sets the bounds of its regions, so that short lines in it stay, and text
+outside is dropped - unless the regions outside hold more than ``TRUST`` times its text. Then it is a
+teaser or a card, and the regions of the whole page are kept.
 
 Defined results: a null, empty or text-less page has the empty text; a page cut off in the middle
 ends where it ends; ids and repeated rows pass through; an empty table gives no rows. Only the
@@ -44,6 +49,8 @@ _TAG = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Characters that one line counts for at most; how many times its text an article outweighs outside.
+LONGEST, TRUST = 500, 2
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
@@ -156,28 +163,35 @@ def regions(weights: list[int], window: int, least: float) -> list[tuple[int, in
     return found
 
 
-def main_text(page, window: int = 3, share: float = 0.1) -> str:
+def typical(weights: list[int]) -> int:
+    """The length over which lines hold half of the text, long lines counted for LONGEST."""
+    short = sorted((min(w, LONGEST) for w in weights if w), reverse=True)
+    held, half = 0, sum(short) / 2
+    for w in short:
+        held += w
+        if held >= half:
+            return w
+    return 0
+
+
+def main_text(page, window: int = 3, share: float = 0.5) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    article = any(x[2] for x in lines)
-    if article:
-        weights = [len(t) if inside else 0 for t, _, inside in lines]
-        kept = regions(weights, window, 0)
-        chosen = [t for a, b in kept for t, _, inside in lines[a:b] if inside]
-    else:
-        weights = [len(t) if 2 * linked < len(t) else 0 for t, linked, _ in lines]
-        sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-        kept = regions(weights, window, share * max(sums, default=0))
-        if not kept:
-            return ""
-        a, b = max(kept, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
+    weights = [len(t) if inside or 2 * linked < len(t) else 0 for t, linked, inside in lines]
+    kept = []
+    for a, b in regions(weights, window, share * typical(weights)):
         while a < b and not weights[a]:
             a += 1
         while a < b and not weights[b - 1]:
             b -= 1
-        chosen = [t for t, _, _ in lines[a:b]]
-    return "\n".join(t for t in chosen if t)
+        links = sum(linked for _, linked, inside in lines[a:b] if not inside)
+        if 2 * links < sum(len(t) for t, _, _ in lines[a:b]):
+            kept += range(a, b)
+    held = sum(len(t) for t, _, inside in lines if inside)
+    if held and sum(weights[i] for i in kept if not lines[i][2]) <= TRUST * held:
+        kept = [i for i, x in enumerate(lines) if x[2]]
+    return "\n".join(lines[i][0] for i in kept if lines[i][0])
 
 
 def extract(
