@@ -131,10 +131,34 @@ FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 JOIN ahead a ON d.source IS NOT DISTINCT FROM a.source AND d.hash = a.hash
 """
 
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), t AS (
+  SELECT item, least(len(w), 10) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM b WHERE len(w) > 0
+), s AS (
+  SELECT r, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k
+), h AS (SELECT r, i, s.k, item FROM s JOIN t ON s.g = t.g AND s.k = t.k),
+hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + k)) AS j FROM h) GROUP BY r),
+it AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+"""
+
 SQL = {
     "op2_embedding_near_dedup": OP2,
     "op3_minhash_near_dedup": OP3,
     "op5_sharding": OP5,
     "op6_chat_formatting": OP6,
     "op9_mixing": OP9,
+    "op13_decontamination": OP13,
 }

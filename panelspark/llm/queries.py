@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, hyperminhash, linedensity, mixing, oracle, packing, pii, sharding, toxicity, winnowing
+from . import chat, covertree, decontamination, hyperminhash, linedensity, mixing, oracle, packing, pii, sharding, toxicity, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,11 +77,23 @@ def op10_winnowing(spark, folder):
     return winnowing.compared(_table(spark, folder, "documents"))
 
 
+def op13_decontamination(spark, folder):
+    found = decontamination.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), width=10)
+    n_hit = decontamination.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id", F.col("n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_toxicity,
         op5_sharding, op6_chat_formatting, op7_pii, op8_html_extraction, op9_mixing, op10_winnowing,
+        op13_decontamination,
     )
 }
 
