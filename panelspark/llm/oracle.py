@@ -53,20 +53,23 @@ FROM n JOIN part ON part.id = n.doc_id
 """
 
 #: CRC-32 byte by byte, with the usual table made by its rule.
-OP5 = """
-WITH RECURSIVE steps AS (
+CRC_TABLE = """steps AS (
   SELECT range AS i, range::BIGINT AS c, 0 AS k FROM range(256)
   UNION ALL
   SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
-), tab AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+), tab AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8)"""
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({body}), '..'),
+      lambda h: ((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+OP5 = f"""
+WITH RECURSIVE {CRC_TABLE},
 docs AS (
   SELECT doc_id, encode(coalesce(text, '')) AS body, md5(coalesce(text, '')) AS th, md5(coalesce(doc_id::VARCHAR, '')) AS dh
   FROM documents
 ), base AS (
   SELECT doc_id, octet_length(body) + 8 AS size, th[1:3] AS bucket, dh[1:2] AS cell,
-    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(body), '..'),
-      lambda h: ((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)::BIGINT)),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+    {CRC.format(body='body')} AS text_crc32
   FROM docs, tab
 ), placed AS (
   SELECT *, sum(size) OVER () AS total,
@@ -154,11 +157,45 @@ SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0)
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
 
+OP11 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+  FROM documents
+), hashed AS (
+  SELECT run, {CRC.format(body="encode(id || ':' || run)")} AS h FROM r, tab WHERE length(run) >= 6
+), v AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, count(*) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND n >= 5
+), d AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), grown AS (SELECT DISTINCT d.word AS long, d.n AS long_n, v.word AS short, v.n AS short_n FROM d JOIN v ON d.rest = v.word),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT long, short, short_n FROM grown
+  UNION ALL SELECT short, long, long_n FROM grown
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form,
+    CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), up AS (
+  SELECT word, coalesce(form, word) AS root, 1 AS k FROM f
+  UNION ALL
+  SELECT up.word, f.form, k + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, last.root, n, n_near, form_n
+FROM f JOIN (SELECT word, arg_max(root, k) AS root FROM up GROUP BY word) AS last USING (word)
+"""
+
 SQL = {
     "op2_embedding_near_dedup": OP2,
     "op3_minhash_near_dedup": OP3,
     "op5_sharding": OP5,
     "op6_chat_formatting": OP6,
     "op9_mixing": OP9,
+    "op11_spelling_variants": OP11,
     "op13_decontamination": OP13,
 }

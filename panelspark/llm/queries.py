@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, decontamination, hyperminhash, linedensity, mixing, oracle, packing, pii, sharding, toxicity, whitening, winnowing
+from . import chat, covertree, decontamination, hyperminhash, linedensity, mixing, oracle, packing, pii, sharding, spelling, toxicity, whitening, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_winnowing(spark, folder):
     return winnowing.compared(_table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark, folder):
+    words = spelling.vocabulary(_table(spark, folder, "documents"), least=6, seen=5, damage=199)
+    return spelling.variants(words, times=5)
+
+
 def op12_embedding_whitening(spark, folder):
     rows = whitening.integer_vectors(_table(spark, folder, "embeddings"), scale=1024)
     out = whitening.whiten(rows, whitening.fit(rows, components=8))
@@ -99,7 +104,7 @@ QUERIES = {
     for f in (
         op1_packing, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_toxicity,
         op5_sharding, op6_chat_formatting, op7_pii, op8_html_extraction, op9_mixing, op10_winnowing,
-        op12_embedding_whitening, op13_decontamination,
+        op11_spelling_variants, op12_embedding_whitening, op13_decontamination,
     )
 }
 
