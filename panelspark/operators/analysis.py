@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark import fixed_text as text
+from panelspark.functions.bits import bit_words, bits_set
 from panelspark.functions.columns import (
     in_first_weeks,
     in_last_weeks,
@@ -72,14 +73,28 @@ def distinct_window_totals(w):
     lo, hi = week_bounds(w)
     first = in_first_weeks("week_number", lo, r.window_weeks)
     last = ~first & in_last_weeks("week_number", hi, r.window_weeks)
-    return w["fct_basket"].where(first | last).agg(
+    spend, flags = F.col("basket_net_spend"), (("early", first), ("late", last))
+    # one row per household; a basket is one row of the fact
+    people = w["fct_basket"].where(first | last).groupBy("household_key").agg(
         *[
             c
-            for when, flag in (("early", first), ("late", last))
+            for when, flag in flags
+            for c in (
+                F.sum(F.when(flag, spend)).alias(f"{when}_spend"),
+                F.count_if(flag).alias(f"{when}_rows"),
+                F.count(F.when(flag, F.col("basket_id"))).alias(f"{when}_baskets"),
+            )
+        ]
+    )
+    known, none = F.col("household_key").isNotNull(), F.lit(0).cast("bigint")
+    return people.agg(
+        *[
+            c
+            for when, _ in flags
             for c in (
-                F.sum(F.when(flag, F.col("basket_net_spend"))).alias(f"{when}_spend"),
-                F.count_distinct(F.when(flag, F.col("household_key"))).alias(f"{when}_households"),
-                F.count_distinct(F.when(flag, F.col("basket_id"))).alias(f"{when}_baskets"),
+                F.sum(f"{when}_spend").alias(f"{when}_spend"),
+                F.count_if(known & (F.col(f"{when}_rows") > 0)).alias(f"{when}_households"),
+                F.coalesce(F.sum(f"{when}_baskets"), none).alias(f"{when}_baskets"),
             )
         ]
     )
@@ -196,12 +211,48 @@ def state_counts():
 
 
 def promotion_universe(w):
-    """State counts and distinct products, stores and weeks over the promotion fact."""
-    return w["fct_promotion_product_store_week"].agg(
-        *state_counts(),
-        F.count_distinct("product_id").alias("products"),
-        F.count_distinct("store_id").alias("stores"),
-        F.count_distinct("week_number").alias("weeks"),
+    """State counts and distinct products, stores and weeks over the promotion fact, in one scan.
+
+    Rows become one per product and store first, their weeks as bits; products and stores are then
+    counted as tagged keys of those. Weeks outside the planned range have no bit and are keys as well.
+    """
+    r = w.rules
+    week = F.col("week_number")
+    planned = week.between(r.first_week, r.last_week)
+    words = {f"_w{i}": c for i, c in enumerate(bit_words("week_number", r.first_week, r.last_week))}
+    states = [f"{s}_rows" for s in ("none", *PROMOTED)]
+    placed = (
+        w["fct_promotion_product_store_week"]
+        .groupBy("product_id", "store_id", F.when(~planned, week).cast("bigint").alias("_week"))
+        .agg(*state_counts(), *[c.alias(n) for n, c in words.items()])
+    )
+    sums = ["total_rows", *states]
+    entry = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.col(c).cast("bigint").alias("key"),
+            # counts and weeks ride with the product
+            *[(F.col(n) if kind == 0 else F.lit(None).cast("bigint")).alias(n) for n in (*sums, *words)],
+        )
+        for kind, c in enumerate(("product_id", "store_id", "_week"))
+    ]
+    keys = (
+        placed.select(F.explode(F.array(*entry)).alias("e"))
+        .select("e.*")
+        .groupBy("kind", "key")
+        .agg(*[F.sum(n).alias(n) for n in sums], *[F.bit_or(n).alias(n) for n in words])
+    )
+
+    def distinct(kind):
+        return F.count_if((F.col("kind") == kind) & F.col("key").isNotNull())
+
+    none = F.lit(0).cast("bigint")
+    weeks = bits_set([F.coalesce(F.bit_or(n), none) for n in words])
+    return keys.agg(
+        *[F.coalesce(F.sum(n), none).alias(n) for n in sums],
+        distinct(0).alias("products"),
+        distinct(1).alias("stores"),
+        (distinct(2) + weeks).alias("weeks"),
     )
 
 

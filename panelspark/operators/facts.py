@@ -119,6 +119,37 @@ def governed_lines(w):
     return numbered_lines(w, w["governed_numbers"], "category_key", nameless)
 
 
+def per_person(lines, keys, sums, marked=None):
+    """Lines in two stages, without repeating a line per counted column: one row per group and basket
+    with its households, then one per group and household.
+
+    ``sums`` are {name: column}. The result has the group, ``household_key``, the sums, ``baskets`` and, with a
+    condition ``marked``, ``marked_baskets`` (baskets with such a line). A basket of several households, a
+    fault the audits report, counts once, with one of them.
+    """
+    baskets = lines.groupBy(*keys, "basket_id").agg(
+        F.collect_set("household_key").alias("_people"),
+        *[F.sum(c).alias(n) for n, c in sums.items()],
+        F.max(F.coalesce(marked, F.lit(False)) if marked is not None else F.lit(False)).alias("_marked"),
+    )
+    people = baskets.select(*keys, "basket_id", "_marked", *sums, F.posexplode_outer("_people").alias("_i", "household_key"))
+    lead = F.coalesce(F.col("_i"), F.lit(0)) == 0
+    counted = lead & F.col("basket_id").isNotNull()
+    found = people.groupBy(*keys, "household_key").agg(
+        *[F.sum(F.when(lead, F.col(n))).alias(n) for n in sums],
+        F.count_if(counted).alias("baskets"),
+        F.count_if(counted & F.col("_marked")).alias("marked_baskets"),
+    )
+    return found if marked is not None else found.drop("marked_baskets")
+
+
+def per_group(people, keys, sums):
+    """The last stage: ``people`` (households), ``baskets`` and the sums per group."""
+    return people.groupBy(*keys).agg(
+        F.count("household_key").alias("people"), *[F.sum(c).alias(c) for c in ("baskets", *sums)]
+    )
+
+
 def named_categories(w, df):
     """Put category names back on aggregated rows of :func:`category_lines`."""
     names = w["category_numbers"].drop("raw_key")

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.bits import bit_words, bits_set, key_filter, may_hold, merged_words
 from panelspark.functions.columns import (
     in_first_weeks,
     in_last_weeks,
@@ -14,7 +15,7 @@ from panelspark.functions.columns import (
     trajectory,
 )
 from panelspark.functions.ordering import ntile, pinned
-from panelspark.operators.facts import list_size, named_categories, unknown_category
+from panelspark.operators.facts import list_size, named_categories, per_group, per_person, unknown_category
 from panelspark.plans.registry import table
 
 PROMOTED = ("display_only", "mailer_only", "display_and_mailer")
@@ -275,13 +276,14 @@ def mart_category_weekly(w):
     active = w["fct_basket"].groupBy("week_number").agg(
         F.count_distinct("household_key").alias("active_panel_households")
     )
-    sold = w["category_lines"].groupBy("week_number", "category_no").agg(
-        F.sum("sales_value").alias("panel_net_spend"),
-        F.count_distinct("household_key").alias("buying_households"),
-        F.count_distinct("basket_id").alias("category_baskets"),
-        F.sum("discount").alias("_discount"),
-        F.sum("gross_spend_before_recorded_discounts").alias("_gross"),
-        F.sum("private_sales").alias("_private"),
+    keys, sums = ("week_number", "category_no"), {
+        "panel_net_spend": "sales_value",
+        "_discount": "discount",
+        "_gross": "gross_spend_before_recorded_discounts",
+        "_private": "private_sales",
+    }
+    sold = per_group(per_person(w["category_lines"], keys, sums), keys, sums).withColumnsRenamed(
+        {"people": "buying_households", "baskets": "category_baskets"}
     )
     return named_categories(w, sold).join(active, "week_number", "left").select(
         "week_number",
@@ -299,15 +301,18 @@ def mart_category_weekly(w):
 
 @table("mart")
 def mart_brand_category(w):
-    spend, people = F.sum("sales_value"), F.count_distinct("household_key")
-    sold = w["category_lines"].groupBy("category_no", "brand_type").agg(
-        spend.alias("panel_net_spend"),
-        people.alias("buying_households"),
-        F.count_distinct("basket_id").alias("baskets"),
-        ratio(spend, people).alias("spend_per_buying_household"),
-        ratio(F.sum("discount"), F.sum("gross_spend_before_recorded_discounts")).alias(
-            "discount_rate"
-        ),
+    keys, sums = ("category_no", "brand_type"), {
+        "panel_net_spend": "sales_value",
+        "_discount": "discount",
+        "_gross": "gross_spend_before_recorded_discounts",
+    }
+    sold = per_group(per_person(w["category_lines"], keys, sums), keys, sums).select(
+        *keys,
+        "panel_net_spend",
+        F.col("people").alias("buying_households"),
+        "baskets",
+        ratio("panel_net_spend", "people").alias("spend_per_buying_household"),
+        ratio("_discount", "_gross").alias("discount_rate"),
     )
     named = named_categories(w, sold)
     return named.select(*CATEGORY, *[c for c in sold.columns if c != "category_no"])
@@ -316,11 +321,9 @@ def mart_brand_category(w):
 @table("mart")
 def mart_promotion_category_week(w):
     keys = ["product_id", "store_id", "week_number"]
-    sales = w["lines"].groupBy(*keys).agg(
-        F.sum("sales_value").alias("panel_sales"),
-        F.sum("quantity_raw").alias("panel_units"),
-        F.count_distinct("household_key").alias("panel_buying_households"),
-        F.count_distinct("basket_id").alias("panel_baskets"),
+    sums = {"panel_sales": "sales_value", "panel_units": "quantity_raw"}
+    sales = per_group(per_person(w["lines"], keys, sums), keys, sums).withColumnsRenamed(
+        {"people": "panel_buying_households", "baskets": "panel_baskets"}
     )
     amounts = ["panel_sales", "panel_units", "panel_buying_households", "panel_baskets"]
     skeleton = w["fct_promotion_product_store_week"].join(sales, keys, "left")
@@ -347,11 +350,29 @@ def mart_campaign_household(w):
     r = w.rules
     exposures = w["fct_campaign_exposure"]
     keys = ["household_key", "campaign_id"]
+    # Windows are cut to buckets of days, so that a trip meets its household's campaigns of its own
+    # days only. A filter of fixed size over (household, bucket) keeps the trips of other households
+    # and days from being grouped or shuffled at all.
+    width = max(1, r.pre_days)
+
+    def bucket(day):
+        return F.floor(day / width).cast("bigint")
+
+    start, end = F.col("start_day"), F.col("end_day")
+    band = (
+        exposures.select(F.col("household_key").alias("_hh"), "campaign_id", "start_day", "end_day")
+        .where(start - r.pre_days <= end + r.post_days)
+        .withColumn("_bucket", F.explode(F.sequence(bucket(start - r.pre_days), bucket(end + r.post_days))))
+    )
+    exposed = key_filter(band, F.col("_hh").cast("bigint"), "_bucket")
+    day = F.col("day_key")
     # One row per household, day and basket before the band join.
-    trips = w["stg_transaction"].groupBy("household_key", "day_key", "basket_id").agg(
-        F.sum("sales_value").alias("spend")
+    trips = (
+        w["stg_transaction"]
+        .where(may_hold(exposed, F.col("household_key").cast("bigint"), bucket(day)))
+        .groupBy("household_key", "day_key", "basket_id")
+        .agg(F.sum("sales_value").alias("spend"))
     )
-    day, start, end = F.col("day_key"), F.col("start_day"), F.col("end_day")
     phases = F.array_compact(
         F.array(
             F.when(day.between(start - r.pre_days, start - 1), "pre_28d"),
@@ -359,11 +380,10 @@ def mart_campaign_household(w):
             F.when(day.between(end + 1, end + r.post_days), "post_28d"),
         )
     )
-    band = exposures.select(
-        F.col("household_key").alias("_hh"), "campaign_id", "start_day", "end_day"
-    )
-    near = (F.col("household_key") == F.col("_hh")) & day.between(
-        start - r.pre_days, end + r.post_days
+    near = (
+        (F.col("household_key") == F.col("_hh"))
+        & (bucket(day) == F.col("_bucket"))
+        & day.between(start - r.pre_days, end + r.post_days)
     )
     # Inner join, so that a household holding many trips can be split by AQE.
     per_phase = (
@@ -423,8 +443,8 @@ def redeemer():
 
 @table("mart")
 def mart_campaign_summary(w):
-    people = F.count_distinct("household_key")
-    buyers = F.count_distinct(redeemer())
+    # a household occurs once per campaign
+    people, buyers = F.count("household_key"), F.count(redeemer())
     return w["mart_campaign_household"].groupBy("campaign_id").agg(
         F.max("campaign_type").alias("campaign_type"),
         people.alias("campaign_recipients"),
@@ -542,52 +562,114 @@ def mart_decision_alerts(w):
     )
 
 
+def same_keys(left, right, keys):
+    """``right`` beside ``left`` on keys that may be null."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(renamed, same).drop(*[f"_{k}" for k in keys])
+
+
+def distinct_products(lines, keys):
+    bought = lines.select(*keys, "product_id").distinct()
+    return bought.groupBy(*keys).agg(F.count("product_id").alias("distinct_products"))
+
+
+#: Days or weeks whose bits a row may carry; beyond so many numbers they are counted as distinct values.
+MOST_NUMBERS = 4096
+
+
 @table("mart")
 def mart_category_household(w):
-    history = w["category_lines"].groupBy("household_key", "category_no").agg(
-        F.min("day_key").alias("first_observed_day"),
-        F.max("day_key").alias("last_observed_day"),
-        F.min("week_number").alias("first_observed_week"),
-        F.max("week_number").alias("last_observed_week"),
-        F.count_distinct("week_number").alias("active_weeks"),
-        F.count_distinct("day_key").alias("active_days"),
-        F.sum("sales_value").alias("panel_net_spend"),
-        F.count_distinct("basket_id").alias("category_baskets"),
-        F.count_distinct("product_id").alias("distinct_products"),
-        F.sum("discount").alias("discount_value"),
-        F.sum("coupon_discount").alias("coupon_discount"),
-        F.count_distinct(F.when(F.col("coupon_discount") > 0, F.col("basket_id"))).alias(
-            "coupon_baskets"
-        ),
-        F.sum("private_sales").alias("private_label_spend"),
+    """One row per basket first. Weeks and days ride along as bits, products are counted on their own."""
+    keys = ("household_key", "category_no")
+    lines, seen = w["category_lines"], w.bounds
+    ranges = {"week_number": (seen.first_week, seen.last_week), "day_key": (seen.first_day, seen.last_day)}
+    words = {}
+    for c, (first, last) in ranges.items():
+        if first is None or last - first < MOST_NUMBERS:
+            first, last = (0, 0) if first is None else (first, last)
+            words[c] = {f"_{c}_{i}": word for i, word in enumerate(bit_words(c, first, last))}
+    ends = [("week_number", "week"), ("day_key", "day")]
+    sums = {
+        "panel_net_spend": "sales_value",
+        "discount_value": "discount",
+        "coupon_discount": "coupon_discount",
+        "private_label_spend": "private_sales",
+    }
+    baskets = lines.groupBy(*keys, "basket_id").agg(
+        *[f(c).alias(f"_{n}_{c}") for c, _ in ends for n, f in (("first", F.min), ("last", F.max))],
+        *[word.alias(n) for named in words.values() for n, word in named.items()],
+        *[F.sum(c).alias(n) for n, c in sums.items()],
+        F.max(F.coalesce(F.col("coupon_discount") > 0, F.lit(False))).alias("_coupon"),
+    )
+    history = baskets.groupBy(*keys).agg(
+        *[
+            f(f"_{n}_{c}").alias(f"{n}_observed_{short}")
+            for c, short in reversed(ends)
+            for n, f in (("first", F.min), ("last", F.max))
+        ],
+        *[bits_set(merged_words(list(named))).alias(f"active_{dict(ends)[c]}s") for c, named in words.items()],
+        *[F.sum(n).alias(n) for n in sums],
+        F.count("basket_id").alias("category_baskets"),
+        F.count_if(F.col("_coupon") & F.col("basket_id").isNotNull()).alias("coupon_baskets"),
+    )
+    history = same_keys(history, distinct_products(lines, keys), keys)
+    for c, short in ends:
+        if c not in words:
+            counted = lines.select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).alias(f"active_{short}s"))
+            history = same_keys(history, counted, keys)
+    return named_categories(w, history).select(
+        "household_key",
+        *CATEGORY,
+        *[f"{n}_observed_{short}" for short in ("day", "week") for n in ("first", "last")],
+        "active_weeks",
+        "active_days",
+        "panel_net_spend",
+        "category_baskets",
+        "distinct_products",
+        "discount_value",
+        "coupon_discount",
+        "coupon_baskets",
+        "private_label_spend",
     )
-    measures = [c for c in history.columns if c not in ("household_key", "category_no")]
-    return named_categories(w, history).select("household_key", *CATEGORY, *measures)
 
 
 @table("mart")
 def mart_category_household_weekly(w):
     keys = ("household_key", "week_number")
-    bought = w["governed_lines"].groupBy(*keys, "category_no").agg(
+    group, lines = (*keys, "category_no"), w["governed_lines"]
+    baskets = lines.groupBy(*group, "basket_id").agg(
         F.sum("sales_value").alias("panel_net_spend"),
-        F.count_distinct("basket_id").alias("category_baskets"),
         F.sum("quantity_raw").alias("units"),
-        F.count_distinct("product_id").alias("distinct_products"),
         F.sum("discount").alias("discount_value"),
     )
-    measures = [c for c in bought.columns if c not in (*keys, "category_no")]
+    bought = baskets.groupBy(*group).agg(
+        F.sum("panel_net_spend").alias("panel_net_spend"),
+        F.count("basket_id").alias("category_baskets"),
+        F.sum("units").alias("units"),
+        F.sum("discount_value").alias("discount_value"),
+    )
+    bought = same_keys(bought, distinct_products(lines, group), group).select(
+        *group, "panel_net_spend", "category_baskets", "units", "distinct_products", "discount_value"
+    )
+    measures = [c for c in bought.columns if c not in group]
     named = bought.join(w["governed_numbers"], "category_no", "left")
     return named.select(*keys, *CATEGORY, *measures)
 
 
 @table("mart")
 def mart_store_weekly(w):
-    baskets = F.count_distinct("basket_id")
-    return w["lines"].groupBy("store_id", "week_number").agg(
-        F.sum("sales_value").alias("panel_net_spend"),
-        baskets.alias("baskets"),
-        F.count_distinct("household_key").alias("active_households"),
-        F.count_distinct("product_id").alias("distinct_products"),
-        F.count(F.lit(1)).alias("transaction_lines"),
-        ratio(F.sum("sales_value"), baskets).alias("spend_per_basket"),
+    keys, lines = ("store_id", "week_number"), w["lines"].withColumn("_one", F.lit(1))
+    sums = {"panel_net_spend": "sales_value", "transaction_lines": "_one"}
+    sold = per_group(per_person(lines, keys, sums), keys, sums)
+    return same_keys(sold, distinct_products(lines, keys), keys).select(
+        *keys,
+        "panel_net_spend",
+        "baskets",
+        F.col("people").alias("active_households"),
+        "distinct_products",
+        "transaction_lines",
+        ratio("panel_net_spend", "baskets").alias("spend_per_basket"),
     )

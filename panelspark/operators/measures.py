@@ -32,9 +32,10 @@ def _only(flag, c):
 def registry():
     """Every measure that needs no context beyond its own table."""
     spend, households = F.sum("basket_net_spend"), F.count_distinct("household_key")
-    baskets, gross = F.count_distinct("basket_id"), F.sum("basket_gross_spend")
+    # a basket is one row of mart_basket
+    baskets, gross = F.count("basket_id"), F.sum("basket_gross_spend")
     discount = F.sum("basket_discount_value")
-    coupon_baskets = F.count_distinct(_only("has_coupon_discount", "basket_id"))
+    coupon_baskets = F.count(_only("has_coupon_discount", "basket_id"))
     driver_check = (
         households.cast("double") * ratio(baskets, households) * ratio(spend, baskets)
     )
@@ -225,7 +226,9 @@ def _through_star(w, names, by, where, attributes):
     view = w.fork()
     for table_, rows in joined.items():
         view.replace(table_, rows)
-    out = evaluate(view, names, list(plain.values()), F.expr(where) if where else F.lit(True))
+    if where is None:
+        where = F.lit(True)
+    out = evaluate(view, names, list(plain.values()), where if isinstance(where, Column) else F.expr(where))
     return out.withColumnsRenamed({p: c.split(".")[-1] for c, p in plain.items()})
 
 
@@ -381,7 +384,8 @@ def segment_share_of_total(w):
         F.count_distinct("household_key").alias("segment_households"),
         F.sum("basket_net_spend").alias("segment_spend"),
         ratio(F.sum("basket_net_spend"), total).alias("segment_spend_share"),
-        ratio(F.sum("basket_net_spend"), F.count_distinct("basket_id")).alias("segment_avg_basket"),
+        # a basket is one row here
+        ratio(F.sum("basket_net_spend"), F.count("basket_id")).alias("segment_avg_basket"),
     )
 
 

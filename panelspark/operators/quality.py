@@ -1,23 +1,18 @@
 """Quality audits, layer reconciliation and the blocking gate."""
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from panelspark import fixed_text as text
 from panelspark.functions.columns import mean_when, ratio
 from panelspark.functions.ordering import pinned
+from panelspark.functions.populations import Layer, Reference, layer_populations, stacked, unmatched
 from panelspark.functions.quantiles import weighted_quantiles
 from panelspark.operators.analysis import promotion_universe
 from panelspark.plans.registry import table
 from panelspark.sources.contracts import CONTRACTS
 
 
-def stacked(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
 def flagged(condition):
     """Rows meeting a condition; NULL over an empty table, so the gate cannot pass on it."""
     return F.sum(F.when(condition, 1).otherwise(0)).cast("bigint")
@@ -184,44 +179,32 @@ def qa_demographic_coverage(w):
 
 @table("quality")
 def qa_reference_coverage(w):
-    redemptions = w["stg_coupon_redemption"]
-    checks = (
-        ("transaction_product_unmatched", w["stg_transaction"], "dim_product", "product_id"),
-        (
-            "promotion_product_unmatched",
-            w["fct_promotion_product_store_week"],
-            "dim_product",
-            "product_id",
-        ),
-        ("campaign_exposure_unmatched", w["fct_campaign_exposure"], "dim_campaign", "campaign_id"),
-        ("coupon_redemption_unmatched", redemptions, "dim_coupon", "coupon_upc"),
-        (
-            "campaign_household_unmatched",
-            w["fct_campaign_exposure"],
-            "dim_household",
-            "household_key",
-        ),
-        ("coupon_redemption_household_unmatched", redemptions, "dim_household", "household_key"),
-        (
-            "coupon_bridge_product_unmatched",
-            w["bridge_coupon_product_campaign"],
-            "dim_product",
-            "product_id",
-        ),
-        ("coupon_redemption_campaign_unmatched", redemptions, "dim_campaign", "campaign_id"),
+    exposure = (
+        ("campaign_exposure_unmatched", "campaign_id", "campaign"),
+        ("campaign_household_unmatched", "household_key", "household"),
     )
-    # Rows collapse to key counts before the anti join, so a heavy key costs one row.
-    return stacked(
-        [
-            rows.groupBy(key)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .join(w[dim].select(key), key, "left_anti")
-            .agg(
-                F.lit(name).alias("audit_name"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("violating_rows"),
-            )
-            for name, rows, dim, key in checks
-        ]
+    redemption = (
+        ("coupon_redemption_unmatched", "coupon_upc", "coupon"),
+        ("coupon_redemption_household_unmatched", "household_key", "household"),
+        ("coupon_redemption_campaign_unmatched", "campaign_id", "campaign"),
+    )
+    of_product = ("product_id", "product")
+    references = [
+        Reference(w["stg_transaction"], [("transaction_product_unmatched", *of_product)]),
+        Reference(w["fct_promotion_product_store_week"], [("promotion_product_unmatched", *of_product)]),
+        Reference(w["fct_campaign_exposure"], exposure),
+        Reference(w["stg_coupon_redemption"], redemption),
+        Reference(w["bridge_coupon_product_campaign"], [("coupon_bridge_product_unmatched", *of_product)]),
+    ]
+    members = [
+        ("product", w["dim_product"], "product_id"),
+        ("campaign", w["dim_campaign"], "campaign_id"),
+        ("coupon", w["dim_coupon"], "coupon_upc"),
+        ("household", w["dim_household"], "household_key"),
+    ]
+    found = unmatched(references, members)
+    return one_row_each(
+        found, [(F.lit(c).alias("audit_name"), F.col(c).alias("violating_rows")) for c in found.columns]
     )
 
 
@@ -307,91 +290,64 @@ def qa_transaction_anomalies(w):
     )
 
 
-def _layer_stats(df, household=None, basket=None, sales=None):
-    """Rows, households, baskets and sales of one layer as a struct aggregate."""
-    none = F.lit(None).cast("bigint")
-    return F.struct(
-        F.count(F.lit(1)).alias("rows"),
-        (F.count_distinct(household) if household else none).alias("households"),
-        (F.count_distinct(basket) if basket else none).alias("baskets"),
-        (F.sum(sales) if sales else F.lit(None)).cast("decimal(38,4)").alias("sales"),
-    )
-
-
 @table("quality")
 def qa_layer_reconciliation(w):
+    """The transaction fact is ``lines`` with a flag and an id, which take no part here."""
     raw = w.raw
     full = ("household_key", "basket_id", "sales_value")
-    causal_keys = raw("causal_data").select("PRODUCT_ID", "STORE_ID", "WEEK_NO").distinct()
+    people = ("household_key",)
+    layers = {
+        "raw_lines": Layer(raw("transaction_data"), "household_key", "BASKET_ID", "SALES_VALUE"),
+        "stg_lines": Layer(w["stg_transaction"], *full),
+        "fct_lines": Layer(w["lines"], *full),
+        "baskets": Layer(w["fct_basket"], "household_key", "basket_id", "basket_net_spend"),
+        "raw_causal": Layer(raw("causal_data").select("PRODUCT_ID", "STORE_ID", "WEEK_NO").distinct()),
+        "promotions": Layer(w["fct_promotion_product_store_week"]),
+        "raw_redemptions": Layer(raw("coupon_redempt"), *people),
+        "redemptions": Layer(w["fct_coupon_redemption"], *people),
+        "raw_exposures": Layer(raw("campaign_table"), *people),
+        "exposures": Layer(w["fct_campaign_exposure"], *people),
+        "raw_campaigns": Layer(raw("campaign_desc")),
+        "campaigns": Layer(w["dim_campaign"]),
+        "raw_products": Layer(raw("product")),
+        "products": Layer(w["dim_product"]),
+        "raw_coupons": Layer(raw("coupon")),
+        "coupon_links": Layer(w["bridge_coupon_product_campaign"]),
+    }
     checks = (
-        (
-            "transaction_raw_vs_staging",
-            "equal_rows_population_and_sales",
-            (raw("transaction_data"), "household_key", "BASKET_ID", "SALES_VALUE"),
-            (w["stg_transaction"], *full),
-        ),
-        (
-            "transaction_staging_vs_fact",
-            "equal_rows_population_and_sales",
-            (w["stg_transaction"], *full),
-            (w["fct_transaction_line"], *full),
-        ),
-        (
-            "transaction_fact_vs_basket",
-            "equal_population_and_sales_aggregation",
-            (w["fct_transaction_line"], *full),
-            (w["fct_basket"], "household_key", "basket_id", "basket_net_spend"),
-        ),
-        (
-            "causal_raw_vs_promotion_fact",
-            "distinct_product_store_week_grain",
-            (causal_keys,),
-            (w["fct_promotion_product_store_week"],),
-        ),
-        (
-            "redemption_raw_vs_fact",
-            "equal_rows",
-            (raw("coupon_redempt"), "household_key"),
-            (w["fct_coupon_redemption"], "household_key"),
-        ),
-        (
-            "campaign_exposure_raw_vs_fact",
-            "equal_rows_and_population",
-            (raw("campaign_table"), "household_key"),
-            (w["fct_campaign_exposure"], "household_key"),
-        ),
-        (
-            "campaign_desc_raw_vs_dimension",
-            "equal_rows",
-            (raw("campaign_desc"),),
-            (w["dim_campaign"],),
-        ),
-        (
-            "product_raw_vs_dimension",
-            "deduplication_expected",
-            (raw("product"),),
-            (w["dim_product"],),
-        ),
-        (
-            "coupon_raw_vs_bridge",
-            "deduplication_expected",
-            (raw("coupon"),),
-            (w["bridge_coupon_product_campaign"],),
-        ),
+        ("transaction_raw_vs_staging", "equal_rows_population_and_sales", "raw_lines", "stg_lines"),
+        ("transaction_staging_vs_fact", "equal_rows_population_and_sales", "stg_lines", "fct_lines"),
+        ("transaction_fact_vs_basket", "equal_population_and_sales_aggregation", "fct_lines", "baskets"),
+        ("causal_raw_vs_promotion_fact", "distinct_product_store_week_grain", "raw_causal", "promotions"),
+        ("redemption_raw_vs_fact", "equal_rows", "raw_redemptions", "redemptions"),
+        ("campaign_exposure_raw_vs_fact", "equal_rows_and_population", "raw_exposures", "exposures"),
+        ("campaign_desc_raw_vs_dimension", "equal_rows", "raw_campaigns", "campaigns"),
+        ("product_raw_vs_dimension", "deduplication_expected", "raw_products", "products"),
+        ("coupon_raw_vs_bridge", "deduplication_expected", "raw_coupons", "coupon_links"),
     )
-    rows = []
-    for name, rule, upstream, downstream in checks:
-        before = upstream[0].agg(_layer_stats(*upstream)).scalar()
-        rows.append(
-            downstream[0]
-            .agg(_layer_stats(*downstream).alias("d"))
-            .select(
-                F.lit(name).alias("audit_name"),
-                F.lit(rule).alias("reconciliation_rule"),
-                before.alias("u"),
-                "d",
+    found = layer_populations(list(layers.values())).withColumnRenamed("amount", "sales")
+    # sixteen rows, gathered so that every check picks its two
+    all_ = found.agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("layer", F.struct("rows", "households", "baskets", "sales")))
+        ).alias("layers")
+    )
+    at = list(layers)
+    rows = all_.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(name).alias("audit_name"),
+                        F.lit(rule).alias("reconciliation_rule"),
+                        F.col("layers")[at.index(up)].alias("u"),
+                        F.col("layers")[at.index(down)].alias("d"),
+                    )
+                    for name, rule, up, down in checks
+                ]
             )
-        )
+        ).alias("r")
+    ).select("r.*")
 
     def same(part):
         return F.col(f"u.{part}") == F.col(f"d.{part}")
@@ -418,7 +374,7 @@ def qa_layer_reconciliation(w):
             F.col(f"d.{part}").alias(f"downstream_{part}"),
             (F.col(f"d.{part}") - F.col(f"u.{part}")).alias(f"{short}_difference"),
         ]
-    return stacked(rows).select(
+    return rows.select(
         "audit_name",
         "reconciliation_rule",
         *columns,

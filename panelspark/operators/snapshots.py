@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import ratio
 from panelspark.operators.analysis import or_unknown
+from panelspark.functions.ordering import pinned
 from panelspark.plans.registry import table
 
 
@@ -163,7 +164,8 @@ def snapshot_campaign_funnel(w):
 @table("snapshot")
 def snapshot_pair_affinity(w):
     """Share of a commodity's buyers who also buy another, among the six top commodities."""
-    top = (
+    # Six names, worked out once.
+    top = pinned(
         w["product_lines"]
         .where("commodity IS NOT NULL")
         .groupBy("commodity")
