@@ -50,7 +50,7 @@ def features_of(token: str) -> list[str]:
     """Features of one white-space token: each word in it and its beginnings (marked by a star)."""
     found = []
     for word in _WORD.findall(token.lower()):
-        found.append(word[:40])
+        found.append(word)
         found += [word[:n] + "*" for n in PREFIXES if n <= len(word)]
     return found
 
