@@ -68,20 +68,23 @@ docs AS (
   SELECT doc_id, encode(coalesce(text, '')) AS body, md5(coalesce(text, '')) AS th, md5(coalesce(doc_id::VARCHAR, '')) AS dh
   FROM documents
 ), base AS (
-  SELECT doc_id, octet_length(body) + 8 AS size, th[1:3] AS bucket, dh[1:2] AS cell,
+  SELECT doc_id, octet_length(body) + 8 AS size, th, dh,
     {CRC.format(body='body')} AS text_crc32
   FROM docs, tab
+), weighed AS (
+  SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY th) AS group_bytes FROM base
+), laid AS (
+  SELECT *, group_bytes * 24 > 0.02::DOUBLE * total AS heavy,
+    CASE WHEN heavy THEN th ELSE th[1:5] END AS stretch, CASE WHEN heavy THEN dh[1:3] ELSE '' END AS part
+  FROM weighed
 ), placed AS (
-  SELECT *, sum(size) OVER () AS total,
-    sum(size) OVER (PARTITION BY bucket) AS bucket_bytes,
-    sum(size) OVER (ORDER BY bucket, cell, doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
-    row_number() OVER (ORDER BY bucket, cell, doc_id, text_crc32, size) AS rank
-  FROM base
+  SELECT *, sum(size) OVER w - size AS before, row_number() OVER w AS rank
+  FROM laid WINDOW w AS (ORDER BY th[1:3], stretch, part, th, doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING)
 ), started AS (
-  SELECT *, min(before) OVER (PARTITION BY bucket) AS bucket_start FROM placed
+  SELECT *, min(before) OVER (PARTITION BY th) AS group_start FROM placed
 ), cut AS (
-  SELECT *, least(23, (CASE WHEN bucket_bytes * 24 <= 0.02::DOUBLE * total THEN 2 * bucket_start + bucket_bytes
-    ELSE 2 * before + size END * 24 // (2 * total)))::INT AS shard FROM started
+  SELECT *, least(23, (CASE WHEN heavy THEN 2 * before + size ELSE 2 * group_start + group_bytes END) * 24 // (2 * total))::INT AS shard
+  FROM started
 )
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
   (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard

@@ -134,3 +134,18 @@ def test_shards_of_little(spark):
     assert sharding.shard(docs(spark, [])).count() == 0
     (one,) = sharding.shard(docs(spark, [(None, None, None)])).collect()
     assert (one["size"], one.text_crc32, one.slot) == (8, 0, 0)
+
+
+def test_no_group_under_its_share_is_cut(spark):
+    """Small groups stay whole beside a hot text and a very long one, at few rows and at many."""
+    for n in (60, 2000):
+        rows = [(i, f"text number {i // 3} " + "w " * (i // 3 % 40), "s") for i in range(n)]
+        rows += [(10_000 + i, "hot text here " * 4, "s") for i in range(n // 2)] + [(99_999, "long " * (10 * n), "s")]
+        out = sharding.shard(docs(spark, rows), shards=6).collect()
+        total = sum(r["size"] for r in out)
+        groups = {}
+        for r in out:
+            groups.setdefault(r.text_crc32, []).append(r)
+        cut = [g for g in groups.values() if len({r.shard for r in g}) > 1]
+        assert all(6 * sum(r["size"] for r in g) > 0.02 * total for g in cut)
+        assert n < 100 or len(cut) == 1
