@@ -2,18 +2,15 @@
 
 Markup is stripped to lines: one per block of text, with white space collapsed and character
 references decoded. Text under menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments leaves an empty line behind. The lengths of the remaining lines are
-summed over sliding windows of a few lines. Where a window's sum rises (surge) a region opens, where
-it falls away (dive) it closes; lines between are kept, short ones and links included.
+styles and reader comments leaves an empty line behind. Such empty lines, and lines that are mostly
+links, part the page into runs of lines; an article or main element is one run of its own, whatever is
+skipped or linked in it.
 
-Lines that are mostly links have no length, unless inside an article or main element. A surge needs
-half a typical line: the length over which lines hold half of the page's text, where no line counts
-for more than ``LONGEST`` characters. Every region that is not mostly links is kept, without weightless
-lines at its ends.
-
-An article or main element sets the bounds of its regions, so that short lines in it stay, and text
-outside is dropped - unless the regions outside hold more than ``TRUST`` times its text. Then it is a
-teaser or a card, and the regions of the whole page are kept.
+The lengths of a run's lines are summed over sliding windows of a few lines. Where a window's sum rises
+over the threshold (surge) text begins, where it falls away (dive) it ends; a run with a surge is text and
+is kept whole, with its short lines and its ends. The threshold is half a typical line: the length over which lines
+hold half of the page's text, where no line counts for more than ``LONGEST`` characters. Lines in an
+article count ``ARTICLE`` times, so that they need less to surge and the rest of the page more.
 
 Defined results: a null, empty or text-less page has the empty text; a page cut off in the middle
 ends where it ends; ids and repeated rows pass through; an empty table gives no rows. Only the
@@ -22,7 +19,7 @@ named columns are read, so other columns cannot clash.
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,8 +46,8 @@ _TAG = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-#: Characters that one line counts for at most; how many times its text an article outweighs outside.
-LONGEST, TRUST = 500, 2
+#: Characters that one line counts for at most; what a line in an article counts for, in lines outside.
+LONGEST, ARTICLE = 500, 4
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
@@ -74,37 +71,41 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, inside an article) per line; skipped parts are empty lines."""
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters inside links, number of its outermost article or 0) per line; skipped parts
+    are empty lines."""
     lines, words, linked = [], [], 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether each starts a skipped part
-    skipped = articles = links = 0
-    at = 0
+    opened: Counter[str] = Counter()  # how many of each name are open
+    starts: list[int] = []  # where in the stack skipped parts start
+    articles = links = number = at = 0
 
     def flush(gap=False):
         nonlocal words, linked
         text = _SPACE.sub(" ", "".join(words)).strip()
         if text:
-            lines.append((text, linked, articles > 0))
+            lines.append((text, linked, number if articles else 0))
         elif gap:
-            lines.append(("", 0, False))
+            lines.append(("", 0, 0))
         words, linked = [], 0
 
     def say(raw):
         nonlocal linked
-        if raw and not skipped:
+        if raw and not starts:
             text = entities.unescape(raw)
             words.append(text)
             if links:
                 linked += len(text)
 
     def close(depth):
-        nonlocal skipped, articles, links
-        for name, off in stack[depth:]:
-            skipped -= off
+        nonlocal articles, links
+        while len(stack) > depth:
+            name, off = stack.pop()
+            opened[name] -= 1
+            if off:
+                starts.pop()
             articles -= name in ("article", "main")
             links -= name == "a"
-        del stack[depth:]
 
     while True:
         tag = _TAG.search(page, at)
@@ -119,11 +120,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name not in INLINE:
             flush()
         if ending:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                off = skipped
+            if opened[name]:
+                off, depth = bool(starts), len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
                 close(depth)
-                if off and not skipped:
+                if off and not starts:
                     flush(gap=True)
             continue
         if name in RAW:
@@ -133,36 +135,59 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name in VOID:
             continue
-        if name in ("article", "main") and skipped:
+        if name in ("article", "main") and starts:
             flush()
-            close(next(i for i, (_, off) in enumerate(stack) if off))  # a part that was never closed
+            close(starts[0])  # a part that was never closed
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
         off = _unwanted(name, attributes, articles > 0)
-        if off and not skipped:
+        if off and not starts:
             flush(gap=True)
+        if off:
+            starts.append(len(stack))
         stack.append((name, off))
-        skipped += off
-        articles += name in ("article", "main")
+        opened[name] += 1
+        if name in ("article", "main"):
+            number += not articles
+            articles += 1
         links += name == "a"
     flush()
     return lines
 
 
-def regions(weights: list[int], window: int, least: float) -> list[tuple[int, int]]:
-    """Half-open ranges from each surge to its dive: lines whose windows hold more than ``least``."""
-    sums = [sum(weights[max(0, i) : i + window]) for i in range(1 - window, len(weights))]
-    full = [any(s > least for s in sums[i : i + window]) for i in range(len(weights))]
-    found, start = [], None
-    for i, on in enumerate([*full, False]):
-        if on and start is None:
-            start = i
-        elif not on and start is not None:
-            found.append((start, i))
-            start = None
+def runs(lines: list[tuple[str, int, int]]) -> list[list[int]]:
+    """Positions of lines in runs: parted by skipped parts and link lines outside, one per article."""
+    found: list[list[int]] = []
+    by_article: dict[int, list[int]] = {}
+    new = True
+    for i, (text, linked, article) in enumerate(lines):
+        if article:
+            if article not in by_article:
+                found.append(by_article.setdefault(article, []))
+            by_article[article].append(i)
+            new = True
+        elif not text or 2 * linked >= len(text):
+            new = True
+        else:
+            if new:
+                found.append([])
+                new = False
+            found[-1].append(i)
     return found
 
 
+def surges(weights: list[int], window: int, least: float) -> bool:
+    """Whether some window of lines holds more than ``least``."""
+    held = sum(weights[:window])
+    if held > least:
+        return True
+    for i in range(window, len(weights)):
+        held += weights[i] - weights[i - window]
+        if held > least:
+            return True
+    return False
+
+
 def typical(weights: list[int]) -> int:
     """The length over which lines hold half of the text, long lines counted for LONGEST."""
     short = sorted((min(w, LONGEST) for w in weights if w), reverse=True)
@@ -178,20 +203,11 @@ def main_text(page, window: int = 3, share: float = 0.5) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    weights = [len(t) if inside or 2 * linked < len(t) else 0 for t, linked, inside in lines]
-    kept = []
-    for a, b in regions(weights, window, share * typical(weights)):
-        while a < b and not weights[a]:
-            a += 1
-        while a < b and not weights[b - 1]:
-            b -= 1
-        links = sum(linked for _, linked, inside in lines[a:b] if not inside)
-        if 2 * links < sum(len(t) for t, _, _ in lines[a:b]):
-            kept += range(a, b)
-    held = sum(len(t) for t, _, inside in lines if inside)
-    if held and sum(weights[i] for i in kept if not lines[i][2]) <= TRUST * held:
-        kept = [i for i, x in enumerate(lines) if x[2]]
-    return "\n".join(lines[i][0] for i in kept if lines[i][0])
+    weights = [len(text) * (ARTICLE if article else 1) for text, _, article in lines]
+    parts = runs(lines)
+    least = share * typical([weights[i] for part in parts for i in part])
+    kept = [i for part in parts if surges([weights[i] for i in part], window, least) for i in part]
+    return "\n".join(lines[i][0] for i in sorted(kept) if lines[i][0])
 
 
 def extract(

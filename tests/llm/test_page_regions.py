@@ -1,3 +1,6 @@
+import random
+import time
+
 from panelspark.llm import linedensity
 
 LINKS = "".join(f"<div><a href='/{i}'>menu entry {i}</a></div>" for i in range(12))
@@ -41,3 +44,53 @@ def test_huge_block_does_not_raise_the_bar():
 def test_link_lists_are_no_text():
     assert linedensity.main_text(f"<body>{LINKS}<p>{paragraphs('b', 1)[0]}</p>{LINKS}</body>") == paragraphs("b", 1)[0]
     assert linedensity.main_text(f"<body>{LINKS}</body>") == ""
+
+
+def test_body_beside_a_long_teaser_stays():
+    body = paragraphs("body", 4, 28)
+    teaser = paragraphs("teaser", 2, 28)
+    page = f"<body><article>{put(teaser)}</article>{LINKS}<div>{put(body)}</div>{LINKS}</body>"
+    assert linedensity.main_text(page).split("\n") == teaser + body
+
+
+def test_short_tail_and_start_stay():
+    body = ["A", *paragraphs("body", 4), "The end.", "x", "y", "Fin of it."]
+    assert linedensity.main_text(f"<body>{LINKS}{put(body)}{LINKS}<p>tiny</p></body>").split("\n") == body
+
+
+def test_runs_follow_a_plain_window_rule():
+    rng = random.Random(6)
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randint(0, 25)):
+            text = "w" * rng.choice([0, 1, 5, 40, 300, 900])
+            lines.append((text, rng.choice([0, 0, len(text)]), rng.choice([0, 0, 0, 1, 2])))
+        weight = [len(t) * (linedensity.ARTICLE if a else 1) for t, _, a in lines]
+        parts = {}
+        for i, (text, linked, article) in enumerate(lines):
+            if article:
+                parts.setdefault(("article", article), []).append(i)
+            elif text and 2 * linked < len(text):
+                # its run starts after the last separator or article line before it
+                start = i
+                while start and not lines[start - 1][2] and lines[start - 1][0] and 2 * lines[start - 1][1] < len(lines[start - 1][0]):
+                    start -= 1
+                parts.setdefault(("run", start), []).append(i)
+        flat = sorted((min(weight[i], linedensity.LONGEST) for p in parts.values() for i in p), reverse=True)
+        held = [sum(flat[: k + 1]) for k in range(len(flat))]
+        least = 0.5 * next((w for w, h in zip(flat, held) if 2 * h >= held[-1] and w), 0)
+        kept = sorted(
+            i for p in parts.values()
+            if any(sum(weight[j] for j in p[k : k + 3]) > least for k in range(len(p)))
+            for i in p
+        )
+        assert linedensity.runs(lines) == sorted(parts.values())
+        got = [i for p in linedensity.runs(lines) if linedensity.surges([weight[j] for j in p], 3, least) for i in p]
+        assert sorted(got) == kept
+
+
+def test_a_megabyte_of_unclosed_tags_is_quick():
+    for page in ("<div>" * 100_000 + "</b>" * 100_000, "<div>" * 50_000 + "<nav><article>" * 50_000, "<p>x <b>y</i>" * 80_000):
+        start = time.perf_counter()
+        linedensity.main_text(page)
+        assert time.perf_counter() - start < 5
