@@ -100,17 +100,18 @@ _DIGIT_WORDS = {
     )
     for d, w in enumerate(words.split())
 } | {"oh": "0"}
-#: Words before "at" that speak of a place and not of a mailbox.
+#: Words before "at" that speak of a place and not of a mailbox. Names that mailboxes have (info, support,
+#: team ...) are none, since a whole host follows.
 LEADS = frozenset(
-    "a about all am and are arrive arrived available based be been being blog bought browse browsing build built but "
-    "buy check checked click code coming contact data demo details docs documentation documents done download "
-    "downloads email everything files find for forum found free from further get go going guide had has have he "
-    "her here him homepage hosted how i images in info information is it join joined learn link links listed lives "
-    "located login look looked looking looks mail manual maintained me meet met more news not now of office on "
-    "online only or order orders our out page pages photos point pointed points posted published read reading "
-    "register released remain resource see seen shop shopping she sign site sold source starts stay started store "
-    "stored study stuff support team that the them then there they this those today try up updates us video videos "
-    "view visit was we website were what when where who with work worked working works write you".split()
+    "a about all am and are arrive arrived available based be been being blog bought browse browsing build built "
+    "but buy check checked click code coming details documentation documents done download downloads everything "
+    "files find for forum found free from further get go going guide had has have he her here him homepage hosted "
+    "how i images in information is it join joined learn link links listed lives located look looked looking "
+    "looks manual maintained me meet met more not now of on online only or our out page pages photos point "
+    "pointed points posted published read reading register released remain resource see seen shopping she sign "
+    "site sold source starts stay started store stored study stuff that the them then there they this those today "
+    "try up updates us video videos view visit was we website were what when where who with work worked working "
+    "works write you".split()
 )
 _INVISIBLE = "­​‌‍⁠﻿"
 
@@ -260,7 +261,9 @@ def _spoken_sites(text: str) -> list[tuple[int, int, str]]:
 def _to_mailbox(match: re.Match) -> bool:
     """Whether "at" before a host with plain dots speaks of a mailbox."""
     label = match["host"].rsplit(".", 1)[-1]
-    if not match["more"] and not (len(label) > 1 and label.isascii() and label.isalpha() and (label.islower() or label.isupper())):
+    # a capital after the dot begins a sentence, unless the host itself is written with capitals
+    one_case = label.islower() or label.isupper() or match["host"][0].isupper()
+    if not match["more"] and not (len(label) > 1 and label.isascii() and label.isalpha() and one_case):
         return False
     before = _LAST_WORD.search(match.string, max(0, match.start() - 64), match.start())
     return not before or before[0].lower() not in LEADS

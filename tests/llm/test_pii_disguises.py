@@ -17,6 +17,11 @@ CARD = "four one one one, one one one one, one one one one, one one one one"
         ("mail jane.doe arroba mail.example.org, please", "email", "jane.doe arroba mail.example.org"),
         ("mail jane at mail.example dot com today", "email", "jane at mail.example dot com"),
         ("mail jane at mail.example [dot] com today", "email", "jane at mail.example [dot] com"),
+        ("write info at example.com", "email", "info at example.com"),
+        ("contact support at example.com", "email", "support at example.com"),
+        ("team at example.com", "email", "team at example.com"),
+        ("office at example.org", "email", "office at example.org"),
+        ("mail jane at Example.Com now", "email", "jane at Example.Com"),
         (f"card {CARD} ok", "card", CARD),
         (f"card {CARD}, two copies", "card", CARD),
         ("card " + CARD.replace(",", "\n"), "card", CARD.replace(",", "\n")),
