@@ -298,3 +298,51 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def without_near_copies(
+    docs: DataFrame,
+    percent: int = 80,
+    width: int = 5,
+    bands: int = 29,
+    rows: int = 4,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """Of each group of near copies one row, of the smallest id, in the columns of ``docs``.
+
+    A row is known by its id and text, so of rows that repeat both one stays, and of two texts under
+    one id each is kept or dropped for itself. Rows without an id or without words all stay. Rows are
+    numbered by a 64-bit hash; rows of different documents that share a number all stay, unjudged.
+    """
+    key = ["id", "body"]
+    facts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    known = facts.where(F.col("id").isNotNull()).withColumn("row", F.xxhash64(*key))
+    counted = pinned(known.groupBy("row", *key).agg(F.count(F.lit(1)).alias("n")))
+    double = pinned(counted.groupBy("row").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("row"))
+    if not double.isEmpty():
+        known, counted = (x.join(double, "row", "left_anti") for x in (known, counted))
+    found = near_duplicates(known, percent=percent, width=width, bands=bands, rows=rows, doc_id="row")
+    groups = found.where(F.col("n_shingles") > 0).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    grouped = pinned(counted.join(groups, "row"))
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(*key, "n")).alias("first")).select("first.*")
+    again = pinned(first.where(F.col("n") > 1).select(*key))
+    lost = pinned(grouped.select(*key).join(first.where(F.col("n") == 1), key, "left_anti"))
+
+    def same(other):
+        return (docs[doc_id] == other["id"]) & (F.xxhash64(docs[text]) == other["body"])
+
+    out = docs.join(lost, same(lost), "left_anti")
+    if not again.isEmpty():
+        once = docs.join(again, same(again), "left_semi")
+        number = _free("number", docs.columns)
+        # rows that repeat id and text may differ in other columns; any one of them stays
+        once = once.withColumn(number, F.xxhash64(text)).dropDuplicates([doc_id, number]).drop(number)
+        out = out.unionByName(once)
+    return out.select(*docs.columns)
+
+
+def _free(name: str, taken) -> str:
+    while name in taken:
+        name += "_"
+    return name

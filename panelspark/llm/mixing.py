@@ -152,13 +152,17 @@ def mixed(
     """The table with every row as often as the mix takes it; a row without words once, if its hash is
     under its source's threshold or whole copies are taken. Texts are not shuffled."""
     cut, beside = _cuts(_measured(docs, doc_id, text, source), weights, most)
-    names = [f"_mix_{c}" for c in cut.columns]
+    tag = "_mix"
+    while any(c.startswith(tag) for c in docs.columns):
+        tag += "_"
+    names = [f"{tag}_{c}" for c in cut.columns]
     taken = cut.toDF(*names)
     row_hash = _hash(doc_id)
-    extra = (row_hash < F.col("_mix_prefix")) | ((row_hash == F.col("_mix_prefix")) & F.col("_mix_with_last"))
-    copies = F.col("_mix_copies") + F.coalesce(extra, F.lit(False)).cast("bigint")
-    joined = docs.join(beside(taken), _key(source) == F.col("_mix_key")).withColumn("_mix_n", copies)
-    repeated = joined.where("_mix_n > 0").withColumn(
-        "_mix_at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_n")))
+    prefix = F.col(f"{tag}_prefix")
+    extra = (row_hash < prefix) | ((row_hash == prefix) & F.col(f"{tag}_with_last"))
+    copies = F.col(f"{tag}_copies") + F.coalesce(extra, F.lit(False)).cast("bigint")
+    joined = docs.join(beside(taken), _key(source) == F.col(f"{tag}_key")).withColumn(f"{tag}_n", copies)
+    repeated = joined.where(F.col(f"{tag}_n") > 0).withColumn(
+        f"{tag}_at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"{tag}_n")))
     )
     return repeated.select(*docs.columns)

@@ -65,3 +65,28 @@ def test_rows_are_known_by_id_and_text(spark):
         [(1, base), (2, clean), (4, "only here and said once"), (None, base), (None, base), (5, ""), (5, ""), (6, None)], key=str
     )
     assert stage(spark, []) == []
+
+
+def test_columns_named_like_helpers_pass_through(spark):
+    names = ("_text", "_row", "number", "row", "body", "id", "_mix_n", "_mix_copies", "component_id", "n")
+    schema = SCHEMA + "".join(f", {c} string" for c in names)
+    base = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, base), (1, base), (2, base + " more"), (3, "something else"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *[f"{c}!" for c in names]) for i, t in rows], schema)
+    for made, ids in ((corpus_pipeline.drop_near_copies(spark, docs, None), [1, 3, 4, None]), (corpus_pipeline.mix_sources(spark, docs, None), None)):
+        assert made.schema.names == docs.schema.names and made.dtypes == docs.dtypes
+        out = made.collect()
+        assert all(r[c] == f"{c}!" for r in out for c in names)
+        assert ids is None or sorted((r.doc_id for r in out), key=str) == ids
+
+
+def test_stages_take_an_empty_table(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    for made in (corpus_pipeline.mask_personal_data, corpus_pipeline.mix_sources, corpus_pipeline.pack_batches):
+        assert made(spark, none, None).collect() == []
+    rows = [(1, None), (1, None), (2, ""), (3, "call +1 702 555 0742 now"), (3, "call +1 702 555 0742 now")]
+    some = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], SCHEMA)
+    masked = [(r.doc_id, r.text) for r in corpus_pipeline.mask_personal_data(spark, some, None).collect()]
+    assert sorted(masked, key=str) == [(1, None), (1, None), (2, ""), (3, masked[-1][1]), (3, masked[-1][1])]
+    assert "702" not in masked[-1][1]
+    assert sum(r.n_tokens for r in corpus_pipeline.pack_batches(spark, some, None).collect()) == 5 + 2 * 6
