@@ -8,7 +8,11 @@ from panelspark.llm import hyperminhash, mixing, packing, pii, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.5 by a model of the labelled documents."""
+    """Documents scored under 0.5 by a model of the labelled documents.
+
+    Null and empty texts are scored as texts without words; repeated rows share their score; an empty
+    table stays empty. Columns pass through as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
     return docs.where(toxicity.scored(model)(F.col("text")) < 0.5)
@@ -21,36 +25,35 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     at 0.8 with probability (1 - 0.8 ** 4) ** 29, about 2e-7.
 
     A row is known by its id and text, so of rows that repeat both one stays, and of two texts under
-    one id each is kept or dropped for itself. Rows without an id or without words all stay. Rows
-    are told apart by 64-bit hashes.
+    one id each is kept or dropped for itself. Rows without an id or without words all stay. An empty
+    table stays empty. Columns pass through as they are, whatever their names.
     """
-    key = ["doc_id", "_text"]
-    named = docs.withColumn("_text", F.xxhash64("text")).withColumn("_row", F.xxhash64(*key))
-    known = named.where(F.col("doc_id").isNotNull())
-    found = hyperminhash.near_duplicates(known, percent=80, width=5, bands=29, rows=4, doc_id="_row")
-    groups = found.where(F.col("n_shingles") > 0).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    rows = pinned(known.groupBy("_row", *key).agg(F.count(F.lit(1)).alias("_n")).join(groups, "_row"))
-    first = rows.groupBy("component_id").agg(F.min(F.struct(*key, "_n")).alias("_first")).select("_first.*")
-    again = pinned(first.where(F.col("_n") > 1).select(*key))
-    lost = pinned(rows.select(*key).join(first.where(F.col("_n") == 1), key, "left_anti"))
-    out = named.join(lost, key, "left_anti")
-    if not again.isEmpty():
-        out = out.unionByName(named.join(again, key, "left_semi").dropDuplicates(key))
-    return out.select(*docs.columns)
+    return hyperminhash.without_near_copies(docs, percent=80, width=5, bands=29, rows=4)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind in brackets."""
+    """All documents, personal data replaced by its kind in brackets.
+
+    Null and empty texts stay as they are; repeated rows are treated alike; an empty table stays empty.
+    """
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: at most 3 times, not at all where it is not needed.
+
+    Documents without words add nothing to their source's target; a null source is one of the sources;
+    repeated rows are taken alike; an empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Placements of all pieces in length buckets and batches."""
+    """Placements of all pieces in length buckets and batches.
+
+    A document without words is one piece (its end mark); repeated rows are placed one by one; an
+    empty table has no placements.
+    """
     return packing.pack(docs)
 
 
@@ -66,6 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over the whole documents table, each written before the next reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = pinned(stage(spark, docs, sf_dir))
