@@ -460,25 +460,46 @@ BODIES["export_curated"] = union(
     f"FROM {_rows(t)}"
     for t in EXPORTS
 )
+#: Per model, the sources and tables it reads.
+INPUTS = {
+    "dim_day": "stg_transaction",
+    "dim_week": "stg_transaction",
+    "dim_household": "stg_household_demographic stg_transaction",
+    "dim_product": "src_product",
+    "dim_store": "stg_transaction",
+    "dim_campaign": "stg_campaign",
+    "dim_coupon": "stg_coupon_product stg_coupon_redemption",
+    "dim_category": "dim_product",
+    "dim_segment": "",
+    "fct_transaction_line": "stg_transaction",
+    "fct_basket": "dim_product stg_transaction",
+    "fct_promotion_product_store_week": "stg_promotion_state",
+    "fct_campaign_exposure": "dim_campaign stg_campaign_exposure stg_transaction",
+    "fct_coupon_redemption": "stg_coupon_redemption",
+    "bridge_coupon_product_campaign": "stg_coupon_product",
+    "mart_panel_weekly": "dim_category dim_product fct_basket stg_transaction",
+    "mart_household_weekly": "dim_category dim_product stg_transaction",
+    "mart_household_summary": "fct_basket mart_household_weekly stg_household_demographic stg_transaction",
+    "mart_customer_segment": "mart_household_summary",
+    "mart_basket": "dim_category dim_product fct_basket stg_household_demographic stg_transaction",
+    "mart_category_weekly": "dim_category dim_product fct_basket stg_transaction",
+    "mart_brand_category": "dim_category dim_product stg_transaction",
+    "mart_promotion_category_week": "dim_category dim_product fct_promotion_product_store_week stg_transaction",
+    "mart_campaign_household": "dim_category dim_product fct_basket fct_campaign_exposure stg_coupon_redemption "
+    "stg_household_demographic stg_transaction",
+    "mart_campaign_summary": "mart_campaign_household",
+    "mart_coupon_summary": "bridge_coupon_product_campaign stg_coupon_redemption",
+    "mart_cross_category_pair": "dim_product stg_transaction",
+    "mart_decision_alerts": "mart_panel_weekly",
+    "mart_category_household": "dim_category dim_product stg_transaction",
+    "mart_category_household_weekly": "dim_product stg_transaction",
+    "mart_store_weekly": "stg_transaction",
+}
 BODIES["run_row_metrics"] = union(
-    f"SELECT '{t}' AS table_name, count(*) AS rows_written, 'success' AS status, '' AS error "
-    f"FROM {_rows(t)}"
-    for t in (
-        "dim_day",
-        "dim_week",
-        "dim_household",
-        "dim_product",
-        "dim_store",
-        "dim_campaign",
-        "dim_coupon",
-        "dim_category",
-        "fct_transaction_line",
-        "fct_basket",
-        "fct_promotion_product_store_week",
-        "fct_campaign_exposure",
-        "fct_coupon_redemption",
-        "bridge_coupon_product_campaign",
-    )
+    f"SELECT 'manual' AS run_id, '{t}' AS table_name, "
+    f"CAST({' + '.join(f'(SELECT count(*) FROM {_rows(i)})' for i in inputs.split()) or '0'} AS BIGINT) AS rows_read, "
+    f"count(*) AS rows_written, 'success' AS status, '' AS error FROM {_rows(t)}"
+    for t, inputs in INPUTS.items()
 )
 
 # --------------------------------------------------------------- snapshots

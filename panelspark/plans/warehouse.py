@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.config import Thresholds
 from panelspark.operators import load_all
-from panelspark.plans.registry import BUILDERS
+from panelspark.plans.registry import BUILDERS, LAYERS
 
 
 #: Worth setting when a session is built (bench.py does); a warehouse leaves its session alone. A hot key
@@ -43,21 +43,50 @@ class Warehouse:
         self._sources = sources
         self._raw: dict[str, DataFrame] = {}
         self._tables: dict[str, DataFrame] = {}
+        self._building: list[str] = []
+        #: per table, the tables and ("raw", source) pairs it was built from directly
+        self.inputs: dict[str, set] = {}
         self._bounds: Bounds | None = None
 
     def raw(self, source: str) -> DataFrame:
+        self._used(("raw", source))
         if source not in self._raw:
             self._raw[source] = self._sources(source)
         return self._raw[source]
 
     def __getitem__(self, name: str) -> DataFrame:
+        self._used(name)
         if name not in self._tables:
-            self._tables[name] = BUILDERS[name](self)
+            self._building.append(name)
+            self.inputs[name] = set()
+            try:
+                self._tables[name] = BUILDERS[name](self)
+            finally:
+                self._building.pop()
         return self._tables[name]
 
+    def _used(self, name) -> None:
+        if self._building:
+            self.inputs[self._building[-1]].add(name)
+
+    def models_read(self, name: str) -> set:
+        """The sources and tables a built table reads, internal steps looked through."""
+        out, todo, seen = set(), list(self.inputs.get(name, ())), {name}
+        while todo:
+            at = todo.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            if isinstance(at, str) and at in LAYERS.get("internal", ()):
+                todo += self.inputs.get(at, ())
+            else:
+                out.add(at)
+        return out
+
     @property
     def bounds(self) -> Bounds:
         """First and last observed day and week: one row, read once and used as literals."""
+        self._used("stg_transaction")
         if self._bounds is None:
             ends = [f(c) for c in ("day_key", "week_number") for f in (F.min, F.max)]
             self._bounds = Bounds(*self["stg_transaction"].agg(*ends).first())
