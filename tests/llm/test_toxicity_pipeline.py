@@ -84,7 +84,7 @@ def test_posterior_discounts_copied_voters():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_sql(spark, name):
     db = duckdb.connect()
-    for t in "documents embeddings conversations".split():
+    for t in "documents embeddings conversations benchmark".split():
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = db.sql(queries.ORACLE_SQL[name])
     rows = queries.QUERIES[name](spark, DATA).select(*want.columns).collect()
