@@ -10,7 +10,11 @@ A lone digit word is rewritten if a dot stands between it and another letter or
 grouped by comma or line end are put together if groups in a row make a card or, after "plus", a
 phone number. "at" before a host with plain dots is rewritten unless the word before it commonly leads to
 a place ("me at host.com", LEADS) or the host starts with "www."; the host must end in a lower-case or
-all upper-case label of letters.
+all upper-case label of letters. "@" with a blank behind it counts like "at" ("jane @ host . com"; a blank
+before it alone is a handle, "thanks @host.com"). Dots with blanks on both sides are put together in
+such a host, and between four numbers that make an address. Digits in three or more groups joined by dots
+are a card if Luhn holds, but for thousands (all groups after the first of three digits). Gaps, labels
+and hosts may have any length.
 
 Patterns are applied leftmost and without overlap per kind; a match that fails its check (octets,
 Luhn, digit count) is dropped and not retried. All scans are linear in the text's length.
@@ -144,21 +148,35 @@ _GROUPS = re.compile(rf"(?<![^\W_])(?:plus[ \t,\r\n-]+)?(?:{_ITEM}[ \t,\r\n-]+)+
 _GROUP = re.compile(rf"(?:plus[ \t,\r\n-]+)?{_ITEM}(?:[ \t-]+{_ITEM})*", re.I)
 _TWO_IN_ROW = re.compile(rf"(?:{_WORDS})[ \t,\r\n-]+(?:{_WORDS})", re.I)
 _AT = r"(?:at|arroba|@)"
-_DOT = r"(?:dot|punkt|punto|point|\.)"
+_DOT_WORD = r"(?:dot|punkt|punto|point)"
+_DOT = rf"(?:{_DOT_WORD}|\.)"
+# Gaps and labels are possessive and tried only from where they begin, so that every scan stays linear.
+_GAP, _BLANKS, _LABEL = r"[ \t]*+", r"[ \t]++", r"[A-Za-z0-9-]++"
+_OPEN, _CLOSE = rf"(?<![ \t]){_GAP}[\[({{<]{_GAP}", rf"{_GAP}[\])}}>]{_GAP}"
+_SPACED_DOT = rf"{_BLANKS}\.{_BLANKS}"
+# In a host of spaced dots a label of mixed case begins the next sentence.
+_SPACED_HOST = rf"{_LABEL}(?:{_SPACED_DOT}(?-i:[a-z0-9-]++|[A-Z0-9-]++)(?![\w-]))++"
 _DISGUISE = re.compile(
-    rf"(?P<at>[ \t]{{0,4}}[\[({{<][ \t]{{0,4}}{_AT}[ \t]{{0,4}}[\])}}>][ \t]{{0,4}})"
-    rf"|(?P<dot>[ \t]{{0,4}}[\[({{<][ \t]{{0,4}}{_DOT}[ \t]{{0,4}}[\])}}>][ \t]{{0,4}})"
-    r"|(?P<at_word>(?<=[\w.+%-])[ \t]{1,4}(?:at|arroba)[ \t]{1,4}"
-    r"(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,4}(?:dot|punkt|punto|point)[ \t]{1,4}|[ \t]{0,4}[\[({<][ \t]{0,4}(?:dot|punkt|punto|point)\b)))"
-    r"|(?P<at_host>(?<=[\w.+%-])[ \t]{1,4}(?:at|arroba)[ \t]{1,4}(?!www\.)(?=(?P<host>(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z0-9-]{1,63})"
-    r"(?:(?P<more>[ \t]{1,4}(?:dot|punkt|punto|point)[ \t]{1,4}[\w-]|[ \t]{0,4}[\[({<][ \t]{0,4}(?:dot|punkt|punto|point|\.)[ \t]{0,4}[\])}>])"
+    rf"(?P<at>{_OPEN}{_AT}{_CLOSE})"
+    rf"|(?P<dot>{_OPEN}{_DOT}{_CLOSE})"
+    rf"|(?P<at_word>(?<=[\w.+%-]){_BLANKS}(?:at|arroba){_BLANKS}"
+    rf"(?={_LABEL}(?:{_BLANKS}{_DOT_WORD}{_BLANKS}|{_GAP}[\[({{<]{_GAP}(?:{_DOT_WORD}\b|\.))))"
+    rf"|(?P<at_host>(?<=[\w.+%-])(?:{_BLANKS}(?:at|arroba){_BLANKS}|{_GAP}@{_BLANKS}|@(?={_SPACED_HOST}))(?!www\.)"
+    rf"(?=(?P<host>{_LABEL}(?:\.{_LABEL})++|{_SPACED_HOST})"
+    rf"(?:(?P<more>{_BLANKS}{_DOT_WORD}{_BLANKS}[\w-]|{_GAP}[\[({{<]{_GAP}{_DOT}{_GAP}[\])}}>])"
     r"|(?![A-Za-z0-9_-]|\.[A-Za-z0-9]))))"
-    r"|(?P<dot_word>(?<=[\w-])[ \t]{1,4}(?:dot|punkt|punto|point)[ \t]{1,4}(?=[\w-]))",
+    rf"|(?P<dot_word>(?<=[\w-]){_BLANKS}{_DOT_WORD}{_BLANKS}(?=[\w-]))",
     re.I,
 )
-_AT_HOST = re.compile(r"a(?:t|rroba)[ \t]{1,4}[a-z0-9-]{1,63}\.[a-z0-9-]")
+_AT_HOST = re.compile(rf"a(?:t|rroba){_BLANKS}[a-z0-9-]++(?:\.[a-z0-9-]|{_SPACED_DOT})")
+_SPACED_AT = re.compile(rf"[\w.+%-](?:{_GAP}@{_BLANKS}|@[a-z0-9-]++{_SPACED_DOT})[a-z0-9-]")
+_GAPS = re.compile(_SPACED_DOT)
+_SOME_SPACED_IP = re.compile(rf"[0-9]{_SPACED_DOT}[0-9]")
+_SPACED_IP = re.compile(rf"(?<![\w.])[0-9]++(?:{_SPACED_DOT}[0-9]++){{3}}(?!\w)")
+_SOME_DOTTED = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]")
+_DOTTED = re.compile(r"(?<![\w.])[0-9]++(?:\.[0-9]++){2,}+(?!\w)")
 _LAST_WORD = re.compile(r"[\w.+%-]+\Z")
-_BRACKETED = re.compile(rf"[\[({{<][ \t]{{0,4}}(?:{_AT}|\.)")
+_BRACKETED = re.compile(rf"[\[({{<]{_GAP}(?:{_AT}|\.)")
 _SPOKEN = frozenset(_DIGIT_WORDS)
 
 
@@ -260,7 +278,7 @@ def _spoken_sites(text: str) -> list[tuple[int, int, str]]:
 
 def _to_mailbox(match: re.Match) -> bool:
     """Whether "at" before a host with plain dots speaks of a mailbox."""
-    label = match["host"].rsplit(".", 1)[-1]
+    label = match["host"].rsplit(".", 1)[-1].strip()
     # a capital after the dot begins a sentence, unless the host itself is written with capitals
     one_case = label.islower() or label.isupper() or match["host"][0].isupper()
     if not match["more"] and not (len(label) > 1 and label.isascii() and label.isalpha() and one_case):
@@ -269,18 +287,37 @@ def _to_mailbox(match: re.Match) -> bool:
     return not before or before[0].lower() not in LEADS
 
 
+def _gap_sites(match: re.Match, name: int | str = 0) -> list[tuple[int, int, str]]:
+    """A plain dot for every spaced one inside a group of a match."""
+    return [(*g.span(), ".") for g in _GAPS.finditer(match.string, *match.span(name))]
+
+
+def _dotted_card(match: re.Match) -> bool:
+    groups = match[0].split(".")
+    return _luhn(match[0]) and any(len(g) != 3 for g in groups[1:])
+
+
+def _number_sites(text: str) -> list[tuple[int, int, str]]:
+    """Addresses with spaced dots and cards with dots; the two cannot overlap."""
+    spaced = [s for m in _SPACED_IP.finditer(text) if _octets(_GAPS.sub(".", m[0])) for s in _gap_sites(m)]
+    cards = [(*m.span(), m[0].replace(".", "")) for m in _DOTTED.finditer(text) if _dotted_card(m)]
+    return sorted(spaced + cards)
+
+
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """Spans that appear only once disguises are taken off, in source code points."""
     # Cheap signs first: most texts show none of them.
     low = text.lower()
     strange = not text.isascii() and not _STRANGE.isdisjoint(text)
     marks = any(w in low for w in ("dot", "punkt", "punto", "point")) or _BRACKETED.search(low) or _AT_HOST.search(low)
+    marks = marks or ("@" in low and _SPACED_AT.search(low))
+    numbers = _SOME_SPACED_IP.search(low) or _SOME_DOTTED.search(low)
     tokens = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
     spoken = _SPOKEN.intersection(tokens)
     if len(spoken) == 1:  # one digit word counts if it is repeated or a dot can stand next to it
         word = next(iter(spoken))
         spoken = marks or any(a == b == word for a, b in zip(tokens, tokens[1:])) or _BY_DOT.search(low)
-    if not (strange or marks or spoken):
+    if not (strange or marks or spoken or numbers):
         return []
     plain = Rewritten(text)
     if strange:
@@ -290,7 +327,11 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
         if m["at_host"] is None:
             sites.append((*m.span(), "@" if m["at"] or m["at_word"] else "."))
         elif _to_mailbox(m):
-            sites.append((*m.span(), "@"))
+            sites += [(*m.span(), "@")] if m["at_host"] != "@" else []
+            sites += _gap_sites(m, "host")
+    if sites:
+        plain.replace(sites)
+    sites = _number_sites(plain.text) if numbers or strange else []
     if sites:
         plain.replace(sites)
     sites = _spoken_sites(plain.text) if spoken or strange else []

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from panelspark.llm import pii
@@ -22,6 +24,19 @@ CARD = "four one one one, one one one one, one one one one, one one one one"
         ("team at example.com", "email", "team at example.com"),
         ("office at example.org", "email", "office at example.org"),
         ("mail jane at Example.Com now", "email", "jane at Example.Com"),
+        ("mail jane @ example . com now", "email", "jane @ example . com"),
+        ("mail jane @ example.com. Thanks", "email", "jane @ example.com"),
+        ("mail jane@ mail.example.com", "email", "jane@ mail.example.com"),
+        ("mail jane@example . com", "email", "jane@example . com"),
+        ("mail jane at example . org . Thanks", "email", "jane at example . org"),
+        ("mail jane @ mail . example . com . Then", "email", "jane @ mail . example . com"),
+        ("mail jane      at \t example     dot     com", "email", "jane      at \t example     dot     com"),
+        ("mail jane [      at      ] example [      .      ] com", "email", "jane [      at      ] example [      .      ] com"),
+        ("mail jane at " + "a." * 20 + "com now", "email", "jane at " + "a." * 20 + "com"),
+        ("mail jane at " + "a" * 90 + ".com now", "email", "jane at " + "a" * 90 + ".com"),
+        ("on 10 . 0 . 0 . 1 now", "ip", "10 . 0 . 0 . 1"),
+        ("card 4111.1111.1111.1111 ok", "card", "4111.1111.1111.1111"),
+        ("card 4111.1111.1111.1111.", "card", "4111.1111.1111.1111"),
         (f"card {CARD} ok", "card", CARD),
         (f"card {CARD}, two copies", "card", CARD),
         ("card " + CARD.replace(",", "\n"), "card", CARD.replace(",", "\n")),
@@ -38,6 +53,8 @@ def test_planted(text, kind, found):
 @pytest.mark.parametrize(
     "text",
     [
+        "thanks @alice.example.com", "lunch @ noon. Then home", "lunch @ noon . Then home", "me @ example.com", "a @ b",
+        "10 . 0 . 0 . 999", "1 . 2 . 3", "x10 . 0 . 0 . 1", "4111.1111.1111.1112", "sum 1.234.567.890.123.452", "pi 3.1415926535897932",
         "meet me at example.com", "available at docs.example.org.", "we sat at www.example.com", "they looked at night.The end",
         "one, two, three, four, five, six, seven, eight, nine", "chapter one.two and three.four", "it was one. Two left.",
         "a point, one dot, two dots", "version 3.two.1", "at six.thirty", "plus one, two",
@@ -52,3 +69,31 @@ def test_long_lists_stay_linear():
     assert pii.spans_of("one, " * 60_000) == []
     assert pii.spans_of("x at " + "a." * 60_000) == []
     assert pii.spans_of("one.x " * 30_000) == []
+    assert pii.spans_of(("x" + " " * 60_000 + "[" + " " * 60_000) * 3) == []
+    assert pii.spans_of("x @ " + "a . " * 60_000 + "A") == []
+    assert pii.spans_of("1 . " * 60_000 + "x 1.1.") != []
+    assert pii.spans_of("7" * 200_000 + ".") == []
+    assert pii.spans_of("7.7" * 60_000) != []
+
+
+PIECES = [  # text, kind or None
+    ("we met them again", None), ("one dot, two points", None), ("thanks @alice.example.com", None), ("at 9.30 sharp", None),
+    ("version 3.2.1", None), ("1.234.567.890.123.456", None),
+    ("bob at example.com", "email"), ("bob @ example . com", "email"), ("bob (at) mail [dot] example [.] com", "email"),
+    ("bob arroba example  punto  org", "email"), ("10 . 20 . 30 . 40", "ip"), ("10 dot 20 dot zero dot 40", "ip"),
+    ("4111.1111.1111.1111", "card"), ("four one one one one one one one one one one one one one one one", "card"),
+    ("plus one two oh two five five five oh one four three", "phone"), ("b\u043eb@example.com", "email"),
+]
+
+
+def test_spans_of_mixed_texts_are_where_they_were_put():
+    """The slow plain version: every piece is known, so its place in the source is counted."""
+    deal = random.Random(7)
+    for _ in range(400):
+        text, wanted = "", []
+        for words, kind in deal.choices(PIECES, k=deal.randint(1, 12)):
+            if kind:
+                wanted.append((kind, len(text), len(text) + len(words)))
+            text += words + deal.choice([" ;\n", "; then ", " |\n\n", " ; \U0001f600 "])
+        added = sorted((k, a, b) for k, a, b, extra in pii.spans_of(text) if extra)
+        assert added == sorted(wanted), text
