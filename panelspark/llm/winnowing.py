@@ -12,7 +12,7 @@ cannot clash.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .shingles import Powers, scrambled
 
+#: Texts of one range of ids, and so of one task; beyond it there are more ranges.
+PIECE_BYTES = 1 << 28
+
 
 def code_points(text) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -100,24 +103,45 @@ def fingerprints(
     )
 
 
+def _at_or_above(bounds) -> Callable:
+    """Column function: how many of the ``bounds`` are at or above an id that is not null."""
+    ordered = np.array(sorted(bounds), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def count(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(ordered) - np.searchsorted(ordered, ids.to_numpy(np.int64)), dtype="int32")
+
+    return count
+
+
 def in_order(docs: DataFrame, pieces: int) -> DataFrame:
     """(piece, doc_id, text, lead): ranges of descending ids, each with the first row after it.
 
-    Range bounds come from the ids alone. The first document of every range is also sent to the
-    range before (lead = true), so each range can be read on its own and texts move once. The list
-    of first documents has one row per range.
+    Twice as many ranges as ``pieces`` are cut by ids alone; their bytes, one row a range, then
+    decide which of them make a piece, so that pieces are near equal in bytes. The first document of
+    every piece is also sent to the piece before (lead = true), so each piece can be read on its own
+    and texts move once. Pieces are numbered from 0, the largest ids first; null ids make one more.
     """
     spark = docs.sparkSession
-    share = [i / pieces for i in range(1, pieces)] or [0.5]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, share)), 10 * pieces)).head()[0] or []))
-    # piece 0 holds the largest ids; null ids come last
-    sized = F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c >= doc_id))") if cuts else F.lit(0)
-    ranged = docs.withColumn("piece", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(sized))
-    held = ranged.select("piece", "doc_id").groupBy("piece").agg(F.max("doc_id").alias("first")).collect()
-    held = sorted((r.piece, r["first"]) for r in held) if held else []
-    # the range before each range's first document; the last range is followed by the first
-    before = [(held[i][1], held[i - 1][0]) for i in range(len(held))]
-    ahead = F.broadcast(spark.createDataFrame(before or [(0, -1)], "first long, target int"))
+    share = [i / (2 * pieces) for i in range(1, 2 * pieces)]
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, share)), 10 * pieces)).head()[0] or []
+    known = docs.where("doc_id IS NOT NULL")
+    ranges = known.withColumn("range", _at_or_above(set(cuts))("doc_id")).groupBy("range").agg(
+        F.max("doc_id").alias("first"), F.sum(F.octet_length("text") + F.lit(1)).alias("bytes")
+    ).collect()
+    total, before, firsts = sum(r["bytes"] for r in ranges), 0, {}
+    for r in sorted(ranges, key=lambda r: r["range"]):
+        firsts.setdefault(before * pieces // total, r["first"])
+        before += r["bytes"]
+    firsts = list(firsts.values())
+    number = _at_or_above(firsts)(F.coalesce("doc_id", F.lit(0))) - 1
+    ranged = docs.withColumn("piece", F.when(F.col("doc_id").isNull(), len(firsts)).otherwise(number))
+    # the piece before each piece's first document; the last piece is followed by the first
+    led = [(first, i - 1) for i, first in enumerate(firsts)]
+    if docs.where("doc_id IS NULL").limit(1).count():
+        led = [*led, (None, len(firsts) - 1)]
+    led = [(first, len(led) - 1 if target < 0 else target) for first, target in led]
+    ahead = F.broadcast(spark.createDataFrame(led or [(0, -1)], "first long, target int"))
     lead = ranged.join(ahead, F.col("doc_id").eqNullSafe(F.col("first"))).select(
         F.col("target").alias("piece"), "doc_id", "text", F.lit(True).alias("lead")
     )
@@ -131,13 +155,14 @@ def compared(
     """Every text beside its edited text and the next text (descending id, after the last the first).
 
     The edited text replaces the last floor(n/2) code points by the first as many (or all) of the
-    next text. Rows with one id follow each other by text. Columns: doc_id, n_chars, edited_sha256,
+    next text. Rows with one id follow each other by text and lie in one task. Columns: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    pieces = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE_BYTES))
     ordered = (
-        in_order(rows, pieces).repartition(pieces, "piece")
+        in_order(rows, pieces).repartitionById(pieces + 1, "piece")
         .sortWithinPartitions("piece", "lead", F.col("doc_id").desc_nulls_last(), "text")
     )
 

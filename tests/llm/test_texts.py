@@ -7,6 +7,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from panelspark.llm import chat, linedensity, pii, winnowing
 from panelspark.llm.shingles import Powers
 
@@ -208,3 +210,16 @@ def test_compared_with_next_document(spark):
     assert winnowing.compared(table.limit(0)).count() == 0
     same = spark.createDataFrame([(1, "only one"), (1, "only one")], "doc_id long, text string")
     assert [r.near_next for r in winnowing.compared(same).collect()] == [1.0, 1.0]
+
+
+def test_ranges_are_even_in_bytes_and_lie_in_tasks_of_their_own(spark):
+    sizes = [1 + 40 * (i % 7) for i in range(3000)] + [20_000, 0]
+    table = spark.createDataFrame([(i * 3, "x" * n) for i, n in enumerate(sizes)] + [(None, "y")], "doc_id long, text string")
+    placed = winnowing.in_order(table, 12).repartitionById(13, "piece").withColumn("task", F.spark_partition_id())
+    rows = placed.where("NOT lead").groupBy("piece", "task").agg(
+        F.sum(F.length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    ).orderBy("piece").collect()
+    assert len({r.task for r in rows}) == len(rows) == 13 and rows[-1].low is None
+    assert all(a.low > b.high for a, b in zip(rows[:-2], rows[1:-1]))
+    assert max(r.bytes for r in rows) < 2 * sum(sizes) / 12 + max(sizes)
+    assert placed.where("NOT lead").count() == 3003 and placed.where("lead").count() == 13
