@@ -81,6 +81,18 @@ SELECT st, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) /
        count(*) OVER (PARTITION BY v) AS t
 FROM promo_values
 """
+
+
+def upper_gamma(a, y):
+    """Upper regularised gamma Q(a, y) by the lower series, all of whose terms are positive; a chi-square
+    tail is Q(df / 2, x / 2), erfc(z) is Q(1 / 2, z * z). Beyond y = 700 it is under 1e-300."""
+    term = f"exp(({a} + i) * ln({y}) - ({y}) - lgamma({a} + i + 1))"
+    return (
+        f"CASE WHEN {y} <= 0 THEN 1.0::DOUBLE WHEN {y} > 700 THEN 0.0::DOUBLE "
+        f"ELSE greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(0, 3000), lambda i: {term}))) END"
+    )
+
+
 BODIES["kruskal"] = """
 SELECT n, k, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - tie / (n * n * n - n)) AS h
 FROM (SELECT CAST(sum(c) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k, sum(rs * rs / c) AS s
@@ -91,24 +103,33 @@ BODIES["stats_promotion_kruskal"] = f"""
 SELECT st AS promo_state_group, count(*) AS n,
        avg(CAST(v AS DOUBLE)) AS mean_panel_sales_per_product_store_week,
        median(v) AS median_panel_sales_per_product_store_week,
-       any_value(h) AS kruskal_wallis_stat,
+       any_value(h) AS kruskal_wallis_stat, any_value(p) AS kruskal_wallis_p_value,
        greatest(0, (any_value(h) - any_value(k) + 1) / (any_value(kruskal.n) - any_value(k)))
            AS effect_size_eta_squared
-FROM promo_values, kruskal GROUP BY st
-"""
-BODIES["stats_promotion_mann_whitney"] = """
+FROM promo_values, (SELECT *, {upper_gamma("((k - 1) / 2)", "(h / 2)")} AS p FROM kruskal) kruskal GROUP BY st
+"""
+BODIES["rank_sums"] = """
+SELECT st, u, n1, n0, CASE WHEN spread > 0 THEN (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / spread END AS z
+FROM (SELECT *, sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS spread
+      FROM (SELECT st, CAST(count(*) FILTER (own = st) AS DOUBLE) AS n1,
+                   CAST(count(*) FILTER (own <> st) AS DOUBLE) AS n0,
+                   sum(r) FILTER (own = st)
+                   - CAST(count(*) FILTER (own = st) AS DOUBLE) * (count(*) FILTER (own = st) + 1) / 2 AS u,
+                   sum(CAST(t AS DOUBLE) * t - 1) AS ties
+            FROM (SELECT s.st AS st, x.st AS own, count(*) OVER (PARTITION BY s.st, x.v) AS t,
+                         rank() OVER (PARTITION BY s.st ORDER BY x.v)
+                         + (count(*) OVER (PARTITION BY s.st, x.v) - 1) / 2.0::DOUBLE AS r
+                  FROM (SELECT DISTINCT st FROM promo_values WHERE st <> 'none') s
+                  JOIN promo_values x ON x.st IN (s.st, 'none'))
+            GROUP BY st))
+"""
+BODIES["stats_promotion_mann_whitney"] = f"""
 SELECT st AS promo_state_group, u AS mann_whitney_u_vs_none,
+       CASE WHEN z IS NULL OR z <= 0 THEN 1.0::DOUBLE ELSE {upper_gamma("0.5::DOUBLE", "(z * z / 2)")} END
+           AS mann_whitney_p_value_vs_none,
        1 - 2 * u / (n1 * n0) AS effect_size_rank_biserial_vs_none
-FROM (SELECT st, count(*) AS n1,
-             sum(r) - CAST(count(*) AS DOUBLE) * (count(*) + 1) / 2 AS u,
-             (SELECT count(*) FROM promo_values WHERE st = 'none') AS n0
-      FROM (SELECT s.st AS st, x.v, x.st AS own,
-                   rank() OVER (PARTITION BY s.st ORDER BY x.v)
-                   + (count(*) OVER (PARTITION BY s.st, x.v) - 1) / 2.0::DOUBLE AS r
-            FROM (SELECT DISTINCT st FROM promo_values WHERE st <> 'none') s
-            JOIN promo_values x ON x.st IN (s.st, 'none'))
-      WHERE own = st GROUP BY st)
-UNION ALL SELECT 'none', 'NaN'::DOUBLE, 'NaN'::DOUBLE
+FROM rank_sums
+UNION ALL SELECT 'none', 'NaN'::DOUBLE, 'NaN'::DOUBLE, 'NaN'::DOUBLE
 WHERE EXISTS (SELECT 1 FROM promo_values WHERE st = 'none')
 """
 BODIES["stats_campaign_redemption"] = f"""

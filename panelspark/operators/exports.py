@@ -193,7 +193,7 @@ def build_models(w, names, run_id="manual", folder=None):
             rows = build[name]
             read = sum(size(at) for at in build.models_read(name))
             written = sizes[name] = files.write_counted(rows, f"{folder}/{name}")
-            build.replace(name, files.read_parquet(w.spark, f"{folder}/{name}"))
+            build.replace(name, files.read_parquet(w.spark, f"{folder}/{name}"), written)
         except PySparkException as problem:
             error = str(problem)
         status = "failed" if error else "success"

@@ -8,6 +8,7 @@ are not recomputed by a filter.
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,12 +155,24 @@ CORE = (
 
 
 _ATTRIBUTE = re.compile(r"\b(dim_\w+)\.(\w+)\b")
+#: an attribute once it stands beside a table's own columns
+_JOINED = re.compile(r"\b(dim_[a-z]+)__(\w+)\b")
 
 
 class UnreachableError(ValueError):
     """A dimension's filter does not flow to the tables of some measures."""
 
 
+def _star_key(dim, source):
+    return next(k for (d, k), facts in RELATIONSHIPS.items() if d == dim and source in facts)
+
+
+def _members(w, dim, source, columns):
+    """A dimension's key as ``_member`` and some attributes as ``dim__attribute``."""
+    named = [F.col(c).alias(f"{dim}__{c}") for c in dict.fromkeys(columns)]
+    return w[dim].select(F.col(_star_key(dim, source)).alias("_member"), *named)
+
+
 def with_attributes(w, source, rows, attributes):
     """Rows of a table with attributes (dimension, column) along the star's relationships.
 
@@ -169,43 +182,76 @@ def with_attributes(w, source, rows, attributes):
     for dim, column in attributes:
         wanted.setdefault(dim, []).append(column)
     for dim, columns in wanted.items():
-        key = next(k for (d, k), facts in RELATIONSHIPS.items() if d == dim and source in facts)
-        members = w[dim].select(
-            F.col(key).alias("_member"), *[F.col(c).alias(f"{dim}__{c}") for c in dict.fromkeys(columns)]
-        )
-        rows = rows.join(members, F.col(key) == F.col("_member"), "left").drop("_member")
+        same = F.col(_star_key(dim, source)) == F.col("_member")
+        rows = rows.join(_members(w, dim, source, columns), same, "left").drop("_member")
     return rows
 
 
+def key_filtered(w, source, rows, condition):
+    """``rows`` under a condition on one dimension's attributes, as a filter on the table's key.
+
+    No attribute is joined: keys of fitting members are kept (semi-join), or, where the condition also
+    holds for a row without a member, keys of the other members dropped (anti-join). None if the condition
+    needs more than one table.
+    """
+    named = sorted(set(_JOINED.findall(str(condition))))
+    if len({dim for dim, _ in named}) != 1:
+        return None
+    dim, columns = named[0][0], [c for _, c in named]
+    members = _members(w, dim, source, columns)
+    try:
+        blank = w.spark.range(1).select(
+            *[F.lit(None).cast(members.schema[f"{dim}__{c}"].dataType).alias(f"{dim}__{c}") for c in columns]
+        )
+        keeps_strays = not blank.where(condition).isEmpty()
+    except AnalysisException:  # it names columns of the table itself, too
+        return None
+    fits = F.coalesce(condition, F.lit(False))
+    chosen = members.where(~fits if keeps_strays else fits).select("_member")
+    how = "left_anti" if keeps_strays else "left_semi"
+    return rows.join(chosen, F.col(_star_key(dim, source)) == F.col("_member"), how)
+
+
 def evaluate(w, names, by=(), where=None):
     """Long rows (``by`` columns, measure, value); one aggregation per table involved.
 
-    ``by`` and ``where`` may name attributes of a dimension (``dim_household.age_desc``); they reach a
-    measure's table along the star's relationships and leave under their own name. Measures that
-    one of them cannot reach are reported by an :class:`UnreachableError`.
+    ``where`` is a condition or a list of them, each SQL text or a Column. ``by`` and texts may name
+    attributes of a dimension (``dim_household.age_desc``; in a Column ``dim_household__age_desc``); they
+    reach a measure's table along the star's relationships and leave under their own name. A condition on
+    attributes of one dimension filters the table's keys before anything is joined or summed; one that mixes
+    tables is applied after joining what it names, so give parts of an AND as a list. Measures that an
+    attribute cannot reach are reported by an :class:`UnreachableError`.
     """
     known = registry()
-    attributes = [m for c in by for m in _ATTRIBUTE.findall(c)]
-    attributes += _ATTRIBUTE.findall(where) if isinstance(where, str) else []
+    given = [] if where is None else list(where) if isinstance(where, list | tuple) else [where]
+    given = [F.expr(_ATTRIBUTE.sub(r"\1__\2", c)) if isinstance(c, str) else c for c in given]
+    asked = [m for c in by for m in _ATTRIBUTE.findall(c)]
+    reached = [*asked, *(m for c in given for m in _JOINED.findall(str(c)))]
     lost = [
-        n for n in names for dim, _ in attributes
+        n for n in names for dim, _ in reached
         if not any(d == dim and known[n].table in facts for (d, _), facts in RELATIONSHIPS.items())
     ]
     if lost:
         raise UnreachableError(f"not reached by the dimensions asked for: {sorted(set(lost))}")
-    if isinstance(where, str):
-        where = _ATTRIBUTE.sub(r"\1__\2", where)
-    if attributes:
-        return _through_star(w, names, by, where, attributes)
     per_table = {}
     for name in names:
         per_table.setdefault(known[name].table, []).append(known[name])
     frames = []
     for source, measures in per_table.items():
-        if source == "mart_basket" and "segment" not in by and where is None:
-            source = "fct_basket"  # same baskets; no segments to assign
-        rows = w[source] if where is None else w[source].where(where)
-        wide = rows.groupBy(*by).agg(
+        # same baskets; no segments to assign
+        plain = source == "mart_basket" and not any("segment" in str(c) for c in [*by, *given])
+        rows, mixed = w["fct_basket" if plain else source], []
+        for condition in given:
+            filtered = key_filtered(w, source, rows, condition)
+            if filtered is None:
+                mixed.append(condition)
+            else:
+                rows = filtered
+        rows = with_attributes(w, source, rows, [*asked, *(m for c in mixed for m in _JOINED.findall(str(c)))])
+        for condition in mixed:
+            rows = rows.where(condition)
+        groups = [F.col(_ATTRIBUTE.sub(r"\1__\2", c)).alias(c.split(".")[-1]) for c in by]
+        wide = rows.groupBy(*groups).agg(
             *[m.value.cast("double").alias(f"m{i}") for i, m in enumerate(measures)]
         )
         pairs = F.array(
@@ -214,24 +260,11 @@ def evaluate(w, names, by=(), where=None):
                 for i, m in enumerate(measures)
             ]
         )
-        frames.append(wide.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*"))
+        out = [c.split(".")[-1] for c in by]
+        frames.append(wide.select(*out, F.explode(pairs).alias("p")).select(*out, "p.*"))
     return stacked(frames)
 
 
-def _through_star(w, names, by, where, attributes):
-    plain = {c: _ATTRIBUTE.sub(r"\1__\2", c) for c in by}
-    joined = {}
-    for table_ in {registry()[n].table for n in names}:
-        joined[table_] = with_attributes(w, table_, w[table_], attributes)
-    view = w.fork()
-    for table_, rows in joined.items():
-        view.replace(table_, rows)
-    if where is None:
-        where = F.lit(True)
-    out = evaluate(view, names, list(plain.values()), where if isinstance(where, Column) else F.expr(where))
-    return out.withColumnsRenamed({p: c.split(".")[-1] for c, p in plain.items()})
-
-
 @table("measure")
 def measures_core_by_age(w):
     """Basket measures by the household's age group."""

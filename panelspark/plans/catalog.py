@@ -67,12 +67,12 @@ _DETAILS = {
         rounded=(
             "mean_panel_sales_per_product_store_week",
             "kruskal_wallis_stat",
+            "kruskal_wallis_p_value",
             "effect_size_eta_squared",
         ),
-        drop=("kruskal_wallis_p_value",),
     ),
     "stats_promotion_mann_whitney": Query(
-        "stats_promotion_mann_whitney", drop=("mann_whitney_p_value_vs_none",)
+        "stats_promotion_mann_whitney", rounded=("mann_whitney_p_value_vs_none",)
     ),
     "stats_campaign_chi_square": Query(
         "stats_campaign_chi_square",

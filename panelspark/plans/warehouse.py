@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.config import Thresholds
 from panelspark.operators import load_all
 from panelspark.plans.registry import BUILDERS, LAYERS
+from panelspark.sources.files import write_counted
 
 
 #: Worth setting when a session is built (bench.py does); a warehouse leaves its session alone. A hot key
@@ -46,6 +47,8 @@ class Warehouse:
         self._building: list[str] = []
         #: per table, the tables and ("raw", source) pairs it was built from directly
         self.inputs: dict[str, set] = {}
+        #: rows of the tables that were written, counted by the write
+        self.written: dict[str, int] = {}
         self._bounds: Bounds | None = None
 
     def raw(self, source: str) -> DataFrame:
@@ -96,16 +99,19 @@ class Warehouse:
         """A warehouse over the same sources with nothing derived yet."""
         return Warehouse(self.spark, self.raw, self.rules)
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """Use ``df`` as a table from now on."""
+    def replace(self, name: str, df: DataFrame, rows: int | None = None) -> None:
+        """Use ``df`` as a table from now on; ``rows`` if its write counted them."""
         self._tables[name] = df
+        self.written.pop(name, None)
+        if rows is not None:
+            self.written[name] = rows
 
     def materialise(self, folder: str, names: Iterable[str]) -> None:
         """Write tables to ``folder`` and let everything downstream read those files."""
         for name in names:
             path = f"{folder}/{name}"
-            self[name].write.mode("overwrite").option("compression", "zstd").parquet(path)
-            self.replace(name, self.spark.read.parquet(path))
+            rows = write_counted(self[name], path, mode="overwrite")
+            self.replace(name, self.spark.read.parquet(path), rows)
 
     def materialise_facts(self, folder: str) -> None:
         """Write what most tables are built from, so a full build derives each of it once."""

@@ -56,14 +56,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").options(header=True, **keep).csv(path)
 
 
-def write_counted(df: DataFrame, path: str, kind: str = "parquet") -> int:
+def write_counted(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> int:
     """Write and return the number of rows, counted on the same pass."""
     seen = Observation()
     rows = df.observe(seen, F.count(F.lit(1)).alias("n"))
     if kind == "csv":
         write_csv(rows, path)
     else:
-        rows.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        rows.write.mode(mode).option("compression", "zstd").parquet(path)
     return seen.get["n"]
 
 
@@ -129,7 +129,7 @@ def export_tables(
             stamped = w[name].withColumn("pipeline_run_id", F.lit(run_id))
             rows = write_counted(stamped, out, kind)
             if reuse:
-                w.replace(name, read_parquet(w.spark, out).drop("pipeline_run_id"))
+                w.replace(name, read_parquet(w.spark, out).drop("pipeline_run_id"), rows)
         except PySparkException as problem:
             if not keep_going:
                 raise

@@ -98,6 +98,54 @@ def test_column_and_text_filters_work_with_attributes(panel, where):
     assert sum(r["value"] for r in rows.values()) == (6 if where is None else 5)
 
 
+AGE = "dim_household.age_desc = '25-34'"
+
+
+@pytest.mark.parametrize(
+    "where, joined",
+    [
+        (AGE, False),
+        (lambda: F.col("dim_household__age_desc") == "25-34", False),
+        ([AGE, "basket_net_spend > 3"], False),
+        (f"{AGE} AND basket_net_spend > 3", True),
+        ("dim_household.age_desc IS NULL OR dim_household.age_desc <> '25-34'", False),
+        ([AGE, "dim_day.day_key > 3"], False),
+    ],
+)
+def test_attribute_filters_reach_the_keys_before_the_sum(panel, where, joined):
+    where = where() if callable(where) else where
+    got = {r.measure: r.value for r in evaluate(panel, ["Baskets", "Panel Net Spend"], where=where).collect()}
+
+    def plan(where):
+        out = evaluate(panel, ["Baskets"], where=where)._jdf.queryExecution().optimizedPlan().toString()
+        return len(re.findall("Left(?:Semi|Anti)", out))
+
+    # only a condition over two tables joins attributes
+    assert (plan(where) > plan(None)) != joined
+    rows = panel["mart_basket"].join(panel["dim_household"].select("household_key", "age_desc"), "household_key", "left")
+    for part in where if isinstance(where, list) else [where]:
+        text = part if isinstance(part, str) else AGE
+        rows = rows.where(text.replace("dim_household.", "").replace("dim_day.", ""))
+    wanted = rows.agg(F.count(F.lit(1)), F.sum("basket_net_spend")).first()
+    assert (got["Baskets"], got["Panel Net Spend"]) == (wanted[0], None if wanted[1] is None else float(wanted[1]))
+    assert got["Baskets"] > 0
+
+
+def test_written_tables_are_counted_by_their_write(spark, panel, tmp_path):
+    from panelspark.operators.quality import REQUIRED_ASSETS
+
+    build = panel.fork()
+    build.materialise(str(tmp_path), REQUIRED_ASSETS)
+    assert build.written == {n: panel[n].count() for n in REQUIRED_ASSETS}
+    audit = build["governed_asset_audit"]
+    named = "analysis_promotion_universe_audit"
+    leaves = audit._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert leaves <= (1 if named in REQUIRED_ASSETS else 2)
+    assert sorted(map(str, audit.collect())) == sorted(map(str, panel["governed_asset_audit"].collect()))
+    build.replace(REQUIRED_ASSETS[0], panel[REQUIRED_ASSETS[0]])
+    assert REQUIRED_ASSETS[0] not in build.written
+
+
 NO_EXPAND = (
     "mart_category_weekly", "mart_brand_category", "mart_promotion_category_week", "mart_category_household",
     "mart_category_household_weekly", "mart_store_weekly", "analysis_promotion_universe_audit",
