@@ -985,7 +985,10 @@ def analysis_first_observed_cohort(w):
 
 @table("internal")
 def trimmed_segment(w):
-    """Segments recomputed without the last weeks; 'engaged' needs growth here, as specified."""
+    """Segments recomputed without the last weeks; 'engaged' needs growth here, as specified.
+
+    A week whose spend is unknown is a week of its window here, as its SQL counts it.
+    """
     r = w.rules
     lo, hi = week_bounds(w)
     top = hi - F.lit(r.exclusion_weeks)
@@ -1006,8 +1009,8 @@ def trimmed_segment(w):
                 F.sum("discount_value"), F.sum(F.col("net_spend") + F.col("discount_value"))
             ).alias("discount_share"),
             ratio(F.sum("private_label_spend"), F.sum("net_spend")).alias("private_label_share"),
-            mean_when(early, "net_spend").alias("early"),
-            mean_when(late, "net_spend").alias("late"),
+            ratio(F.sum(F.when(early, F.col("net_spend"))), F.count_if(early)).alias("early"),
+            ratio(F.sum(F.when(late, F.col("net_spend"))), F.count_if(late)).alias("late"),
         )
         .join(coupons, "household_key", "left")
         .fillna(0.0, ["coupon_basket_rate"])
