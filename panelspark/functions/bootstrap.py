@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import ratio
+from panelspark.functions.ordering import pinned
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -15,10 +16,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DRAWS, SEED = 2000, 42
 
 
-def _draws(cell: int, n: int) -> np.ndarray:
-    """Poisson(n) draws of one value, from a counter-based generator keyed by the value itself."""
-    key = np.array([SEED, cell % 2**64], dtype=np.uint64)
-    return np.random.Generator(np.random.Philox(key=key)).poisson(n, DRAWS)
+def _draws(generator: np.random.Generator, origin: dict, cell: int, n: int) -> np.ndarray:
+    """Poisson(n) draws of one value, from a counter-based generator keyed by the value itself.
+
+    ``origin`` is the generator's state at its first number; setting its key costs less than a new generator.
+    """
+    origin["state"]["key"][:] = SEED, cell % 2**64
+    generator.bit_generator.state = origin
+    return generator.poisson(n, DRAWS)
 
 
 def _resample(batches):
@@ -27,11 +32,13 @@ def _resample(batches):
     ``n`` equal baskets draw Poisson(n) together, which is the sum of n Poisson(1) draws.
     """
     sums, counts = {}, {}
+    generator = np.random.Generator(np.random.Philox(key=SEED))
+    origin = generator.bit_generator.state
     for batch in batches:
         for segment, part in batch.groupby("segment", sort=False):
             for start in range(0, len(part), 500):
                 cells = part.iloc[start : start + 500]
-                weights = np.stack([_draws(int(c), int(n)) for c, n in zip(cells["cell"], cells["n"])])
+                weights = np.stack([_draws(generator, origin, int(c), int(n)) for c, n in zip(cells["cell"], cells["n"])])
                 values = cells["value"].to_numpy(dtype=float)
                 sums[segment] = sums.get(segment, 0.0) + values @ weights
                 counts[segment] = counts.get(segment, 0) + weights.sum(axis=0)
@@ -57,7 +64,8 @@ def bootstrap_interval(counts):
     # An asked-for number of tasks is kept: the rows are small but the draws are not.
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = cells.repartition(tasks, "cell").mapInPandas(_resample, "segment string, draw int, s double, n double")
-    own = drawn.groupBy("segment", "draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    # Both sides of the join below read these sums (one row per segment and draw); unwritten, all would be drawn twice.
+    own = pinned(drawn.groupBy("segment", "draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     everyone = own.groupBy("draw").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     gap = ratio("s", "n") - ratio(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))
     ends = F.percentile("gap", F.array(F.lit(0.025), F.lit(0.975)))

@@ -28,7 +28,9 @@ from panelspark.operators.marts import (
     PROMOTED,
     campaign_averages,
     redeemer,
+    scored_households,
     segment_label,
+    segmented,
     week_bounds,
     with_quintiles,
     zero_if_null,
@@ -561,7 +563,7 @@ def analysis_coupon_repeat_category(w):
 @table("analysis")
 def analysis_customer_engagement(w):
     return (
-        w["mart_customer_segment"]
+        segmented(w, scored_households(w))
         .where(F.col("trajectory").isin("Growing", "Stable", "Declining"))
         .select(
             "household_key",

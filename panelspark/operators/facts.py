@@ -1,5 +1,6 @@
 """Facts and the coupon bridge."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import category_key, label
@@ -7,6 +8,7 @@ from panelspark.functions.ordering import pinned
 from panelspark.functions.quantiles import value_counts, weighted_quantile
 from panelspark.operators.staging import promo_state
 from panelspark.plans.registry import table
+from panelspark.sources.files import work_folder
 
 DISCOUNT = "retail_discount_value + coupon_discount_value + coupon_match_discount_value"
 COUPON = "coupon_discount_value + coupon_match_discount_value"
@@ -211,6 +213,39 @@ def fct_basket(w):
     )
 
 
+@table("internal")
+def trip_amounts(w):
+    """Amounts per basket, household and week, written once; household scores and basket values read the
+    lines only here.
+
+    A basket is one row, unless the audits report it for several households or weeks. ``lead`` marks one row
+    per basket; ``basket_household``, ``basket_net_spend`` and ``has_coupon_discount`` are those of ``fct_basket``.
+    """
+    keys = ("basket_id", "household_key", "week_number")
+    sums = {
+        "net_spend": "sales_value",
+        "discount_value": "discount",
+        "coupon_discount": "coupon_discount",
+        "private_label_spend": "private_sales",
+    }
+    trips = w.spread(w["product_lines"], "basket_id").groupBy(*keys).agg(
+        *[F.sum(c).cast("decimal(28,4)").alias(n) for n, c in sums.items()],
+        F.max(F.coalesce(F.expr(f"{COUPON} > 0"), F.lit(False))).alias("_coupon"),
+    )
+    basket = Window.partitionBy("basket_id")
+    first = basket.orderBy(F.col("household_key").asc_nulls_first(), F.col("week_number").asc_nulls_first())
+    path = work_folder(w.spark, "trips")
+    trips.select(
+        *keys,
+        *sums,
+        F.max("household_key").over(basket).alias("basket_household"),
+        F.sum("net_spend").over(basket).alias("basket_net_spend"),
+        F.max("_coupon").over(basket).alias("has_coupon_discount"),
+        (F.row_number().over(first) == 1).alias("lead"),
+    ).write.option("compression", "zstd").parquet(path)
+    return w.spark.read.parquet(path)
+
+
 @table("fact")
 def fct_promotion_product_store_week(w):
     on, mailed = F.col("is_on_display"), F.col("is_in_mailer")

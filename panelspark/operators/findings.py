@@ -78,7 +78,7 @@ def finding_strongest_campaign(w):
 @table("finding")
 def finding_segment_rollup(w):
     return (
-        w["mart_customer_segment"]
+        w["household_scores"]
         .groupBy("segment")
         .agg(
             F.count(F.lit(1)).alias("households"),

@@ -32,7 +32,7 @@ def snapshot_top_commodities(w):
 @table("snapshot")
 def snapshot_segments(w):
     trips = F.sum("frequency_baskets")
-    return w["mart_customer_segment"].groupBy("segment").agg(
+    return w["household_scores"].groupBy("segment").agg(
         F.count(F.lit(1)).alias("households"),
         F.sum("observed_lifetime_spend").alias("spend"),
         trips.alias("trips"),
@@ -64,7 +64,7 @@ def snapshot_promotion_weekly(w):
 
 @table("snapshot")
 def snapshot_trajectories(w):
-    return w["mart_customer_segment"].groupBy("segment", "trajectory").agg(
+    return w["household_scores"].groupBy("segment", "trajectory").agg(
         F.count(F.lit(1)).alias("households")
     )
 

@@ -8,6 +8,7 @@ from panelspark.functions.columns import label, ratio, wilson
 from panelspark.functions.ordering import pinned, with_before
 from panelspark.functions.quantiles import weighted_quantile
 from panelspark.functions.tails import chi_square_p, mann_whitney_p
+from panelspark.operators.marts import trip_baskets
 from panelspark.plans.registry import table
 
 
@@ -15,7 +16,8 @@ from panelspark.plans.registry import table
 def basket_value_counts(w):
     """Baskets per segment and value: what moments, medians and the bootstrap all read."""
     value = F.col("basket_net_spend").cast("decimal(16,4)").alias("value")
-    rows = w["mart_basket"].where("basket_net_spend IS NOT NULL")
+    baskets = trip_baskets(w).where("basket_net_spend IS NOT NULL")
+    rows = baskets.join(w["household_segment"], "household_key", "left")
     counts = rows.select(label("segment").alias("segment"), value).groupBy("segment", "value")
     return pinned(counts.agg(F.count(F.lit(1)).alias("n")))
 

@@ -16,6 +16,9 @@ from panelspark.sources.files import work_folder, write_counted
 #: may sit under a join whose result is then grouped on the same key: splitting it is worth the
 #: extra shuffle.
 SETTINGS = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+#: Lines a task sorts or groups at most, on average, where a step is spread by size: beyond so many
+#: per shuffle partition a step takes more partitions.
+LINES_A_TASK = 1_000_000
 
 
 class Bounds(NamedTuple):
@@ -23,6 +26,7 @@ class Bounds(NamedTuple):
     last_day: int | None
     first_week: int | None
     last_week: int | None
+    lines: int = 0
 
 
 class Warehouse:
@@ -104,13 +108,23 @@ class Warehouse:
 
     @property
     def bounds(self) -> Bounds:
-        """First and last observed day and week: one row, read once and used as literals."""
+        """First and last observed day and week and the number of lines: one row, read once and used as literals."""
         self._used("stg_transaction")
         if self._bounds is None:
             ends = [f(c) for c in ("day_key", "week_number") for f in (F.min, F.max)]
-            self._bounds = Bounds(*self["stg_transaction"].agg(*ends).first())
+            self._bounds = Bounds(*self["stg_transaction"].agg(*ends, F.count(F.lit(1))).first())
         return self._bounds
 
+    def spread(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """``rows`` of lines or baskets by ``keys`` in partitions whose size does not grow with the lines.
+
+        As long as the session's shuffle partitions are enough, nothing is moved.
+        """
+        wanted = -(-self.bounds.lines // LINES_A_TASK)
+        if wanted <= int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            return rows
+        return rows.repartition(wanted, *keys)
+
     def fork(self, keeps: Iterable[str] = ()) -> "Warehouse":
         """A warehouse over the same sources with nothing derived yet.
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import MONEY
 
+#: Line items a task joins at most, on average: beyond so many per shuffle partition the join takes more.
+ITEMS_A_TASK = 1_000_000
 CAMPAIGNS = 30  # campaign classes; exposures are customers x these
 
 
@@ -22,6 +24,7 @@ class OrderTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._read_once: dict[str, DataFrame] = {}
+        self._items: int | None = None
 
     def __call__(self, source: str) -> DataFrame:
         return getattr(self, source)()
@@ -31,6 +34,18 @@ class OrderTables:
             self._read_once[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read_once[name]
 
+    def _by_basket(self, rows: DataFrame) -> DataFrame:
+        """One side of the join of items and orders, in partitions whose size does not grow with the items.
+
+        As long as the session's shuffle partitions are enough, the join is left as it is.
+        """
+        if self._items is None:  # counted from the file footers
+            self._items = self._read("lineitem").count()
+        wanted = -(-self._items // ITEMS_A_TASK)
+        if wanted <= int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            return rows
+        return rows.repartition(wanted, "BASKET_ID")
+
     def _trips(self) -> DataFrame:
         since = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
         day = F.lit(1) + since % 711
@@ -68,8 +83,8 @@ class OrderTables:
             .otherwise(F.col("l_quantity"))
         )
         lines = self._read("lineitem").withColumnRenamed("l_orderkey", "BASKET_ID")
-        repeated = lines.withColumn("_time", F.explode(times))
-        return repeated.join(self._trips(), "BASKET_ID").select(
+        repeated = self._by_basket(lines).withColumn("_time", F.explode(times))
+        return repeated.join(self._by_basket(self._trips()), "BASKET_ID").select(
             "household_key",
             "BASKET_ID",
             "DAY",
