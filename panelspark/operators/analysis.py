@@ -187,7 +187,7 @@ def root_cause_drivers(w):
 def analysis_campaign_denominators(w):
     n, k = "campaign_household_exposures", "redeeming_exposures"
     people, buyers = "unique_exposed_households", "unique_redeeming_households"
-    counted = w["mart_campaign_household"].groupBy("campaign_id", "campaign_type").agg(
+    counted = w["redeeming_exposures"].groupBy("campaign_id", "campaign_type").agg(
         F.count(F.lit(1)).alias(n),
         F.count_distinct("household_key").alias(people),
         F.count_if("redeemed_coupon_flag").alias(k),
@@ -1070,7 +1070,7 @@ def analysis_segment_stability(w):
 def campaign_kpi_scope(w):
     """Exposure-level and household-level campaign counts side by side."""
     used = F.col("redeemed_coupon_flag")
-    counts = w["mart_campaign_household"].agg(
+    counts = w["redeeming_exposures"].agg(
         F.count(F.lit(1)).alias("campaign_household_exposures"),
         F.count_if(used).alias("redeeming_exposures"),
         F.count_distinct("household_key").alias("unique_exposed_households"),

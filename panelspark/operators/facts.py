@@ -262,6 +262,31 @@ def fct_promotion_product_store_week(w):
     return merged.withColumn("promo_state_group", promo_state(on, mailed))
 
 
+@table("internal")
+def exposed_campaigns(w):
+    """Distinct exposures with their campaign."""
+    # Distinct pairs joined to distinct campaign rows stay distinct.
+    return w["stg_campaign_exposure"].join(w["dim_campaign"], "campaign_id", "left")
+
+
+@table("internal")
+def campaign_redemptions(w):
+    return w["stg_coupon_redemption"].groupBy("household_key", "campaign_id").agg(
+        F.count(F.lit(1)).alias("redemption_count")
+    )
+
+
+@table("internal")
+def redeeming_exposures(w):
+    """Exposures with the redemption flag of ``mart_campaign_household``, for counts that need no trip and no
+    segment: those are joined to the mart by unique keys and change no row."""
+    keys = ["household_key", "campaign_id"]
+    used = F.coalesce(F.col("redemption_count") > 0, F.lit(False))
+    return w["exposed_campaigns"].join(w["campaign_redemptions"], keys, "left").select(
+        *keys, "campaign_type", used.alias("redeemed_coupon_flag")
+    )
+
+
 @table("fact")
 def fct_campaign_exposure(w):
     r = w.rules
@@ -269,21 +294,16 @@ def fct_campaign_exposure(w):
     first = F.lit(r.first_day if seen.first_day is None else seen.first_day)
     last = F.lit(r.last_day if seen.last_day is None else seen.last_day)
     start, end = F.col("start_day"), F.col("end_day")
-    # Distinct pairs joined to distinct campaign rows stay distinct.
-    return (
-        w["stg_campaign_exposure"]
-        .join(w["dim_campaign"], "campaign_id", "left")
-        .select(
-            "household_key",
-            "campaign_id",
-            "campaign_type",
-            "start_day",
-            "end_day",
-            (start - r.pre_days >= first).alias("pre_28d_observable"),
-            ((start >= first) & (end <= last)).alias("during_observable"),
-            (end + r.post_short_days <= last).alias("post_14d_observable"),
-            (end + r.post_days <= last).alias("post_28d_observable"),
-        )
+    return w["exposed_campaigns"].select(
+        "household_key",
+        "campaign_id",
+        "campaign_type",
+        "start_day",
+        "end_day",
+        (start - r.pre_days >= first).alias("pre_28d_observable"),
+        ((start >= first) & (end <= last)).alias("during_observable"),
+        (end + r.post_short_days <= last).alias("post_14d_observable"),
+        (end + r.post_days <= last).alias("post_28d_observable"),
     )
 
 

@@ -230,7 +230,7 @@ def stats_promotion_state(w):
 @table("statistic")
 def stats_campaign_redemption(w):
     kind = label("campaign_type").alias("campaign_type")
-    groups = w["mart_campaign_household"].groupBy(kind).agg(
+    groups = w["redeeming_exposures"].groupBy(kind).agg(
         F.count(F.lit(1)).alias("n_recipients"),
         F.count_if("redeemed_coupon_flag").alias("redeemers"),
     )
