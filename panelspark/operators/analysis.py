@@ -735,7 +735,7 @@ def promoted_sum(c):
 @table("analysis")
 def analysis_promotion_dependency(w):
     return (
-        w["mart_promotion_category_week"]
+        w["promotion_amounts"]
         .groupBy("department", "commodity")
         .agg(
             F.sum("panel_sales").alias("total_panel_sales"),

@@ -93,7 +93,7 @@ def finding_segment_rollup(w):
 def finding_promo_rank(w):
     cells = F.sum("product_store_weeks")
     return (
-        w["mart_promotion_category_week"]
+        w["promotion_amounts"]
         .groupBy("promo_state_group")
         .agg(
             cells.alias("product_store_weeks"),

@@ -42,24 +42,21 @@ def snapshot_segments(w):
     )
 
 
-def _states(w, *keys):
-    return w["mart_promotion_category_week"].groupBy(*keys).agg(
-        F.sum("product_store_weeks").alias("product_store_weeks"),
-        F.sum("panel_sales").alias("panel_sales"),
-        F.sum("panel_baskets").alias("panel_baskets"),
-    )
+def _states(cells, *keys, sums=("product_store_weeks", "panel_sales")):
+    return cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 @table("snapshot")
 def snapshot_promo_states(w):
-    return _states(w, "promo_state_group").withColumn(
+    sums = ("product_store_weeks", "panel_sales", "panel_baskets")
+    return _states(w["mart_promotion_category_week"], "promo_state_group", sums=sums).withColumn(
         "sales_per_product_store_week", ratio("panel_sales", "product_store_weeks")
     )
 
 
 @table("snapshot")
 def snapshot_promotion_weekly(w):
-    return _states(w, "week_number", "promo_state_group").drop("panel_baskets")
+    return _states(w["promotion_amounts"], "week_number", "promo_state_group")
 
 
 @table("snapshot")
@@ -231,7 +228,7 @@ def snapshot_department_promo(w):
     cells = F.sum("product_store_weeks")
     on = F.sum(F.when(promoted, F.col("product_store_weeks")).otherwise(0))
     return (
-        w["mart_promotion_category_week"]
+        w["promotion_amounts"]
         .groupBy(or_unknown("department").alias("department"))
         .agg(
             cells.alias("total"),

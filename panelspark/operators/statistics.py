@@ -88,7 +88,7 @@ def stats_basket_by_segment(w):
 def promotion_values(w):
     """Sales per product-store-week by category, week and state."""
     return (
-        w["mart_promotion_category_week"]
+        w["promotion_amounts"]
         .where("product_store_weeks > 0 AND panel_sales IS NOT NULL")
         .select(
             label("promo_state_group").alias("promo_state_group"),

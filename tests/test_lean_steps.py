@@ -10,3 +10,13 @@ def test_redemption_counts_read_neither_trips_nor_segments(spark):
     columns = w["redeeming_exposures"].columns
     wanted = as_dicts(w["mart_campaign_household"].select(*columns), "household_key", "campaign_id")
     assert as_dicts(w["redeeming_exposures"], "household_key", "campaign_id") == wanted
+
+
+def test_promotion_sales_are_those_of_the_mart_and_group_lines_once(spark):
+    w = Warehouse(spark, frames(spark))
+    keys = ("category_key", "commodity", "week_number", "promo_state_group")
+    wanted = w["mart_promotion_category_week"].drop("panel_buying_households", "panel_baskets")
+    assert as_dicts(w["promotion_amounts"], *keys) == as_dicts(wanted, *keys)
+    assert w["stats_promotion_state"].count()
+    values = w["promotion_values"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "basket_id" not in values and "household_key" not in values
