@@ -766,27 +766,18 @@ def category_losses(w):
     lo, hi = week_bounds(w)
     first = in_first_weeks("week_number", lo, r.window_weeks)
     last = in_last_weeks("week_number", hi, r.window_weeks)
-    buyers = w["stg_transaction"]
-    active = {
-        side: buyers.where(flag).agg(F.count_distinct("household_key")).scalar()
-        for side, flag in (("early", first), ("late", last))
-    }
     both = (("early", first), ("late", last))
-    windows = (
-        w["mart_category_household_weekly"]
+    # One row per household and category, written once: it is counted per category and per household.
+    people = pinned(
+        w["category_week_amounts"]
         .where(first | last)
-        .groupBy("category_key", "department", "commodity")
+        .groupBy("category_no", "household_key")
         .agg(
             *[
                 F.sum(zero_if_null(F.when(flag, F.col("panel_net_spend")))).alias(f"{s}_spend")
                 for s, flag in both
             ],
-            *[
-                F.count_distinct(F.when(flag, F.col("household_key"))).alias(
-                    f"{s}_buying_households"
-                )
-                for s, flag in both
-            ],
+            *[F.max(flag).alias(s) for s, flag in both],
             *[
                 F.sum(F.when(flag, F.col("category_baskets")).otherwise(0)).alias(
                     f"{s}_category_baskets"
@@ -795,6 +786,21 @@ def category_losses(w):
             ],
         )
     )
+    seen = people.where("household_key IS NOT NULL").groupBy("household_key")
+    either = seen.agg(*[F.max(s).alias(s) for s, _ in both])
+    counts = either.agg(F.struct(*[F.count_if(s).alias(s) for s, _ in both])).scalar()
+    active = {s: counts[s] for s, _ in both}
+    per_category = people.groupBy("category_no").agg(
+        *[F.sum(f"{s}_spend").alias(f"{s}_spend") for s, _ in both],
+        *[
+            F.count_if(F.col(s) & F.col("household_key").isNotNull()).alias(f"{s}_buying_households")
+            for s, _ in both
+        ],
+        *[F.sum(f"{s}_category_baskets").alias(f"{s}_category_baskets") for s, _ in both],
+    )
+    windows = per_category.join(w["governed_numbers"], "category_no", "left").select(
+        "category_key", "department", "commodity", *[c for c in per_category.columns if c != "category_no"]
+    )
     measured = windows.select(
         "*",
         *[

@@ -19,4 +19,19 @@ def test_promotion_sales_are_those_of_the_mart_and_group_lines_once(spark):
     assert as_dicts(w["promotion_amounts"], *keys) == as_dicts(wanted, *keys)
     assert w["stats_promotion_state"].count()
     values = w["promotion_values"]._jdf.queryExecution().optimizedPlan().toString()
-    assert "basket_id" not in values and "household_key" not in values
+    assert "collect_set" not in values
+
+
+def test_category_losses_count_each_window_on_one_row_per_household(spark):
+    w = Warehouse(spark, frames(spark))
+    mart = w["mart_category_household_weekly"].collect()
+    lost = {r.category_key: r for r in w["category_losses"].collect()}
+    weeks = [r.week_number for r in w["stg_transaction"].collect()]
+    assert max(weeks) - min(weeks) < w.rules.window_weeks  # both windows hold every week
+    for key in {r.category_key for r in mart}:
+        rows = [r for r in mart if r.category_key == key]
+        people = {r.household_key for r in rows if r.household_key is not None}
+        assert lost[key].early_buying_households == lost[key].late_buying_households == len(people)
+        assert lost[key].late_category_baskets == sum(r.category_baskets for r in rows)
+        assert lost[key].early_penetration == len(people) / 3
+    assert "mart_category_household_weekly" not in w.inputs["category_losses"]
