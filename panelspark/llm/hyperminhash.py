@@ -73,8 +73,11 @@ def collision_table(buckets: int, classes: int = 40) -> np.ndarray:
     step = np.arange(2**MANTISSA)[None, :]
     low = (2.0 ** -(zeros + 1) * (1 + step / 2**MANTISSA)).ravel()
     high = (2.0 ** -(zeros + 1) * (1 + (step + 1) / 2**MANTISSA)).ravel()
-    load = np.maximum(1.0, 2.0 ** np.arange(classes) / buckets)[:, None]
-    mass = np.exp(load * np.log1p(-low)) - np.exp(load * np.log1p(-np.minimum(high, 1 - 1e-16)))
+    low, high = np.log1p(-low), np.log1p(-np.minimum(high, 1 - 1e-16))
+    load = np.maximum(1.0, 2.0 ** np.arange(classes) / buckets)
+    mass = np.empty((classes, len(low)))
+    for row, n in zip(mass, load):  # row by row, so that only one table of this size is held
+        np.subtract(np.exp(n * low), np.exp(n * high), out=row)
     return mass @ mass.T
 
 
@@ -132,9 +135,10 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(sets, "id long, shingles array<long>")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, buckets: int, percent: int, errors: float) -> DataFrame:
+def _likely(
+    pairs: DataFrame, classes: DataFrame, table: np.ndarray, buckets: int, percent: int, errors: float
+) -> DataFrame:
     """The pairs (a, b) whose estimate does not rule them out."""
-    table = collision_table(buckets)
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
@@ -157,7 +161,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, buckets: int, percent: int, er
 
 
 def _joined_inside(
-    open_: DataFrame, classes: DataFrame, sets: DataFrame, slice_: int, bands: int, percent: int, errors: float
+    open_: DataFrame, classes: DataFrame, sets: DataFrame, table: np.ndarray, slice_: int, bands: int, percent: int,
+    errors: float,
 ) -> DataFrame:
     """Links (a, b) that join components inside large buckets, found without writing out pairs.
 
@@ -177,7 +182,6 @@ def _joined_inside(
     )
 
     def met(group: pd.DataFrame) -> pd.DataFrame:
-        table = collision_table(np.frombuffer(group["registers"].iloc[0], np.uint16).size)
         group = group.sort_values(["component", "id"])
         packed = np.frombuffer(b"".join(group["registers"]), dtype=np.uint16).reshape(len(group), -1)
         ids, n = group["id"].to_numpy(), group["n_shingles"].to_numpy()
@@ -238,6 +242,7 @@ def near_duplicates(
     component_id is the smallest id reachable, kept says that it is the document's own.
     """
     buckets = bands * rows
+    table = collision_table(buckets)  # made once: in a task it would take tens of MB for each group
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = pinned(signatures(source, width, buckets))
     linked = signed.where(F.col("registers").isNotNull() & F.col("doc_id").isNotNull())
@@ -266,7 +271,7 @@ def near_duplicates(
             source.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width
         ).dropDuplicates(["id"])
     )
-    first = pinned(_verified(_likely(stars, classes, buckets, percent, errors), sets, percent))
+    first = pinned(_verified(_likely(stars, classes, table, buckets, percent, errors), sets, percent))
     label = components(first)
 
     # Buckets that still hold several components.
@@ -283,8 +288,8 @@ def near_duplicates(
         .select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    second = _verified(_likely(across, classes, buckets, percent, errors), sets, percent)
-    third = _joined_inside(open_.where(F.col("_n") > small), classes, sets, slice_, bands, percent, errors)
+    second = _verified(_likely(across, classes, table, buckets, percent, errors), sets, percent)
+    third = _joined_inside(open_.where(F.col("_n") > small), classes, sets, table, slice_, bands, percent, errors)
     label = components(pinned(first.union(second).union(third)))
 
     named = classes.select("key", "id").join(label, "id", "left").select(
