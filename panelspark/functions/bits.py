@@ -17,6 +17,27 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))
 
 
+def block_of(number: Column) -> Column:
+    """First number of the block of ``WORD`` numbers that holds a BIGINT."""
+    return number.bitwiseAND(F.lit(-WORD).cast("bigint"))
+
+
+def bit_in_block(number: Column) -> Column:
+    return _bit(number.bitwiseAND(F.lit(WORD - 1).cast("bigint")))
+
+
+def block_ends(block: Column, bits: Column) -> tuple[Column, Column]:
+    """Smallest and largest number of a block."""
+    shown = F.bin(bits)
+    return block + (F.instr(F.reverse(shown), "1") - 1), block + (F.length(shown) - 1)
+
+
+def block_members(block: Column, bits: Column) -> Column:
+    """All numbers of a block, as an array."""
+    places = F.array(*[F.lit(i) for i in range(WORD)])
+    return F.array_compact(F.transform(places, lambda i: F.when(F.getbit(bits, i) == 1, block + i)))
+
+
 def bit_words(number, first: int, last: int) -> list[Column]:
     """Aggregates, one per word: which of ``first`` to ``last`` occur. Other numbers set no bit."""
     c = F.col(number) if isinstance(number, str) else number

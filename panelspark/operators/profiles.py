@@ -1,8 +1,11 @@
 """Source scans, inventory, header check and column profiles."""
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from panelspark.functions.bits import WORD, bit_in_block, block_ends, block_members, block_of
 from panelspark.functions.columns import ratio
 from panelspark.functions.ordering import pinned
 from panelspark.operators.quality import stacked
@@ -196,25 +199,53 @@ def source_profile_summary(w):
     )
 
 
-@table("internal")
-def column_profile(w):
-    """Per column: rows, blanks, distinct values and text range.
+def _scale(kind):
+    """Decimal places of a column type whose values are whole numbers of 64 bits once scaled, else None.
 
-    Cells become (column number, text) pairs that are counted before the shuffle, so every distinct
-    count of a source shares one exchange keyed on the value itself.
+    Beyond 6 places small decimals are shown with an exponent, so that texts do not sort as digits do.
     """
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return 0
+    parts = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)
+    return int(parts[2]) if parts and int(parts[1]) <= 18 and int(parts[2]) <= 6 else None
+
+
+def cell_counts(df):
+    """Every distinct cell of a frame, by column number (``place``), with how often it occurs (``n``).
+
+    Whole numbers and decimals are held as blocks of 64 numbers: ``block`` is a block's first number and
+    ``bits`` tells which of it occur. A task so sends one row for up to 64 near values. Other cells
+    are held as texts (``value``); nulls have neither.
+    """
+    cells = []
+    for place, (name, kind) in enumerate(df.dtypes):
+        scale, cell = _scale(kind), F.col(f"`{name}`")
+        number = F.lit(None) if scale is None else cell * F.lit(10**scale) if scale else cell
+        number = number.cast("bigint")
+        cells.append(
+            F.struct(
+                F.lit(place).alias("place"),
+                block_of(number).alias("block"),
+                bit_in_block(number).alias("bit"),
+                (cell if scale is None else F.lit(None)).cast("string").alias("value"),
+            )
+        )
+    return (
+        df.select(F.explode(F.array(*cells)).alias("c"))
+        .groupBy("c.place", "c.block", "c.value")
+        .agg(F.bit_or("c.bit").alias("bits"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+@table("internal")
+def column_profile(w):
+    """Per column: rows, blanks, distinct values and text range, by one exchange per source."""
     frames = []
     for source in CONTRACTS:
         df = w.raw(source)
-        cells = F.array(*[F.col(c).cast("string") for c in df.columns])
-        counted = (
-            df.select(F.posexplode(cells).alias("place", "value"))
-            .groupBy("place", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
         names, kinds = (F.array(*map(F.lit, parts)) for parts in zip(*df.dtypes))
         frames.append(
-            _column_summary(counted).select(
+            _column_summary(cell_counts(df), df).select(
                 F.lit(source).alias("source_name"),
                 F.get(names, F.col("place")).alias("column_name"),
                 F.get(kinds, F.col("place")).alias("column_type"),
@@ -284,15 +315,39 @@ def approximate_profile(w, k=14):
     return stacked(frames)
 
 
-def _column_summary(counted):
-    value = F.col("value")
-    empty = value.isNull() | (F.trim(value) == "")
-    return counted.groupBy("place").agg(
-        F.sum("n").alias("row_count"),
-        F.sum(F.when(empty, F.col("n")).otherwise(0)).alias("null_or_blank_count"),
-        F.count("value").alias("distinct_count"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
+def _column_summary(counted, df):
+    """One row per column of ``df`` from its :func:`cell_counts`."""
+    value, block, bits = F.col("value"), F.col("block"), F.col("bits")
+    places = {}  # by type of decimal
+    for place, (_, kind) in enumerate(df.dtypes):
+        if _scale(kind):
+            places.setdefault(kind, []).append(place)
+
+    def text(number):
+        shown = number.cast("string")
+        for kind, of in places.items():
+            scale = _scale(kind)
+            unit = F.lit(f"1e-{scale}").cast(f"decimal({scale + 1},{scale})")
+            scaled = (number.cast("decimal(19,0)") * unit).cast(kind).cast("string")
+            shown = F.when(F.col("place").isin(of), scaled).otherwise(shown)
+        return shown
+
+    # Numbers of one sign and of equally many digits sort as their texts do, or the other way round.
+    alike = F.length(block.cast("string")) == F.length((block + (WORD - 1)).cast("string"))
+    numbers = F.when(alike, F.array(*block_ends(block, bits))).otherwise(block_members(block, bits))
+    texts = F.when(block.isNull(), F.array(value)).otherwise(F.transform(numbers, text))
+    empty = block.isNull() & (value.isNull() | (F.trim(value) == ""))
+    return (
+        counted.select("*", texts.alias("texts"))
+        .groupBy("place")
+        .agg(
+            F.sum("n").alias("row_count"),
+            F.sum(F.when(empty, F.col("n")).otherwise(0)).alias("null_or_blank_count"),
+            F.sum(F.when(block.isNull(), value.isNotNull().cast("int")).otherwise(F.bit_count(bits)))
+            .alias("distinct_count"),
+            F.min(F.array_min("texts")).alias("min_value"),
+            F.max(F.array_max("texts")).alias("max_value"),
+        )
     )
 
 
