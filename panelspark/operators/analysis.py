@@ -995,7 +995,8 @@ def analysis_first_observed_cohort(w):
 def trimmed_segment(w):
     """Segments recomputed without the last weeks; 'engaged' needs growth here, as specified.
 
-    A week whose spend is unknown is a week of its window here, as its SQL counts it.
+    As in its SQL, a week whose spend is unknown is a week of its window and its discounts count in the
+    discount share, and a household that is both (0 after 0, or a negative early average) is declining.
     """
     r = w.rules
     lo, hi = week_bounds(w)
@@ -1014,7 +1015,7 @@ def trimmed_segment(w):
             F.sum("baskets").alias("frequency_baskets"),
             F.count("week_number").alias("active_weeks"),
             ratio(
-                F.sum("discount_value"), F.sum(F.col("net_spend") + F.col("discount_value"))
+                F.sum("discount_value"), F.sum("net_spend") + F.sum("discount_value")
             ).alias("discount_share"),
             ratio(F.sum("private_label_spend"), F.sum("net_spend")).alias("private_label_share"),
             ratio(F.sum(F.when(early, F.col("net_spend"))), F.count_if(early)).alias("early"),
@@ -1023,10 +1024,9 @@ def trimmed_segment(w):
         .join(coupons, "household_key", "left")
         .fillna(0.0, ["coupon_basket_rate"])
     )
-    path = trajectory("early", "late", r)
-    scored = with_quintiles(pinned(summary.withColumn("path", path)))
-    declining = F.col("path") == "Declining"
-    named = segment_label(r, declining, F.col("path") == "Growing")
+    scored = with_quintiles(pinned(summary))
+    declining = F.col("late") <= F.col("early") * F.lit(r.declining_factor)
+    named = segment_label(r, declining, F.col("late") >= F.col("early") * F.lit(r.growing_factor))
     return scored.select("household_key", named.alias("trimmed_segment"))
 
 
