@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.bits import bit_words, bits_set
 from panelspark.functions.columns import category_key, label
 from panelspark.functions.ordering import pinned
 from panelspark.functions.quantiles import value_counts, weighted_quantile
@@ -73,7 +74,7 @@ def line_amounts(df):
 @table("internal")
 def product_lines(w):
     """Lines with product attributes."""
-    joined = w["lines"].join(w["products"], "product_id", "left")
+    joined = w["lines"].join(w.beside(w["products"], "products"), "product_id", "left")
     return line_amounts(joined).withColumn(
         "category_key", F.coalesce("category_key", unknown_category(w))
     )
@@ -102,9 +103,8 @@ def governed_numbers(w):
 def numbered_lines(w, numbers, key, nameless):
     """Lines with brand and category number; lines without a product take the nameless one."""
     known = w["products"].join(numbers.select(key, "category_no"), key)
-    found = w["lines"].join(
-        known.select("product_id", "brand_type", "category_no"), "product_id", "left"
-    )
+    known = w.beside(known.select("product_id", "brand_type", "category_no"), "products")
+    found = w["lines"].join(known, "product_id", "left")
     spare = numbers.where(nameless).agg(F.max("category_no")).scalar()
     return line_amounts(found).withColumn("category_no", F.coalesce("category_no", spare))
 
@@ -168,12 +168,29 @@ def fct_transaction_line(w):
     )
 
 
-def list_size(c):
-    """Distinct values of an attribute whose list is short (departments, commodities).
+#: Names counted as bits; a longer list is counted by sets.
+MOST_NAMES = 256
+
+
+def list_sizes(w, columns):
+    """Product ids with what ``sizes`` needs of them, and ``sizes``: {name: aggregate} of the distinct values of product
+    attributes whose lists are short (departments, commodities).
 
-    Sets merge inside the aggregation, so no row is repeated per counted column.
+    The lists are read once, a name becomes its place in its list and a set the bits of its places: sets merge
+    inside the aggregation, so no row is repeated per counted column.
     """
-    return F.size(F.collect_set(c)).cast("bigint")
+    carried, sizes = [], {}
+    for c in columns:
+        known = w["products"].where(F.col(c).isNotNull()).select(c).distinct()
+        names = [r[0] for r in known.limit(MOST_NAMES + 1).collect()]
+        if 0 < len(names) <= MOST_NAMES:
+            place = F.array_position(F.array(*[F.lit(n) for n in sorted(names)]), F.col(c))
+            carried.append(place.alias(f"_place_{c}"))
+            sizes[c] = bits_set(bit_words(f"_place_{c}", 1, len(names)))
+        else:
+            carried.append(F.col(c))
+            sizes[c] = F.size(F.collect_set(c)).cast("bigint")
+    return w.beside(w["products"].select("product_id", *carried), "products"), sizes
 
 
 @table("fact")
@@ -188,14 +205,14 @@ def fct_basket(w):
         "basket_coupon_discount": COUPON,
         "basket_quantity_raw": "quantity_raw",
     }
-    names = w["products"].select("product_id", "department", "commodity")
+    names, sizes = list_sizes(w, ("department", "commodity"))
     baskets = w["lines"].join(names, "product_id", "left").groupBy("basket_id").agg(
         *[F.max(c).alias(c) for c in carried],
         *[F.sum(F.expr(source)).alias(name) for name, source in sums.items()],
         F.count(F.lit(1)).alias("basket_line_count"),
         F.count_distinct("product_id").alias("basket_distinct_products"),
-        list_size("department").alias("basket_distinct_departments"),
-        list_size("commodity").alias("basket_distinct_commodities"),
+        sizes["department"].alias("basket_distinct_departments"),
+        sizes["commodity"].alias("basket_distinct_commodities"),
         F.max(F.coalesce(F.expr(f"{COUPON} > 0"), F.lit(False))).alias("has_coupon_discount"),
         F.max("transaction_hour").alias("transaction_hour"),
     )
@@ -282,7 +299,7 @@ def redeeming_exposures(w):
     segment: those are joined to the mart by unique keys and change no row."""
     keys = ["household_key", "campaign_id"]
     used = F.coalesce(F.col("redemption_count") > 0, F.lit(False))
-    return w["exposed_campaigns"].join(w["campaign_redemptions"], keys, "left").select(
+    return w["exposed_campaigns"].join(w["campaign_redemptions"].hint("merge"), keys, "left").select(
         *keys, "campaign_type", used.alias("redeemed_coupon_flag")
     )
 

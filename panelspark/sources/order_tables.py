@@ -228,7 +228,7 @@ class OrderTables:
 
     def coupon_redempt(self) -> DataFrame:
         """Some exposed households redeem once, every eleventh of them twice on the same day; every
-        thirteenth redeems a coupon that no product is linked to."""
+        thirteenth redeems a coupon that no product is linked to. Campaigns are a list of 30, sent to the exposures."""
         hh, campaign = F.col("household_key"), F.col("CAMPAIGN")
         first_coupon = self.coupon().groupBy("CAMPAIGN").agg(F.min("COUPON_UPC").alias("COUPON_UPC"))
         span = F.col("END_DAY") - F.col("START_DAY") + 1
@@ -236,8 +236,8 @@ class OrderTables:
         return (
             self.campaign_table()
             .where((hh * 31 + campaign * 7) % 8 == 0)
-            .join(self.campaign_desc().drop("DESCRIPTION"), "CAMPAIGN")
-            .join(first_coupon, "CAMPAIGN")
+            .join(F.broadcast(self.campaign_desc().drop("DESCRIPTION")), "CAMPAIGN")
+            .join(F.broadcast(first_coupon), "CAMPAIGN")
             .withColumn("_time", F.explode(times))
             .select(
                 "household_key",
